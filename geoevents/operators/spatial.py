@@ -234,35 +234,46 @@ def subtract_zones(points: DataFrame, zone_col: str = "zone_id") -> DataFrame:
 
 
 # ------------------------------------------------------------------ nearest
+def _fullest_cell(places: DataFrame, x0: float, y0: float, size: float) -> int:
+    """Most places in one cell of the grid."""
+    per = places.groupBy(G.cell(F.col("x") - F.lit(x0), size), G.cell(F.col("y") - F.lit(y0), size)).count()
+    return per.agg(F.max("count")).first()[0]
+
+
 def nearest(
-    points: DataFrame, targets: DataFrame, *, point_id: str, target_id: str, leaf_m: float = 16.0,
-    fan: int = 4,
+    points: DataFrame, targets: DataFrame, *, point_id: str, target_id: str, leaf_m: float = 4.0,
+    leaf_targets: int = 64, fan: int = 4,
 ) -> DataFrame:
     """``(point_id, target_id, dist_m)``: the closest target of every point, ties to the lowest id.
 
     Branch and bound over a pyramid of target boxes: from one root box downwards every point
     keeps the boxes that may still hold its nearest target. A box with the smallest possible
     farthest corner bounds the answer, so far clusters are dropped as whole boxes, however
-    many targets they hold. Points are shuffled once, by id.
+    many targets they hold. The pyramid is as deep as it takes for its leaves to hold at most
+    ``leaf_targets`` places (or to shrink to ``leaf_m``). Points are shuffled once, by id.
     """
-    span = targets.agg(
+    places = cut(
+        targets.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+        .groupBy("x", "y").agg(F.min(target_id).alias(target_id))
+    )
+    span = places.agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
     ).first()
-    if span is None or span["x0"] is None:
+    if span["x0"] is None:
         return points.limit(0).select(
             point_id, F.lit(None).cast(targets.schema[target_id].dataType).alias(target_id),
             F.lit(None).cast("double").alias("dist_m"),
         )
     x0, y0 = span["x0"], span["y0"]
-    extent = max(span["x1"] - x0, span["y1"] - y0, leaf_m)
-    depth = max(0, math.ceil(math.log(extent / leaf_m, fan)))
-    places = targets.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("x", "y").agg(
-        F.min(target_id).alias(target_id)
-    )
+    extent = max(span["x1"] - x0, span["y1"] - y0, leaf_m) * (1.0 + 1e-9)
+    sizes = [extent]
+    while sizes[-1] > leaf_m and _fullest_cell(places, x0, y0, sizes[-1]) > leaf_targets:
+        sizes.append(sizes[-1] / fan)
+    depth = len(sizes) - 1
 
     def boxes(level: int) -> DataFrame:
         """Target boxes of one level, listed per parent cell (at most fan² each)."""
-        size = leaf_m * fan ** (depth - level)
+        size = sizes[level]
         gx, gy = G.cell(F.col("x") - F.lit(x0), size), G.cell(F.col("y") - F.lit(y0), size)
         box = places.groupBy(gx.alias("bx"), gy.alias("by")).agg(
             F.min("x").alias("minx"), F.max("x").alias("maxx"),
@@ -294,7 +305,7 @@ def nearest(
         frontier = judged.withColumn("bound", bound).filter(
             F.col("near2") <= F.col("bound") * F.lit(1.0 + 1e-9)
         ).select(point_id, "px", "py", F.col("k.bx").alias("cx"), F.col("k.by").alias("cy"))
-    leaf_size = leaf_m if depth else extent * 2
+    leaf_size = sizes[depth]
     leaves = places.withColumns({
         "cx": G.cell(F.col("x") - F.lit(x0), leaf_size), "cy": G.cell(F.col("y") - F.lit(y0), leaf_size),
     })

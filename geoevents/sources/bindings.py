@@ -171,7 +171,8 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as posts of an account."""
     c = table(spark, sf_dir, "conversations")
     return c.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("account"), F.col("text"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("account"),
+        F.concat("text", F.when(F.col("conv_id") % 3 == 0, " houve assalto").otherwise("")).alias("text"),
         (F.col("turn") % 7 == 6).alias("is_retweet"), F.col("conv_id"), F.col("turn"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 60).cast("int")).alias("day"))
 
