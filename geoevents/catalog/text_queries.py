@@ -114,7 +114,7 @@ def _(spark, d):
     age = F.when(k % 7 != 0, F.concat((k % 90).cast("string"), F.lit(".0")))
     return B.table(spark, d, "customer").select(
         k.alias("id"), X.age_bracket(age).alias("age"), X.height_bracket(pick("Alto", "Média", "baixo", "?")).alias("height"),
-        X.build_bracket(pick("Magro", "atlético", "gordo", "?")).alias("build"))
+        X.build_bracket(pick("Magro", "Atleta", "gordo", "?")).alias("build"))
 
 
 @query("parse_json_array", "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN event_type || '|b' WHEN 1 THEN event_type ELSE '' END AS items FROM events")

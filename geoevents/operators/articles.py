@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from geoevents.functions import text as X
 
@@ -63,7 +64,7 @@ class _Paragraphs(HTMLParser):
             self.parts.append(data)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def html_paragraphs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Paragraph texts of an article page, nested markup included."""
     def read(html) -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +40,14 @@ EVENT_SCHEMA = (
     "confidence:double,notes:string>, "
     "related_event_ids array<string>, triggered_fm_action_ids array<string>"
 )
-EVENT = T.StructType.fromDDL(EVENT_SCHEMA)
+
+
+@lru_cache(maxsize=1)
+def event_type() -> T.StructType:
+    """The nested event as a type (parsing needs a running session)."""
+    return T.StructType.fromDDL(EVENT_SCHEMA)
+
+
 
 # fields that say "unknown" with the feminine word; all other closed fields use the masculine
 _FEMININE = {"lighting", "patrol_presence", "venue", "height", "skin_tone"}
@@ -77,7 +86,7 @@ def _struct(path: str, dtype: T.StructType, given: dict[str, Column]) -> Column:
 
 def make_events(df: DataFrame, given: dict[str, Column], keep: list[str] = ()) -> DataFrame:
     """Events with the given leaf columns; everything else is unknown."""
-    whole = _struct("", EVENT, given)
+    whole = _struct("", event_type(), given)
     return df.select(*keep, whole.alias("_e")).select(*keep, "_e.*")
 
 
@@ -108,7 +117,7 @@ def tips_to_events(df: DataFrame, *, version: str = "1", file: str = "tips") ->
     present = F.lit(False)
     for c in descriptors:
         present = present | (empty(c) != "")
-    agent_type = EVENT["agents"].dataType.elementType
+    agent_type = event_type()["agents"].dataType.elementType
     agent = F.struct(
         X.age_bracket(F.col("idade")).alias("estimated_age"), X.height_bracket(F.col("estatura")).alias("height"),
         X.build_bracket(F.col("porte")).alias("build"), X.skin_category(F.col("pele")).alias("skin_tone"),
@@ -124,7 +133,7 @@ def tips_to_events(df: DataFrame, *, version: str = "1", file: str = "tips") ->
         "spatial.address_text": address, "spatial.logradouro": F.col("street"), "spatial.altura": F.col("number"),
         "spatial.bairro": F.col("neighbourhood"), "spatial.latitude": F.col("lat"),
         "spatial.longitude": F.col("lon"), "spatial.area_fm": F.col("area"),
-        "agents": F.when(present, F.array(agent)).otherwise(F.array().cast(EVENT["agents"].dataType)),
+        "agents": F.when(present, F.array(agent)).otherwise(F.array().cast(event_type()["agents"].dataType)),
         "source.kind": kind, "source.source_id": F.col("id"), "source.source_file": F.lit(file),
         "source.raw_text": text, "source.raw_text_hash": F.sha1(text.cast("binary")), "source.reliability": F.lit(0.7),
         "extraction.method": F.lit("structured"), "extraction.ontology_version": F.lit(version),
@@ -149,11 +158,11 @@ def merge_known(base: Column, overlay: Column, dtype: T.DataType) -> Column:
 def hybrid_events(structured: DataFrame, enriched: DataFrame) -> DataFrame:
     """Structured events filled from enrichment events of the same id. Id and source stay
     structured, the confidence is the larger, the method becomes 'hybrid'."""
-    over = enriched.select(F.col("event_id"), F.struct(*[F.col(c) for c in EVENT.names]).alias("_o"))
-    joined = structured.select(*EVENT.names).join(over, "event_id", "left")
+    over = enriched.select(F.col("event_id"), F.struct(*[F.col(c) for c in event_type().names]).alias("_o"))
+    joined = structured.select(*event_type().names).join(over, "event_id", "left")
     hit = F.col("_o").isNotNull()
     cols = []
-    for f in EVENT.fields:
+    for f in event_type().fields:
         own, other = F.col(f.name), F.col("_o")[f.name]
         if f.name in ("event_id", "source"):
             cols.append(own)
@@ -172,7 +181,7 @@ def responses_to_events(df: DataFrame, *, response: str = "response", kind: str
                         source_id: str = "source_id", known_types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(events, rejected) from stored answer texts. Id and source are those of the row, never
     the answer's; an answer without a valid event type goes to the rejected table."""
-    parsed = df.withColumn("_e", F.from_json(X.loose_json(F.col(response)), EVENT))
+    parsed = df.withColumn("_e", F.from_json(X.loose_json(F.col(response)), event_type()))
     valid = F.coalesce(F.col("_e.crime_type").isin(known_types or list(V.CRIME_TYPE_WEIGHT)), F.lit(False))
     source = F.struct(
         F.col(kind).alias("kind"), F.col(source_id).cast("string").alias("source_id"),
@@ -182,7 +191,7 @@ def responses_to_events(df: DataFrame, *, response: str = "response", kind: str
     good = parsed.filter(valid).withColumn("_id", X.event_id(F.col(kind), F.col(source_id).cast("string")))
     cols = [
         F.col("_id").alias("event_id") if n == "event_id" else source.alias("source") if n == "source" else F.col(f"_e.{n}").alias(n)
-        for n in EVENT.names
+        for n in event_type().names
     ]
     return good.select(*cols), parsed.filter(~valid).drop("_e")
 
@@ -203,7 +212,7 @@ def run_all_sources(named: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(union of all events in the given order of sources, counts per source)."""
     events = None
     for name, df in named.items():
-        part = df.select(F.lit(name).alias("source_name"), *EVENT.names)
+        part = df.select(F.lit(name).alias("source_name"), *event_type().names)
         events = part if events is None else events.unionByName(part)
     return events, events.groupBy("source_name").agg(F.count(F.lit(1)).alias("n"))
 

@@ -11,7 +11,10 @@ from geoevents.operators import spatial as S
 from geoevents.operators.metrics import risk_level
 from geoevents.operators.ranking import top_k_per_group
 
-ALL = Window.partitionBy()   # one window over areas: as many rows as there are zones
+
+def _all():
+    """One window over areas: as many rows as there are zones."""
+    return Window.partitionBy()
 
 
 def _or_one(c: Column) -> Column:
@@ -21,7 +24,7 @@ def _or_one(c: Column) -> Column:
 def area_score(areas: DataFrame, digits: int = 1) -> DataFrame:
     """Parts and total of the area score from ``crimes, peak_ratio, factors, tips, has_report``."""
     p = V.AREA_SCORE_PARTS
-    top = lambda c: _or_one(F.max(c).over(ALL))
+    top = lambda c: _or_one(F.max(c).over(_all()))
     crime = F.col("crimes") / top("crimes") * p["crime"]
     peak = F.col("peak_ratio") * p["peak"]
     factors = F.col("factors") / top("factors") * p["factors"]
@@ -164,16 +167,16 @@ def rank_areas(areas: DataFrame, metric: str = "score", key: str = "zone_id") ->
     if metric not in AREA_METRICS:
         raise ValueError(f"metric must be one of {AREA_METRICS}")
     order = Window.orderBy(F.desc(metric), key)
-    share = F.try_divide(F.col(metric) * 100.0, F.sum(metric).over(ALL))
+    share = F.try_divide(F.col(metric) * 100.0, F.sum(metric).over(_all()))
     return areas.select(
-        F.row_number().over(order).alias("rank"), F.count(F.lit(1)).over(ALL).alias("of"), key,
+        F.row_number().over(order).alias("rank"), F.count(F.lit(1)).over(_all()).alias("of"), key,
         F.col(metric).alias("value"), share.alias("share_pct"),
     )
 
 
 def risk_percentile_flags(areas: DataFrame, key: str = "zone_id") -> DataFrame:
     """Warning labels per area, in their fixed order."""
-    median = F.percentile("crimes", F.lit(0.5)).over(ALL)
+    median = F.percentile("crimes", F.lit(0.5)).over(_all())
     top3 = F.row_number().over(Window.orderBy(F.desc("factors"), key)) <= 3
     flags = areas.withColumns({"_median": median, "_top3": top3})
     rule = lambda cond, label: F.when(cond, F.lit(label))
@@ -193,7 +196,7 @@ def risk_percentile_flags(areas: DataFrame, key: str = "zone_id") -> DataFrame:
 def radar_normalise(areas: DataFrame, metrics: list[str], key: str = "zone_id") -> DataFrame:
     """Each metric divided by its maximum over areas (at least 1), long form."""
     scaled = areas.withColumns({
-        m: F.col(m) / F.greatest(F.max(m).over(ALL), F.lit(1)) for m in metrics
+        m: F.col(m) / F.greatest(F.max(m).over(_all()), F.lit(1)) for m in metrics
     })
     return scaled.unpivot([key], metrics, "axis", "value")
 

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from geoevents.functions import fixed_values as V
 from geoevents.functions import temporal as D
@@ -96,7 +97,7 @@ def _tie_term(c: Column) -> Column:
     return c * (c - 1) * (2 * c + 5)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """Two-sided tail of the standard normal."""
     return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2.0)))
