@@ -264,7 +264,7 @@ def _(spark, d):
     return c.select(F.col("c_custkey").alias("id"), delta.alias("delta"))
 
 
-@query("join_actions", """SELECT area, street, coalesce(n_actions,0) AS n_actions, coalesce(action_types,'') AS action_types FROM (SELECT DISTINCT area, street FROM sev WHERE street IS NOT NULL) u LEFT JOIN
+@query("join_actions", """SELECT u.area, u.street, coalesce(n_actions,0) AS n_actions, coalesce(action_types,'') AS action_types FROM (SELECT DISTINCT area, street FROM sev WHERE street IS NOT NULL) u LEFT JOIN
  (SELECT 'Area ' || (l_suppkey % 12) AS area, 'RUA ' || (l_partkey % 15) AS su, COUNT(*) AS n_actions, string_agg(DISTINCT l_returnflag, ', ' ORDER BY l_returnflag) AS action_types FROM lineitem GROUP BY 1,2) a ON a.area = u.area AND a.su = upper(u.street)""", "sev")
 def _(spark, d):
     li = B.table(spark, d, "lineitem")

@@ -13,7 +13,7 @@ from geoevents.sources import bindings as B
 from geoevents.streaming import store as ST
 
 # ------------------------------------------------------------------ clusters
-EPS = 150.0
+EPS = 500.0
 ctes.TABLES["near2"] = ("inc_m", f"SELECT a.id AS a, b.id AS b FROM inc_m a JOIN inc_m b ON b.x BETWEEN a.x-{EPS} AND a.x+{EPS} AND pow(a.x-b.x,2)+pow(a.y-b.y,2) <= {EPS * EPS!r} AND a.id <> b.id")
 
 

@@ -25,35 +25,36 @@ _NEIGHBOURS = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if (dx, dy
 
 
 # ------------------------------------------------------------------ components
-def connected_components(nodes: DataFrame, links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, links: DataFrame, *, max_rounds: int = 100) -> DataFrame:
     """``(node, component)``, the component being its smallest node id.
 
-    ``links(a, b)``; each round every node points to its smallest neighbour, pointers are
-    followed once more, and the graph is contracted to the pointed-at nodes, so the number of
-    live links shrinks geometrically. Rounds are checkpointed.
+    ``links(a, b)``. Each round gives nodes a fresh random order (a hash); every node moves to
+    the lowest of its neighbours and itself, and once more from there, and the graph is
+    contracted to the places moved to. Random orders have no long descending paths, so live
+    links shrink geometrically even on chains and stars. Rounds are checkpointed.
     """
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
     edges = cut(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    assigned = cut(nodes.select(F.col("node"), F.col("node").alias("component")).distinct())
-    for _ in range(max_rounds):
+    assigned = nodes.select("node", F.col("node").alias("comp")).distinct()
+    for turn in range(max_rounds):
         if edges.isEmpty():
-            return assigned
-        step1 = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
-        step1 = cut(step1)
-        onward = step1.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        jump = cut(step1.join(onward, "p", "left").select("u", F.coalesce("pp", "p").alias("p")))
-        by_comp = jump.select(F.col("u").alias("component"), F.col("p").alias("_new"))
+            break
+        ordered = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("id"))
+        step = edges.groupBy("u").agg(F.min(ordered("v")).alias("m"))
+        step = cut(step.select("u", F.least(ordered("u"), "m")["id"].alias("p")))
+        onward = step.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+        jump = cut(step.join(onward, "p", "left").select("u", F.coalesce("pp", "p").alias("p")))
+        moved = jump.select(F.col("u").alias("comp"), F.col("p").alias("_new"))
         assigned = cut(
-            small_or_salted(assigned, by_comp, ["component"], "left")
-            .select("node", F.coalesce("_new", "component").alias("component"))
-        )
-        left = small_or_salted(edges, jump.select("u", F.col("p").alias("pu")), ["u"], "left")
-        right = small_or_salted(left, jump.select(F.col("u").alias("v"), F.col("p").alias("pv")), ["v"], "left")
-        edges = cut(
-            right.select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v"))
-            .filter("u <> v").distinct()
+            small_or_salted(assigned, moved, ["comp"], "left").select("node", F.coalesce("_new", "comp").alias("comp"))
         )
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        left = small_or_salted(edges, jump.select("u", F.col("p").alias("pu")), ["u"], "inner")
+        right = small_or_salted(left, jump.select(F.col("u").alias("v"), F.col("p").alias("pv")), ["v"], "inner")
+        edges = cut(right.select(F.col("pu").alias("u"), F.col("pv").alias("v")).filter("u <> v").distinct())
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    smallest = assigned.groupBy("comp").agg(F.min("node").alias("component"))
+    return small_or_salted(assigned, smallest, ["comp"], "inner").select("node", "component")
 
 
 # ------------------------------------------------------------------ linking by distance
