@@ -36,14 +36,16 @@ def _(spark, d):
     return rounded(N.cluster_summary(N.cluster_eps(_points(spark, d), EPS)).drop("severity"), "x", "y", digits=3)
 
 
-ctes.TABLES["core"] = ("inc near2", "SELECT id FROM inc JOIN (SELECT a AS id, COUNT(*) k FROM near2 GROUP BY 1) USING (id) WHERE k + 1 >= 4")
-ctes.TABLES["cedge"] = ("near2 core", "SELECT a, b FROM near2 WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)")
+DENSE_EPS = 900.0
+ctes.TABLES["near3"] = ("inc_m", ctes.TABLES["near2"][1].replace(f"{EPS}", f"{DENSE_EPS}").replace(f"{EPS * EPS!r}", f"{DENSE_EPS * DENSE_EPS!r}"))
+ctes.TABLES["core"] = ("inc near3", "SELECT id FROM inc JOIN (SELECT a AS id, COUNT(*) k FROM near3 GROUP BY 1) USING (id) WHERE k + 1 >= 4")
+ctes.TABLES["cedge"] = ("near3 core", "SELECT a, b FROM near3 WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)")
 
 
 @query("dbscan", _labels("cedge", "core") + """, cl AS (SELECT id, min(r) AS cluster_id FROM reach GROUP BY 1) SELECT id, cluster_id FROM cl UNION ALL
- SELECT n.a AS id, min(cl.cluster_id) FROM near2 n JOIN cl ON cl.id = n.b WHERE n.a NOT IN (SELECT id FROM core) GROUP BY 1""", "core cedge near2")
+ SELECT n.a AS id, min(cl.cluster_id) FROM near3 n JOIN cl ON cl.id = n.b WHERE n.a NOT IN (SELECT id FROM core) GROUP BY 1""", "core cedge near3")
 def _(spark, d):
-    return N.dbscan(_points(spark, d), EPS, 4)
+    return N.dbscan(_points(spark, d), DENSE_EPS, 4)
 
 
 # ------------------------------------------------------------------ street network
