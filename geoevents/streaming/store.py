@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.errors import AnalysisException
 
@@ -33,6 +34,10 @@ def latest(df: DataFrame, id_col: str, version: list[str]) -> DataFrame:
     return df.groupBy(id_col).agg(newest.alias("_r")).select(id_col, *[F.col(f"_r.{c}") for c in rest])
 
 
+def _with_batch(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+
+
 def _write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
     batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
 
@@ -40,7 +45,7 @@ def _write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
 def append_unseen(batch: DataFrame, batch_id: int, path: str, id_col: str) -> None:
     """Write the rows of a batch whose id no earlier batch holds (first copy of an id wins)."""
     spark = batch.sparkSession
-    stored = read_store(spark, path, batch.schema.add("batch", "long") if "batch" not in batch.columns else batch.schema)
+    stored = read_store(spark, path, _with_batch(batch.schema))
     earlier = stored.filter(F.col("batch") < batch_id).select(id_col).distinct()
     fresh = batch.dropDuplicates([id_col]).join(earlier, id_col, "left_anti")
     _write_batch(fresh.select(*batch.columns), path, batch_id)
@@ -74,7 +79,7 @@ def upsert_latest(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWr
 
 
 def read_latest(spark: SparkSession, path: str, schema, *, id_col: str, version: str) -> DataFrame:
-    stored = read_store(spark, path, schema.add("batch", "long"))
+    stored = read_store(spark, path, _with_batch(schema))
     return latest(stored, id_col, [version, "batch"]).drop("batch")
 
 
