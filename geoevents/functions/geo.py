@@ -42,13 +42,7 @@ _DELTA = (
 _ECC = 2 * math.sqrt(_n) / (1 + _n)
 
 
-def project_utm(lat: Column, lon: Column) -> tuple[Column, Column]:
-    """(x, y) in metres by the Krüger series (error far below a millimetre in the zone)."""
-    s = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(s) - F.lit(_ECC) * F.atanh(F.lit(_ECC) * s))
-    dl = F.radians(lon - F.lit(_LON0))
-    xi = F.atan2(t, F.cos(dl))
-    eta = F.atanh(F.sin(dl) / F.sqrt(F.lit(1.0) + t * t))
+def _series(xi: Column, eta: Column) -> tuple[Column, Column]:
     x, y = eta, xi
     for j, a in enumerate(_ALPHA, start=1):
         x = x + F.lit(a) * F.cos(xi * (2.0 * j)) * F.sinh(eta * (2.0 * j))
@@ -56,6 +50,20 @@ def project_utm(lat: Column, lon: Column) -> tuple[Column, Column]:
     return F.lit(_E0) + F.lit(_RADIUS) * x, F.lit(_N0) + F.lit(_RADIUS) * y
 
 
+def _tan_chi(s: Column) -> Column:
+    return F.sinh(F.atanh(s) - F.lit(_ECC) * F.atanh(F.lit(_ECC) * s))
+
+
+def _sphere(t: Column, lon: Column) -> tuple[Column, Column]:
+    dl = F.radians(lon - F.lit(_LON0))
+    return F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(F.lit(1.0) + t * t))
+
+
+def project_utm(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """(x, y) in metres by the Krüger series (error far below a millimetre in the zone)."""
+    return _series(*_sphere(_tan_chi(F.sin(F.radians(lat))), lon))
+
+
 def unproject_utm(x: Column, y: Column) -> tuple[Column, Column]:
     """(lat, lon) in degrees from metric coordinates."""
     xi = (y - F.lit(_N0)) / F.lit(_RADIUS)
@@ -73,9 +81,13 @@ def unproject_utm(x: Column, y: Column) -> tuple[Column, Column]:
 
 
 def with_metric(df, lat: str = "lat", lon: str = "lon", x: str = "x", y: str = "y"):
-    """Add projected columns."""
-    px, py = project_utm(F.col(lat), F.col(lon))
-    return df.withColumn(x, px).withColumn(y, py)
+    """Add projected columns, step by step: shared terms stay columns, so each is computed once
+    and later joins on x, y do not carry the whole series in their conditions."""
+    steps = df.withColumn("_t", _tan_chi(F.sin(F.radians(F.col(lat)))))
+    xi, eta = _sphere(F.col("_t"), F.col(lon))
+    steps = steps.withColumns({"_xi": xi, "_eta": eta})
+    px, py = _series(F.col("_xi"), F.col("_eta"))
+    return steps.withColumns({x: px, y: py}).drop("_t", "_xi", "_eta")
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_M) -> Column:
