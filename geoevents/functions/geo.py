@@ -104,6 +104,11 @@ def dist2(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return (x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)
 
 
+def within(x1: Column, y1: Column, x2: Column, y2: Column, radius: float) -> Column:
+    """Is the distance at most the radius?  False, not NULL, for missing coordinates (see ``cell``)."""
+    return F.coalesce(dist2(x1, y1, x2, y2) <= F.lit(float(radius) ** 2), F.lit(False))
+
+
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt(dist2(x1, y1, x2, y2))
 
@@ -117,9 +122,14 @@ def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column,
     return distance(px, py, x1 + t * dx, y1 + t * dy)
 
 
+# Cell index of a missing coordinate: a cell no place lies in.
+NO_CELL = -(1 << 62)
+
+
 def cell(c: Column, size: float) -> Column:
-    """Grid index of a coordinate."""
-    return F.floor(c / F.lit(float(size))).cast("bigint")
+    """Grid index of a coordinate. Never NULL: a NULL join key would make Spark test the whole
+    coordinate expression for NULL in a filter pushed below the projection."""
+    return F.coalesce(F.floor(c / F.lit(float(size))).cast("bigint"), F.lit(NO_CELL))
 
 
 def crosses_ray(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

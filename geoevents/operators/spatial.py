@@ -151,13 +151,14 @@ def within_radius(
     """
     keys = on or []
     radius = float(radius_m)
-    places = anchors.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
-        *keys, F.col("x").alias("_ax"), F.col("y").alias("_ay")
-    ).distinct()
+    # missing places are dropped on an aggregate: a plain filter would be pushed below the
+    # projection that made x and y and repeat its whole expression there
+    located = F.max(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("_ok")
+    places = anchors.groupBy(*keys, F.col("x").alias("_ax"), F.col("y").alias("_ay")).agg(located).filter("_ok").drop("_ok")
     reach = spread_cells(places, radius, radius, "_ax", "_ay")
     cols = points.columns
     keyed = points.withColumns({"ix": G.cell(F.col("x"), radius), "iy": G.cell(F.col("y"), radius)})
-    close = G.dist2(F.col("x"), F.col("y"), F.col("_ax"), F.col("_ay")) <= F.lit(radius * radius)
+    close = G.within(F.col("x"), F.col("y"), F.col("_ax"), F.col("_ay"), radius)
     return small_or_salted(keyed, reach, ["ix", "iy", *keys], how, close).select(*cols)
 
 
@@ -172,9 +173,8 @@ def near_any(
 ) -> DataFrame:
     """Per unit: is any of ``others`` within the radius of the unit's own incidents, or of
     the unit's centroid when it has none. Returns ``(key, is_near)``."""
-    own = incidents.select(key, "x", "y").filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    own = own.join(units.select(key), key, "left_semi").distinct()
-    with_own = own.select(key).distinct()
+    own = incidents.select(key, "x", "y").join(units.select(key), key, "left_semi").distinct()
+    with_own = own.groupBy(key).agg(F.max(F.col("x").isNotNull()).alias("_ok")).filter("_ok").select(key)
     centres = units.join(with_own, key, "left_anti").select(key, "x", "y").filter(F.col("x").isNotNull())
     hits = within_radius(own.unionByName(centres), others, radius_m).select(key).distinct()
     flag = hits.withColumn("is_near", F.lit(True))
@@ -186,8 +186,8 @@ def near_any(
 def exact_name_fallback(units: DataFrame, rows: DataFrame, key: str = "street_norm",
                         name: str = "street_norm", x: str = "x", y: str = "y") -> DataFrame:
     """Units whose normal name equals that of a row without coordinates: ``(key, named)``."""
-    names = rows.filter(F.col(x).isNull() | F.col(y).isNull()).filter(F.col(name) != "")
-    names = names.select(F.col(name).alias(key)).distinct().withColumn("named", F.lit(True))
+    names = rows.groupBy(F.col(name).alias(key)).agg(F.max(F.col(x).isNull() | F.col(y).isNull()).alias("named"))
+    names = names.filter(F.col("named") & (F.col(key) != ""))
     return units.select(key).distinct().join(names, key, "left").withColumn(
         "named", F.coalesce("named", F.lit(False))
     )
@@ -211,7 +211,7 @@ def ring_join(
     ``x, y``. Segment distance replaces a buffer polygon.
     """
     size = float(buffer_m)
-    outside = points.filter(F.col("zone_id").isNull() & F.col("x").isNotNull()).drop("zone_id")
+    outside = points.filter(F.col("zone_id").isNull()).drop("zone_id")
     outside = outside.withColumns({"ix": G.cell(F.col("x"), size), "iy": G.cell(F.col("y"), size)})
     per_cell = edge_cells(metric_edges, size, size).groupBy("ix", "iy", "zone_id").agg(
         F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges")
@@ -284,7 +284,7 @@ def nearest(
             F.floor(F.col("by") / fan).cast("bigint").alias("cy"),
         ).agg(F.collect_list(F.struct("bx", "by", "minx", "maxx", "miny", "maxy")).alias("kids"))
 
-    frontier = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
+    frontier = points.select(
         point_id, F.col("x").alias("px"), F.col("y").alias("py"),
         F.lit(0).cast("bigint").alias("cx"), F.lit(0).cast("bigint").alias("cy"),
     )
@@ -311,6 +311,7 @@ def nearest(
     })
     pairs = small_or_salted(frontier, leaves, ["cx", "cy"], "inner")
     d = G.distance(px, py, F.col("x"), F.col("y"))
+    pairs = pairs.filter(d.isNotNull())
     best = pairs.groupBy(point_id).agg(F.min(F.struct(d.alias("d"), F.col(target_id).alias("t"))).alias("b"))
     return best.select(point_id, F.col("b.t").alias(target_id), F.col("b.d").alias("dist_m"))
 
@@ -343,10 +344,8 @@ def grid_coincidence(
 ) -> DataFrame:
     """Counts of the three layers per square metric cell and how many layers meet there."""
     def counted(df: DataFrame, name: str, *extra) -> DataFrame:
-        keyed = df.filter(F.col("x").isNotNull()).groupBy(
-            G.cell(F.col("x"), cell_m).alias("ix"), G.cell(F.col("y"), cell_m).alias("iy")
-        )
-        return keyed.agg(F.count(F.lit(1)).alias(name), *extra)
+        keyed = df.groupBy(G.cell(F.col("x"), cell_m).alias("ix"), G.cell(F.col("y"), cell_m).alias("iy"))
+        return keyed.agg(F.count(F.lit(1)).alias(name), *extra).filter(F.col("ix") != G.NO_CELL)
 
     street = F.mode("street", True).alias("street") if "street" in incidents.columns else F.lit(None).alias("street")
     layers = counted(incidents, "n_incidents", street).join(
