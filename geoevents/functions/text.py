@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -80,11 +81,19 @@ def keyword_prefilter(c: Column) -> Column:
     return F.coalesce(c.rlike("(?iU)" + V.POST_KEYWORDS), F.lit(False))
 
 
+def _stem(pattern: str) -> str:
+    """Longest literal text every match of a tag pattern holds."""
+    return max(re.split(r"\\b|\[[^\]]*\]|.\?", pattern), key=len)
+
+
 def extract_modus(c: Column) -> Column:
-    """Tags whose first matching pattern occurs, in the fixed tag order; NULL gives []."""
+    """Tags whose first matching pattern occurs, in the fixed tag order; NULL gives [].
+
+    A plain text search for the patterns' stems comes first: most texts hold none of them and
+    never reach the regular expression."""
     low = F.lower(F.coalesce(c, F.lit("")))
     tags = [
-        F.when(low.rlike("(?U)(" + "|".join(patterns) + ")"), F.lit(tag))
+        F.when(_any(low, [_stem(p) for p in patterns]) & low.rlike("(?U)(" + "|".join(patterns) + ")"), F.lit(tag))
         for tag, patterns in V.MODUS_PATTERNS.items()
     ]
     return F.array_compact(F.array(*tags))
