@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoevents.llm import ann, bpe, licenses, lines, packing, quality, secrets, simhash
+from geoevents.llm import ann, bpe, html_text, licenses, lines, packing, quality, secrets, simhash, toxicity
 from geoevents.llm.common import table
 from geoevents.llm.oracles import ORACLES
 
@@ -43,6 +43,14 @@ def op6_permutation_index(spark: SparkSession, d: str) -> DataFrame:
     return ann.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_html_text(spark: SparkSession, d: str) -> DataFrame:
+    return html_text.extract(table(spark, d, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.scored(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op9_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.verdicts(table(spark, d, "documents"))
 
@@ -51,8 +59,15 @@ def op10_secrets(spark: SparkSession, d: str) -> DataFrame:
     return secrets.digests(table(spark, d, "documents"))
 
 
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_licenses, op3_packing, op4_bpe, op5_lines, op6_permutation_index, op9_quality, op10_secrets)
+    for f in (op1_simhash, op2_licenses, op3_packing, op4_bpe, op5_lines, op6_permutation_index, op7_html_text, op8_toxicity, op9_quality,
+              op10_secrets, pipeline)
 }
 __all__ = ["ORACLES", "QUERIES"]
