@@ -102,7 +102,7 @@ def block_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
 
 def _packed(rows: DataFrame, block: F.Column, names: tuple[str, str, str]) -> DataFrame:
     """One row per block: ids and vectors as bytes, in order of id."""
-    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
         matrix = np.array(pdf["v"].tolist(), np.float64)
         return pd.DataFrame({names[0]: [key[0]], names[1]: [pdf["id"].to_numpy(np.int64).tobytes()], names[2]: [matrix.tobytes()]})

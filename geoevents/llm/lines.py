@@ -149,7 +149,7 @@ class LineStore:
 
     def _filters(self, changes: DataFrame) -> DataFrame:
         """Filters after changes (hi, lo, put): true puts a key in, false takes it out."""
-        def change(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        def change(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
             put = new.loc[new["put"], "hi"].to_numpy(np.int64).view(np.uint64)
             out = new.loc[~new["put"], "hi"].to_numpy(np.int64).view(np.uint64)
             if not len(old):
@@ -192,7 +192,7 @@ class LineStore:
 
     def frequent(self, keys: DataFrame) -> DataFrame:
         """Those of the distinct ``keys`` (hi, lo) that stand in enough documents: filter first, exact table for the hits."""
-        def probe(key, rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        def probe(key: tuple, rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
             if not len(table) or not len(rows):
                 return rows[["hi", "lo"]].iloc[:0]
             hit = CuckooFilter.from_bytes(table["buckets"].iloc[0]).contains(rows["hi"].to_numpy(np.int64).view(np.uint64))

@@ -86,7 +86,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lengths:
     shards = max(1, math.ceil(sized.count() / rows_per_shard))
     kind = sized.schema[0].dataType.simpleString()
 
-    def work(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_row", ignore_index=True)
         pieces = np.maximum(1, -(-rows["n_words"].to_numpy() // longest))
         owner = np.repeat(np.arange(len(rows)), pieces)
