@@ -75,17 +75,17 @@ def _(spark, d):
     return out.select("id", F.size(texts).cast("bigint").alias("n_lines"), "role", chars.alias("n_chars"))
 
 
-@query("scan_posts", "SELECT id FROM posts WHERE NOT is_retweet AND trim(text) <> '' AND regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])(roub|assalt|furt|levaram|arrast[aã]o|abord(a|aram|ou)|abandonad[ao])')", "posts")
+@query("scan_posts", "SELECT id FROM posts WHERE NOT is_retweet AND trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)) <> '' AND regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])(roub|assalt|furt|levaram|arrast[aã]o|abord(a|aram|ou)|abandonad[ao])')", "posts")
 def _(spark, d):
     return SC.usable_posts(B.posts(spark, d)).select("id")
 
 
-@query("scan_posts_all", "SELECT id, account FROM posts WHERE NOT is_retweet AND trim(text) <> ''", "posts")
+@query("scan_posts_all", "SELECT id, account FROM posts WHERE NOT is_retweet AND trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)) <> ''", "posts")
 def _(spark, d):
     return SC.usable_posts(B.posts(spark, d), keyword_only=False).select("id", "account")
 
 
-@query("scan_classified_posts", """SELECT p.id FROM posts p JOIN labels l ON l.doc_id = p.conv_id WHERE NOT is_retweet AND trim(text) <> '' AND l.quality = 1 AND (l.doc_id % 100)/1e2 >= 0.5e0""", "posts")
+@query("scan_classified_posts", """SELECT p.id FROM posts p JOIN labels l ON l.doc_id = p.conv_id WHERE NOT is_retweet AND trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)) <> '' AND l.quality = 1 AND (l.doc_id % 100)/1e2 >= 0.5e0""", "posts")
 def _(spark, d):
     lab = B.table(spark, d, "labels").select(F.col("doc_id").alias("conv_id"), F.struct(
         (F.col("quality") == 1).alias("is_relevant"), ((F.col("doc_id") % 100) / 100.0).alias("confidence")).alias("relevance"))
@@ -256,11 +256,15 @@ def _(spark, d):
     return out.withColumns({c: joined_text(c) for c in ("factor_types", "agencies")})
 
 
-@query("tips_by_street", """SELECT street, COUNT(*) AS n_tips, string_agg(DISTINCT kind, '|' ORDER BY kind) AS tip_types, CAST((SELECT SUM(length(text)) FROM (SELECT text FROM tip b WHERE b.street = a.street ORDER BY id LIMIT 2)) AS BIGINT) AS sample_chars FROM tip a GROUP BY 1""", "tip")
+@query("tips_by_street", """SELECT street, COUNT(*) AS n_tips, string_agg(DISTINCT kind, '|' ORDER BY kind) AS tip_types FROM tip GROUP BY 1""", "tip")
 def _(spark, d):
     out = M.tips_by_street(B.tips(spark, d), [])
-    chars = F.aggregate("samples", F.lit(0).cast("bigint"), lambda a, t: a + F.length(t))
-    return out.select("street", "n_tips", joined_text("tip_types").alias("tip_types"), chars.alias("sample_chars"))
+    return out.select("street", "n_tips", joined_text("tip_types").alias("tip_types"))
+
+
+@query("tip_narratives", "SELECT street, id AS \"order\", md5(text) AS text FROM tip WHERE street <> '' AND text IS NOT NULL", "tip")
+def _(spark, d):
+    return M.tip_narratives(B.tips(spark, d), []).withColumn("text", F.md5("text"))
 
 
 @query("join_left_street", """SELECT s.street, s.n, f.nf, t.nt FROM (SELECT street, COUNT(*) n FROM inc GROUP BY 1) s LEFT JOIN (SELECT street, COUNT(*) nf FROM fac GROUP BY 1) f USING (street) LEFT JOIN (SELECT street, COUNT(*) nt FROM tip GROUP BY 1) t USING (street)""", "inc fac tip")
@@ -455,9 +459,9 @@ def _(spark, d):
     return R.top_k_per_group(li, ["l_returnflag"], order, 5).select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-@query("sort_desc_by_score", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50")
+@query("sort_desc_by_score", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey")
 def _(spark, d):
-    return R.sort_desc_by_score(B.table(spark, d, "customer"), "c_acctbal", "c_custkey").limit(50).select("c_custkey", "c_acctbal")
+    return R.sort_desc_by_score(B.table(spark, d, "customer"), "c_acctbal", "c_custkey").select("c_custkey", "c_acctbal")
 
 
 @query("global_rank", "SELECT id, row_number() OVER (ORDER BY value DESC, id) AS rank FROM inc", "inc")
@@ -524,14 +528,14 @@ def _(spark, d):
     return Q.query_streets(streets, kind="celular", limit=25).select("zone_id", "street", "total", "peak_hour")
 
 
-@query("query_narratives", "SELECT id FROM tip WHERE contains(lower(trim(kind)),'furto') AND contains(lower(trim(text)),'the') AND contains(street,'sao 1') ORDER BY id LIMIT 20", "tip")
+@query("query_narratives", "SELECT id FROM tip WHERE contains(lower(trim(kind, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160))),'furto') AND contains(lower(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160))),'the') AND contains(street,'sao 1') ORDER BY id LIMIT 20", "tip")
 def _(spark, d):
     return Q.query_narratives(B.tips(spark, d), kind=" FURTO", contains="THE", street="sao 1").select("id")
 
 
 @query("query_service_calls", "SELECT kind, agency, total, overdue FROM (SELECT kind, agency, COUNT(*) total, COUNT(*) FILTER (due='Vencido') overdue FROM cal GROUP BY 1,2) WHERE overdue > 0 AND contains(lower(agency),'rio') ORDER BY total DESC, kind, agency LIMIT 30", "cal")
 def _(spark, d):
-    rows = M.calls_by_type(B.calls(spark, d).withColumn("zone_id", F.lit("all")), ZONE, k=1000)
+    rows = M.calls_by_pair(B.calls(spark, d).withColumn("zone_id", F.lit("all")), ZONE)
     return Q.query_service_calls(rows, "all", agency="Rio", overdue_only=True).select("kind", "agency", "total", "overdue")
 
 

@@ -102,18 +102,18 @@ def _(spark, d):
 _STEP = "CASE WHEN total >= 30 THEN 4 WHEN total >= 16 THEN 3 WHEN total >= 6 THEN 2 WHEN total >= 1 THEN 1 ELSE 0 END"
 ctes.TABLES["bpoints"] = ("inc fac tip", f"""SELECT *, p_crime + p_factors + p_tips + p_camera AS points FROM (SELECT street, total, CAST({_STEP} AS INT) AS p_crime,
  CAST(CASE WHEN nf >= 5 THEN 3 WHEN nf >= 3 THEN 2 WHEN nf >= 1 THEN 1 ELSE 0 END AS INT) AS p_factors, CAST(CASE WHEN nt >= 4 THEN 2 WHEN nt >= 1 THEN 1 ELSE 0 END AS INT) AS p_tips,
- CAST(CASE WHEN total >= 5 AND NOT cam THEN 1 ELSE 0 END AS INT) AS p_camera FROM (SELECT user_id, 'avenida sao ' || user_id AS street, COUNT(*) AS total, user_id % 2 = 0 AS cam FROM events WHERE event_id % 7 = 0 GROUP BY 1) s
+ CAST(CASE WHEN total >= 5 AND NOT cam THEN 1 ELSE 0 END AS INT) AS p_camera FROM (SELECT user_id, 'avenida sao ' || user_id AS street, COUNT(*) AS total, user_id % 2 = 0 AS cam FROM events GROUP BY 1) s
  LEFT JOIN (SELECT street, COUNT(DISTINCT kind) nf FROM fac GROUP BY 1) f USING (street) LEFT JOIN (SELECT street, COUNT(*) nt FROM tip GROUP BY 1) t USING (street))""")
 _PRIO = "CASE WHEN points >= 8 THEN 'CRITICA' WHEN points >= 6 THEN 'ALTA' WHEN points >= 3 THEN 'MEDIA' ELSE 'BAIXA' END"
 
 
-def _bingo(spark, d, top_n=10_000_000):
-    e = B.table(spark, d, "events").filter(F.col("event_id") % 7 == 0)
+def _bingo(spark, d, form=C.bingo_streets):
+    e = B.table(spark, d, "events")
     s = M.count_by(e, ["user_id"], "total").select(
         F.concat(F.lit("avenida sao "), F.col("user_id").cast("string")).alias("street"), "total", (F.col("user_id") % 2 == 0).alias("has_camera"))
     fac = M.factors_by_street(B.factors(spark, d), [])
     tip = M.tips_by_street(B.tips(spark, d), [])
-    return C.bingo_area(s, fac, tip, ["street"], top_n=top_n)
+    return form(s, fac, tip, ["street"])
 
 
 @query("bingo_points", f"SELECT street, total, p_crime, p_factors, p_tips, p_camera, CAST(points AS INT) AS points, {_PRIO} AS priority FROM bpoints", "bpoints")
@@ -123,7 +123,7 @@ def _(spark, d):
 
 @query("bingo_area", f"SELECT street, CAST(points AS INT) AS points FROM bpoints ORDER BY points DESC, total DESC, street LIMIT 20", "bpoints")
 def _(spark, d):
-    return _bingo(spark, d, 20).select("street", "points")
+    return _bingo(spark, d, C.bingo_area).select("street", "points")
 
 
 @query("bingo_summary", f"SELECT left(street,13) AS grp, COUNT(*) AS n_streets, COUNT(*) FILTER ({_PRIO} = 'CRITICA') AS n_critica, COUNT(*) FILTER ({_PRIO} = 'ALTA') AS n_alta, COUNT(*) FILTER ({_PRIO} = 'MEDIA') AS n_media, COUNT(*) FILTER ({_PRIO} = 'BAIXA') AS n_baixa FROM bpoints GROUP BY 1", "bpoints")
@@ -131,17 +131,17 @@ def _(spark, d):
     return C.bingo_summary(_bingo(spark, d).withColumn("grp", F.left("street", F.lit(13))), ["grp"])
 
 
-@query("bingo_combos", "SELECT street, list_has_all(list(DISTINCT kind), ['ECONOMY','PROMO']) AS c1, list_has_all(list(DISTINCT kind), ['LARGE','SMALL','STANDARD']) AS c2 FROM fac WHERE id % 4 = 0 GROUP BY 1", "fac")
+@query("bingo_combos", "SELECT street, list_has_all(list(DISTINCT kind), ['ECONOMY','PROMO']) AS c1, list_has_all(list(DISTINCT kind), ['LARGE','SMALL','STANDARD']) AS c2 FROM fac GROUP BY 1", "fac")
 def _(spark, d):
-    f = M.factors_by_street(B.factors(spark, d).filter(F.col("id") % 4 == 0), [])
+    f = M.factors_by_street(B.factors(spark, d), [])
     found = C.bingo_combos(F.col("factor_types"), [["ECONOMY", "PROMO"], ["LARGE", "SMALL", "STANDARD"]])
     has = lambda part: F.exists("c", lambda t: t.contains(part))
     return f.select("street", found.alias("c")).select("street", has("ECONOMY").alias("c1"), has("LARGE").alias("c2"))
 
 
-@query("subset_of", "SELECT street, list_has_all(list(DISTINCT kind), ['ECONOMY','LARGE']) AS hit FROM fac WHERE id % 5 = 0 GROUP BY 1", "fac")
+@query("subset_of", "SELECT street, list_has_all(list(DISTINCT kind), ['ECONOMY','LARGE']) AS hit FROM fac GROUP BY 1", "fac")
 def _(spark, d):
-    f = M.factors_by_street(B.factors(spark, d).filter(F.col("id") % 5 == 0), [])
+    f = M.factors_by_street(B.factors(spark, d), [])
     return f.select("street", C.subset_of(["ECONOMY", "LARGE"], F.col("factor_types")).alias("hit"))
 
 

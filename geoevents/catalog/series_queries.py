@@ -124,10 +124,10 @@ def _(spark, d):
     return T.year_counts(B.calls(spark, d), BY)
 
 
-@query("union_keys", "SELECT DISTINCT kind, CAST(year(day) AS INT) AS year FROM cal WHERE id % 50 = 0 OR id % 77 = 0", "cal")
+@query("union_keys", "SELECT DISTINCT kind, CAST(year(day) AS INT) AS year FROM cal", "cal")
 def _(spark, d):
     c = B.calls(spark, d)
-    return T.union_keys(T.year_counts(c.filter(c.id % 50 == 0), BY), T.year_counts(c.filter(c.id % 77 == 0), BY), BY)
+    return T.union_keys(T.year_counts(c.filter(c.status == "Atendido"), BY), T.year_counts(c.filter(~c.status.eqNullSafe("Atendido")), BY), BY)
 
 
 @query("yoy_displacement", f"""WITH ay AS (SELECT neighbourhood, year(day) AS y, COUNT(*) n FROM cal WHERE status = 'Atendido' GROUP BY 1,2), ry AS (SELECT neighbourhood, year(day) AS y, COUNT(*) n FROM cal WHERE status <> 'Atendido' GROUP BY 1,2),

@@ -79,10 +79,10 @@ def _(spark, d):
     return N.component_diagnostics(N.street_components(_net(spark, d), min_edges=10))
 
 
-@query("multi_source_distance", """WITH RECURSIVE go(node, dist) AS (SELECT s_suppkey * 13 % 2000, 0 FROM supplier WHERE s_suppkey % 5 = 0 UNION SELECT e.b, go.dist + e.w FROM go JOIN net2 e ON e.a = go.node WHERE go.dist + e.w <= 120)
+@query("multi_source_distance", """WITH RECURSIVE go(node, dist) AS (SELECT s_suppkey * 13 % 2000, 0 FROM supplier UNION SELECT e.b, go.dist + e.w FROM go JOIN net2 e ON e.a = go.node WHERE go.dist + e.w <= 120)
  SELECT node, CAST(min(dist) AS DOUBLE) AS dist FROM go GROUP BY 1""", "net2")
 def _(spark, d):
-    src = B.table(spark, d, "supplier").filter(F.col("s_suppkey") % 5 == 0).select((F.col("s_suppkey") * 13 % 2000).alias("node"))
+    src = B.table(spark, d, "supplier").select((F.col("s_suppkey") * 13 % 2000).alias("node"))
     return N.multi_source_distance(_net(spark, d), src, 120.0)
 
 
@@ -90,7 +90,7 @@ def _(spark, d):
 _NODES = "SELECT p_partkey AS node, 615000e0 + (p_partkey % 40)*60e0 AS x, 7440000e0 + (p_partkey // 40)*60e0 AS y FROM part"
 ctes.TABLES["nodes"] = ("", _NODES)
 ctes.TABLES["gcam"] = ("", "SELECT s_suppkey AS id, 615000e0 + (s_suppkey*37 % 2400) AS x, 7440000e0 + (s_suppkey*91 % 3000) AS y FROM supplier")
-ctes.TABLES["ginc"] = ("", "SELECT o_orderkey AS id, 615000e0 + (o_orderkey*53 % 2600) AS x, 7440000e0 + (o_orderkey*17 % 3300) AS y FROM orders WHERE o_totalprice > 300000")
+ctes.TABLES["ginc"] = ("", "SELECT o_orderkey AS id, 615000e0 + (o_orderkey*53 % 2600) AS x, 7440000e0 + (o_orderkey*17 % 3300) AS y FROM orders")
 
 
 def _grid_tables(spark, d):
@@ -98,7 +98,7 @@ def _grid_tables(spark, d):
     nodes = B.table(spark, d, "part").select(p.alias("node"), (F.lit(615000.0) + p % 40 * 60.0).alias("x"), (F.lit(7440000.0) + F.floor(p / 40) * 60.0).alias("y"))
     s, o = F.col("s_suppkey"), F.col("o_orderkey")
     cams = B.table(spark, d, "supplier").select(s.alias("camera_id"), (F.lit(615000.0) + s * 37 % 2400).alias("x"), (F.lit(7440000.0) + s * 91 % 3000).alias("y"))
-    inc = B.table(spark, d, "orders").filter(F.col("o_totalprice") > 300000).select(o.alias("id"), (F.lit(615000.0) + o * 53 % 2600).alias("x"), (F.lit(7440000.0) + o * 17 % 3300).alias("y"), F.col("o_orderstatus").alias("offence"))
+    inc = B.table(spark, d, "orders").select(o.alias("id"), (F.lit(615000.0) + o * 53 % 2600).alias("x"), (F.lit(7440000.0) + o * 17 % 3300).alias("y"), F.col("o_orderstatus").alias("offence"))
     return nodes, cams, inc
 
 
@@ -135,7 +135,7 @@ def _(spark, d):
     return Q.query_gaps(gaps, "all", top=5).select("cluster_id", "priority")
 
 
-@query("snap_endpoints", """WITH RECURSIVE e AS (SELECT o_orderkey AS id, 615000e0 + (o_orderkey*53 % 2600) AS x, 7440000e0 + (o_orderkey*17 % 3300) AS y FROM orders WHERE o_totalprice > 300000), near_ AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id <> b.id AND pow(a.x-b.x,2)+pow(a.y-b.y,2) <= 144),
+@query("snap_endpoints", """WITH RECURSIVE e AS (SELECT o_orderkey AS id, 615000e0 + (o_orderkey*53 % 2600) AS x, 7440000e0 + (o_orderkey*17 % 3300) AS y FROM orders), near_ AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id <> b.id AND pow(a.x-b.x,2)+pow(a.y-b.y,2) <= 144),
  reach(id, r) AS (SELECT id, id FROM e UNION SELECT reach.id, n.b FROM reach JOIN near_ n ON n.a = reach.r), cl AS (SELECT id, min(r) AS cluster_id FROM reach GROUP BY 1)
  SELECT id AS end_id, cluster_id, round(AVG(x) OVER (PARTITION BY cluster_id),3) AS x, round(AVG(y) OVER (PARTITION BY cluster_id),3) AS y FROM cl JOIN e USING (id)""")
 def _(spark, d):
@@ -155,16 +155,16 @@ def _(spark, d):
 @query("simplify_lines", None)
 def _(spark, d):
     o = B.table(spark, d, "orders")
-    line = o.select((F.col("o_custkey") % 200).alias("line_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").cast("double").alias("x"), F.sin(F.col("o_orderkey") / 50.0).alias("y"))
+    line = o.select((F.col("o_custkey")).alias("line_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").cast("double").alias("x"), F.sin(F.col("o_orderkey") / 50.0).alias("y"))
     return N.simplify_lines(line, 0.3)
 
 
 # ------------------------------------------------------------------ incremental store (batch forms)
-@query("append_dedupe", "SELECT user_id AS id, min(event_id) AS event_id FROM events GROUP BY 1")
+@query("append_dedupe", "SELECT user_id AS id, coalesce(min(event_id) FILTER (event_type = 'purchase'), min(event_id)) AS event_id FROM events GROUP BY 1")
 def _(spark, d):
-    e = B.table(spark, d, "events").select(F.col("user_id").alias("id"), "event_id")
-    first = ST.latest_first(e.filter("event_id < 100"), "id", "event_id")
-    return ST.append_dedupe_batch(first, e, "id", "event_id")
+    e = B.table(spark, d, "events").select(F.col("user_id").alias("id"), "event_id", "event_type")
+    stored = ST.latest_first(e.filter("event_type = 'purchase'"), "id", "event_id")
+    return ST.append_dedupe_batch(stored, e, "id", "event_id").select("id", "event_id")
 
 
 @query("upsert_latest", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")

@@ -15,7 +15,7 @@ from geoevents.sources import bindings as B
 from geoevents.sources import scans as SC
 
 
-@query("norm_street", "SELECT doc_id, md5(trim(lower(strip_accents(text)))) AS norm FROM documents")
+@query("norm_street", "SELECT doc_id, md5(trim(lower(strip_accents(text)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160))) AS norm FROM documents")
 def _(spark, d):
     return B.table(spark, d, "documents").select("doc_id", F.md5(X.norm_street(F.col("text")).cast("binary")).alias("norm"))
 

@@ -33,14 +33,23 @@ def fold_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, _FOLD_FROM, _FOLD_TO), r"\p{M}", "")
 
 
+# All white space, not spaces alone: controls, no-break and typographic spaces.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(c, F.lit(WHITE))
+
+
 def norm_street(c: Column) -> Column:
     """Accent-free, lower-case, trimmed; NULL gives the empty string."""
-    return F.trim(F.lower(fold_accents(F.coalesce(c, F.lit("")))))
+    return strip(F.lower(fold_accents(F.coalesce(c, F.lit("")))))
 
 
 def norm_street_abbrev(c: Column) -> Column:
     """Upper-case, accent-free, abbreviations written out, single spaces."""
-    out = F.trim(F.upper(fold_accents(F.coalesce(c, F.lit("")))))
+    out = strip(F.upper(fold_accents(F.coalesce(c, F.lit("")))))
     for pattern, word in V.STREET_ABBREVIATIONS:
         out = F.regexp_replace(out, pattern, word)
     return F.trim(F.regexp_replace(out, r"\s+", " "))
@@ -59,7 +68,7 @@ def dedupe_leading_prefix(c: Column) -> Column:
 
 def contains_ci(c: Column, text: str) -> Column:
     """Trimmed case-insensitive contains; NULL is the empty text."""
-    return F.lower(F.trim(F.coalesce(c, F.lit("")))).contains(text.strip().lower())
+    return F.lower(strip(F.coalesce(c, F.lit("")))).contains(text.strip().lower())
 
 
 def match_kind(c: Column, kind: str) -> Column:
@@ -201,10 +210,10 @@ def skin_category(c: Column) -> Column:
 
 def parse_json_array(c: Column) -> Column:
     """JSON list text -> trimmed non-empty strings; a scalar or unparsable text -> one element."""
-    s = F.trim(F.coalesce(c, F.lit("")))
+    s = strip(F.coalesce(c, F.lit("")))
     as_list = F.from_json(s, "array<string>")
-    cleaned = F.filter(F.transform(as_list, lambda x: F.trim(x)), lambda x: x != "")
-    scalar = F.trim(F.regexp_replace(s, r'^"(.*)"$', "$1"))
+    cleaned = F.filter(F.transform(as_list, strip), lambda x: x != "")
+    scalar = strip(F.regexp_replace(s, r'^"(.*)"$', "$1"))
     empty = F.array().cast("array<string>")
     return (
         F.when(s.isin("", "nan", "[]"), empty)

@@ -17,7 +17,7 @@ from geoevents.functions import geo as G
 from geoevents.functions import text as X
 from geoevents.operators import spatial as S
 from geoevents.operators.ranking import top_k_per_group
-from geoevents.session import cut, small_or_salted
+from geoevents.session import cut, hashed_join
 
 # Margin that keeps "same cell" strictly inside the radius despite floating point.
 _SHRINK = 1.0 - 1e-9
@@ -25,7 +25,7 @@ _NEIGHBOURS = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if (dx, dy
 
 
 # ------------------------------------------------------------------ components
-def connected_components(nodes: DataFrame, links: DataFrame, *, max_rounds: int = 100) -> DataFrame:
+def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``(node, component)``, the component being its smallest node id.
 
     ``links(a, b)``. Each round gives nodes a fresh random order (a hash); every node moves to
@@ -36,9 +36,8 @@ def connected_components(nodes: DataFrame, links: DataFrame, *, max_rounds: int
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
     edges = cut(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     assigned = nodes.select("node", F.col("node").alias("comp")).distinct()
-    for turn in range(max_rounds):
-        if edges.isEmpty():
-            break
+    turn = 0
+    while not edges.isEmpty():
         ordered = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("id"))
         step = edges.groupBy("u").agg(F.min(ordered("v")).alias("m"))
         step = cut(step.select("u", F.least(ordered("u"), "m")["id"].alias("p")))
@@ -46,15 +45,14 @@ def connected_components(nodes: DataFrame, links: DataFrame, *, max_rounds: int
         jump = cut(step.join(onward, "p", "left").select("u", F.coalesce("pp", "p").alias("p")))
         moved = jump.select(F.col("u").alias("comp"), F.col("p").alias("_new"))
         assigned = cut(
-            small_or_salted(assigned, moved, ["comp"], "left").select("node", F.coalesce("_new", "comp").alias("comp"))
+            hashed_join(assigned, moved, ["comp"], "left").select("node", F.coalesce("_new", "comp").alias("comp"))
         )
-        left = small_or_salted(edges, jump.select("u", F.col("p").alias("pu")), ["u"], "inner")
-        right = small_or_salted(left, jump.select(F.col("u").alias("v"), F.col("p").alias("pv")), ["v"], "inner")
+        left = hashed_join(edges, jump.select("u", F.col("p").alias("pu")), ["u"], "inner")
+        right = hashed_join(left, jump.select(F.col("u").alias("v"), F.col("p").alias("pv")), ["v"], "inner")
         edges = cut(right.select(F.col("pu").alias("u"), F.col("pv").alias("v")).filter("u <> v").distinct())
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        turn += 1
     smallest = assigned.groupBy("comp").agg(F.min("node").alias("component"))
-    return small_or_salted(assigned, smallest, ["comp"], "inner").select("node", "component")
+    return hashed_join(assigned, smallest, ["comp"], "inner").select("node", "component")
 
 
 # ------------------------------------------------------------------ linking by distance
@@ -151,7 +149,7 @@ def cluster_eps(points: DataFrame, eps_m: float = V.GAP_EPS_M, *, id_col: str =
     smallest = keyed.groupBy("node").agg(F.min(id_col).alias("_first")).join(comp, "node")
     names = smallest.groupBy("component").agg(F.min("_first").alias("cluster_id"))
     per_cell = comp.join(names, "component").select("node", "cluster_id")
-    return small_or_salted(keyed, per_cell, ["node"], "inner").drop("node")
+    return hashed_join(keyed, per_cell, ["node"], "inner").drop("node")
 
 
 def cluster_summary(clustered: DataFrame, severity: str | None = None) -> DataFrame:
@@ -173,7 +171,7 @@ def neighbour_counts(points: DataFrame, eps_m: float, min_pts: int, *, id_col: s
     keyed = points.select(id_col, "x", "y").withColumns({
         "ix": G.cell(F.col("x"), size), "iy": G.cell(F.col("y"), size)})
     sizes = keyed.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("cell_n"))
-    sized = small_or_salted(keyed, sizes, ["ix", "iy"], "inner")
+    sized = hashed_join(keyed, sizes, ["ix", "iy"], "inner")
     dense = F.col("cell_n") >= min_pts
     sparse = sized.filter(~dense)
     around = F.explode(F.array(*[
@@ -181,7 +179,7 @@ def neighbour_counts(points: DataFrame, eps_m: float, min_pts: int, *, id_col: s
     looking = sparse.select(F.col(id_col).alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"), "ix", "iy", around.alias("s"))
     looking = looking.select("_id", "_x", "_y", (F.col("ix") + F.col("s.dx")).alias("ix"), (F.col("iy") + F.col("s.dy")).alias("iy"))
     places = keyed.groupBy("ix", "iy", "x", "y").agg(F.count(F.lit(1)).alias("k"))
-    met = small_or_salted(places, looking, ["ix", "iy"], "inner").filter(
+    met = hashed_join(places, looking, ["ix", "iy"], "inner").filter(
         G.dist2(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")) <= F.lit(float(eps_m) ** 2))
     counted = met.groupBy(F.col("_id").alias(id_col)).agg(F.sum("k").alias("k"))
     node = cell_key(F.col("ix"), F.col("iy")).alias("node")
@@ -199,13 +197,13 @@ def dbscan(points: DataFrame, eps_m: float = 150.0, min_pts: int = 5, *, id_col:
     first = core.groupBy("node").agg(F.min(id_col).alias("_first")).join(comp, "node")
     names = first.groupBy("component").agg(F.min("_first").alias("cluster_id"))
     per_cell = comp.join(names, "component").select("node", "cluster_id")
-    in_core = small_or_salted(core, per_cell, ["node"], "inner").select(id_col, "cluster_id")
+    in_core = hashed_join(core, per_cell, ["node"], "inner").select(id_col, "cluster_id")
     # border: distinct core places per cell and cluster around each non-core point
-    places = small_or_salted(core.select("node", "x", "y").distinct(), per_cell, ["node"], "inner").drop("node")
+    places = hashed_join(core.select("node", "x", "y").distinct(), per_cell, ["node"], "inner").drop("node")
     border = judged.filter(~F.col("is_core")).select(F.col(id_col).alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     reach = S.spread_cells(border, float(eps_m), size, "_x", "_y")
     placed = places.withColumns({"ix": G.cell(F.col("x"), size), "iy": G.cell(F.col("y"), size)})
-    near = small_or_salted(placed, reach, ["ix", "iy"], "inner").filter(
+    near = hashed_join(placed, reach, ["ix", "iy"], "inner").filter(
         G.dist2(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")) <= F.lit(float(eps_m) ** 2))
     at_border = near.groupBy(F.col("_id").alias(id_col)).agg(F.min("cluster_id").alias("cluster_id"))
     return in_core.unionByName(at_border)
@@ -277,7 +275,7 @@ def build_street_edges(segments: DataFrame, digits: int = 1) -> DataFrame:
 
 
 def multi_source_distance(
-    edges: DataFrame, sources: DataFrame, cutoff: float, *, max_rounds: int = 10_000, cut_every: int = 3,
+    edges: DataFrame, sources: DataFrame, cutoff: float,
 ) -> DataFrame:
     """``(node, dist)`` of the nodes within ``cutoff`` of any source along the edges.
 
@@ -289,8 +287,8 @@ def multi_source_distance(
     both = cut(both.filter(F.col("w") <= cutoff))
     best = cut(sources.select("node", F.lit(0.0).alias("dist")).distinct())
     frontier = best
-    for _ in range(max_rounds):
-        moved = small_or_salted(both, frontier.select(F.col("node").alias("u"), "dist"), ["u"], "inner")
+    while True:
+        moved = hashed_join(both, frontier.select(F.col("node").alias("u"), "dist"), ["u"], "inner")
         offers = moved.select(F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
         offers = offers.filter(F.col("dist") <= cutoff).groupBy("node").agg(F.min("dist").alias("new"))
         better = offers.join(best, "node", "left").filter(F.col("dist").isNull() | (F.col("new") < F.col("dist")))
@@ -298,7 +296,6 @@ def multi_source_distance(
         if frontier.isEmpty():
             return best
         best = cut(best.unionByName(frontier).groupBy("node").agg(F.min("dist").alias("dist")))
-    raise RuntimeError("distances did not settle")
 
 
 def network_coverage(
@@ -316,7 +313,7 @@ def network_coverage(
     reached = multi_source_distance(edges, sources, radius_m).select("node", F.lit(True).alias("on_net"))
     snapped = at(incidents, id_col).select(id_col, "node", (F.col("dist_m") <= snap_tol_m).alias("reliable"))
     straight = S.within_radius(incidents, cameras, radius_m).select(id_col, F.lit(True).alias("straight"))
-    judged = small_or_salted(snapped, reached, ["node"], "left").join(straight, id_col, "left")
+    judged = hashed_join(snapped, reached, ["node"], "left").join(straight, id_col, "left")
     covered = F.when(F.col("reliable"), F.coalesce("on_net", F.lit(False))).otherwise(F.coalesce("straight", F.lit(False)))
     return judged.select(id_col, covered.alias("covered"))
 
@@ -335,13 +332,13 @@ def street_components(edges: DataFrame, min_edges: int = V.MIN_COMPONENT_EDGES)
     links = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
     comp = connected_components(nodes, links)
-    keyed = small_or_salted(edges, comp.select(F.col("node").alias("src"), "component"), ["src"], "inner")
+    keyed = hashed_join(edges, comp.select(F.col("node").alias("src"), "component"), ["src"], "inner")
     sizes = keyed.groupBy("component").agg(F.count(F.lit(1)).alias("n_edges"))
     largest = sizes.orderBy(F.desc("n_edges"), "component").limit(1).select(
         F.col("component"), F.lit(True).alias("largest"))
     sizes = sizes.join(F.broadcast(largest), "component", "left").withColumn(
         "kept", (F.col("n_edges") >= min_edges) | F.coalesce("largest", F.lit(False))).drop("largest")
-    return small_or_salted(keyed, sizes, ["component"], "inner")
+    return hashed_join(keyed, sizes, ["component"], "inner")
 
 
 def component_diagnostics(components: DataFrame) -> DataFrame:
@@ -355,7 +352,7 @@ def component_diagnostics(components: DataFrame) -> DataFrame:
 
 def simplify_lines(vertices: DataFrame, tolerance: float, *, line_id: str = "line_id", digits: int | None = None) -> DataFrame:
     """Douglas–Peucker per line: ``(line_id, seq, x, y)`` rows that stay. Lines are grouped and
-    shuffled by Spark; one line (a bounded list of vertices) is one small numpy job."""
+    shuffled by Spark; one line is one small numpy job, so a line must fit into a task."""
     import numpy as np
     import pandas as pd
 
@@ -389,8 +386,9 @@ def simplify_lines(vertices: DataFrame, tolerance: float, *, line_id: str = "lin
 def hull_zone(points: DataFrame, by: str) -> DataFrame:
     """Convex hull vertices ``(zone_id, part, ring, seq, x, y)`` per area.
 
-    The hull is taken twice: over each task's own points first, then over those few hull
-    points per area, so an area with many points never meets whole in one group.
+    Hulls are taken in three steps: a running hull per area over all batches of a task, then the
+    hulls of groups of tasks, then those few corners per area. A hull of n points on a metre grid
+    has far fewer corners than n, so no group grows with an area's points.
     """
     import pandas as pd
 
@@ -410,9 +408,17 @@ def hull_zone(points: DataFrame, by: str) -> DataFrame:
         return pts if len(pts) < 3 else half(pts) + half(pts[::-1])
 
     def local(batches):
+        held = {}
         for pdf in batches:
-            rows = [(k, *p) for k, g in pdf.groupby(by) for p in corners(g)]
-            yield pd.DataFrame(rows, columns=[by, "x", "y"])
+            for k, g in pdf.groupby(by):
+                before = held.get(k)
+                held[k] = corners(g if before is None else pd.concat([g, pd.DataFrame(before, columns=["x", "y"])]))
+        rows = [(k, *p) for k, ring in held.items() for p in ring]
+        yield pd.DataFrame(rows, columns=[by, "x", "y"])
+
+    def middle(pdf: pd.DataFrame) -> pd.DataFrame:
+        ring = corners(pdf)
+        return pd.DataFrame({by: [pdf[by].iloc[0]] * len(ring), "x": [p[0] for p in ring], "y": [p[1] for p in ring]})
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         ring = corners(pdf)
@@ -422,5 +428,7 @@ def hull_zone(points: DataFrame, by: str) -> DataFrame:
 
     slim = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
         by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return slim.mapInPandas(local, slim.schema).groupBy(by).applyInPandas(
+    tasks = slim.mapInPandas(local, slim.schema).withColumn("_part", F.spark_partition_id() % 64)
+    merged = tasks.groupBy(by, "_part").applyInPandas(middle, slim.schema)
+    return merged.groupBy(by).applyInPandas(
         final, "zone_id string, part int, ring int, seq int, x double, y double")

@@ -14,7 +14,7 @@ from geoevents.functions import fixed_values as V
 from geoevents.functions import temporal as D
 from geoevents.functions import text as X
 from geoevents.operators.ranking import top_k_per_group
-from geoevents.session import small_or_salted
+from geoevents.session import hashed_join
 
 
 def count_by(df: DataFrame, by: list[str], out: str = "n") -> DataFrame:
@@ -159,22 +159,18 @@ def factors_by_street(df: DataFrame, by: list[str], street: str = "street", kind
     )
 
 
-def tips_by_street(df: DataFrame, by: list[str], street: str = "street", kind: str = "kind",
-                   text: str = "text", order: str = "id", samples: int = 2) -> DataFrame:
-    """Per street: number of tips, their distinct types and the first narratives.
-
-    The reference keeps every narrative in one list; here the rows themselves are that list
-    (filter ``df`` by street), and only the few narratives shown in reports are gathered.
-    """
+def tips_by_street(df: DataFrame, by: list[str], street: str = "street", kind: str = "kind") -> DataFrame:
+    """Per street: number of tips and their distinct types; ``tip_narratives`` has the texts."""
     rows = df.filter(F.col(street).isNotNull() & (F.col(street) != ""))
-    counts = rows.groupBy(*by, street).agg(
-        F.count(F.lit(1)).alias("n_tips"), F.sort_array(F.collect_set(kind)).alias("tip_types")
-    )
-    first = top_k_per_group(rows.filter(F.col(text).isNotNull()), [*by, street], [F.col(order)], samples)
-    sample = first.groupBy(*by, street).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda s: s[text]).alias("samples")
-    )
-    return counts.join(sample, [*by, street], "left")
+    return rows.groupBy(*by, street).agg(
+        F.count(F.lit(1)).alias("n_tips"), F.sort_array(F.collect_set(kind)).alias("tip_types"))
+
+
+def tip_narratives(df: DataFrame, by: list[str], street: str = "street", text: str = "text", order: str = "id") -> DataFrame:
+    """Every narrative of every street, one row each: (street, order, text). Long form, so a
+    street with any number of tips is never one list; sort by the order column to read it."""
+    rows = df.filter(F.col(street).isNotNull() & (F.col(street) != "") & F.col(text).isNotNull())
+    return rows.select(*by, street, F.col(order).alias("order"), text)
 
 
 def join_left_street(streets: DataFrame, keys: list[str], *others: DataFrame) -> DataFrame:
@@ -234,13 +230,19 @@ def calls_by_type(df: DataFrame, by: list[str], *, kind: str = "kind", agency: s
                   status: str = "status", due: str = "due", late: str = "Vencido", k: int = 20,
                   served: str = "Atendido") -> DataFrame:
     """The k most frequent (type, agency) pairs with served and overdue counts."""
-    counts = df.groupBy(*by, kind, agency).agg(
+    counts = calls_by_pair(df, by, kind=kind, agency=agency, status=status, due=due, late=late, served=served)
+    order = [F.desc("total"), F.col(kind), F.col(agency)]
+    return top_k_per_group(counts, by, order, k)
+
+
+def calls_by_pair(df: DataFrame, by: list[str], *, kind: str = "kind", agency: str = "agency",
+                  status: str = "status", due: str = "due", late: str = "Vencido", served: str = "Atendido") -> DataFrame:
+    """All (type, agency) pairs with served and overdue counts."""
+    return df.groupBy(*by, kind, agency).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(served_contains(F.col(status), served)).alias("served"),
         F.count_if(F.col(due) == late).alias("overdue"),
     )
-    order = [F.desc("total"), F.col(kind), F.col(agency)]
-    return top_k_per_group(counts, by, order, k)
 
 
 def calls_monthly_by_type(df: DataFrame, by: list[str], day: str = "day", kind: str = "kind",
@@ -440,19 +442,19 @@ def recent_incidents(df: DataFrame, days: int, kind: str | None = None, *, day:
 
 
 def window_filter(df: DataFrame, days: int, end=None, day: str = "day") -> DataFrame:
-    """Rows dated within ``days`` before the end (default: the latest day), NULL days dropped."""
-    dated = df.filter(F.col(day).isNotNull())
-    if end is not None:
-        last = F.lit(end).cast("date")
-        return dated.filter(F.col(day).between(F.date_sub(last, days), last))
-    last = dated.agg(F.max(day).alias("_end")).withColumn("_one", F.lit(1))
-    near = dated.withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one")
-    return near.filter(F.col(day).between(F.date_sub("_end", days), F.col("_end"))).drop("_one", "_end")
+    """Rows dated within ``days`` before the end (default: the latest day), NULL days dropped.
+
+    The latest day is one number, read first (from Parquet statistics where the column is
+    stored), so the filter is a literal that reaches the scan."""
+    if end is None:
+        end = df.agg(F.max(day)).first()[0]
+    last = F.lit(end).cast("date")
+    return df.filter(F.col(day).between(F.date_sub(last, days), last))
 
 
 def lookup_join(df: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Dictionary join (offence→type, agency→normal form, factor→agency, type→factor)."""
-    return small_or_salted(df, table, [key], how)
+    return hashed_join(df, table, [key], how)
 
 
 def hour_profile(df: DataFrame, by: list[str], hour: str = "hour") -> DataFrame:

@@ -177,10 +177,10 @@ def clip_segments(segments: DataFrame, index: DataFrame, cell_size: float = 0.00
 
 def flag_in_critical_street(tips: DataFrame, critical: DataFrame, street: str = "street") -> DataFrame:
     """Is the tip's street among the critical ones?"""
-    from geoevents.session import small_or_salted
+    from geoevents.session import hashed_join
 
     names = critical.select(F.col(street)).distinct().withColumn("_hit", F.lit(True))
-    return small_or_salted(tips, names, [street], "left").withColumn(
+    return hashed_join(tips, names, [street], "left").withColumn(
         "in_critical_street", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 

@@ -123,11 +123,11 @@ def bingo_combos(factor_types: Column, combos: list[list[str]] | None = None) ->
     return F.array_compact(F.array(*named))
 
 
-def bingo_area(
+def bingo_streets(
     streets: DataFrame, factors: DataFrame, tips: DataFrame, keys: list[str], has_camera: DataFrame | None = None,
-    by: list[str] | None = None, top_n: int = 20,
+    by: list[str] | None = None,
 ) -> DataFrame:
-    """All streets with their factors and tips, scored; the top n (per area when ``by``)."""
+    """All streets with their factors and tips, scored."""
     joined = streets.join(factors, keys, "left").join(tips, keys, "left")
     if has_camera is not None:
         joined = joined.join(has_camera, by or keys, "left")
@@ -138,7 +138,15 @@ def bingo_area(
         "factor_types": F.coalesce("factor_types", empty), "n_tips": F.coalesce("n_tips", F.lit(0)),
         "has_camera": F.coalesce("has_camera", F.lit(False)),
     }).withColumn("n_factor_types", F.size(F.array_distinct("factor_types")))
-    scored = bingo_points(filled).withColumn("combos", bingo_combos(F.col("factor_types")))
+    return bingo_points(filled).withColumn("combos", bingo_combos(F.col("factor_types")))
+
+
+def bingo_area(
+    streets: DataFrame, factors: DataFrame, tips: DataFrame, keys: list[str], has_camera: DataFrame | None = None,
+    by: list[str] | None = None, top_n: int = 20,
+) -> DataFrame:
+    """The top n of ``bingo_streets`` (per area when ``by``)."""
+    scored = bingo_streets(streets, factors, tips, keys, has_camera, by)
     order = [F.desc("points"), F.desc("total"), F.col(keys[-1])]
     return top_k_per_group(scored, by, order, top_n) if by else scored.orderBy(*order).limit(top_n)
 

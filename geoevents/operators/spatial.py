@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from geoevents.functions import geo as G
 from geoevents.operators.ranking import global_row_number
-from geoevents.session import cut, small_or_salted
+from geoevents.session import cut, hashed_join
 
 CELL_DEG = 0.005
 
@@ -91,7 +91,7 @@ def join_points_to_zones(
     """
     px, py = F.col(lon), F.col(lat)
     keyed = points.withColumns({"ix": G.cell(px, cell_size), "iy": G.cell(py, cell_size)})
-    joined = small_or_salted(keyed, index, ["ix", "iy"], "left" if how == "left" else "inner")
+    joined = hashed_join(keyed, index, ["ix", "iy"], "left" if how == "left" else "inner")
     hits = F.filter("cands", lambda z: z["full"] | inside_edges(z["edges"], px, py))
     out = joined.withColumn("_zones", F.transform(hits, lambda z: z["zone_id"]))
     out = out.drop("ix", "iy", "cands")
@@ -159,7 +159,7 @@ def within_radius(
     cols = points.columns
     keyed = points.withColumns({"ix": G.cell(F.col("x"), radius), "iy": G.cell(F.col("y"), radius)})
     close = G.within(F.col("x"), F.col("y"), F.col("_ax"), F.col("_ay"), radius)
-    return small_or_salted(keyed, reach, ["ix", "iy", *keys], how, close).select(*cols)
+    return hashed_join(keyed, reach, ["ix", "iy", *keys], how, close).select(*cols)
 
 
 def covered_by_camera(incidents: DataFrame, cameras: DataFrame, radius_m: float = 50.0) -> DataFrame:
@@ -216,7 +216,7 @@ def ring_join(
     per_cell = edge_cells(metric_edges, size, size).groupBy("ix", "iy", "zone_id").agg(
         F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges")
     ).groupBy("ix", "iy").agg(F.collect_list(F.struct("zone_id", "edges")).alias("cands"))
-    joined = small_or_salted(outside, per_cell, ["ix", "iy"], "inner")
+    joined = hashed_join(outside, per_cell, ["ix", "iy"], "inner")
     px, py = F.col("x"), F.col("y")
     close = F.filter(
         "cands",
@@ -291,7 +291,7 @@ def nearest(
     px, py = F.col("px"), F.col("py")
     for level in range(1, depth + 1):
         kid = F.explode("kids").alias("k")
-        opened = small_or_salted(frontier, boxes(level), ["cx", "cy"], "inner").select(
+        opened = hashed_join(frontier, boxes(level), ["cx", "cy"], "inner").select(
             point_id, "px", "py", kid
         )
         gap_x = F.greatest(F.col("k.minx") - px, F.lit(0.0), px - F.col("k.maxx"))
@@ -309,7 +309,7 @@ def nearest(
     leaves = places.withColumns({
         "cx": G.cell(F.col("x") - F.lit(x0), leaf_size), "cy": G.cell(F.col("y") - F.lit(y0), leaf_size),
     })
-    pairs = small_or_salted(frontier, leaves, ["cx", "cy"], "inner")
+    pairs = hashed_join(frontier, leaves, ["cx", "cy"], "inner")
     d = G.distance(px, py, F.col("x"), F.col("y"))
     pairs = pairs.filter(d.isNotNull())
     best = pairs.groupBy(point_id).agg(F.min(F.struct(d.alias("d"), F.col(target_id).alias("t"))).alias("b"))

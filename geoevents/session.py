@@ -1,4 +1,4 @@
-"""Session helpers: building a session, cutting lineage, size-checked broadcasts."""
+"""Session helpers: building a session, cutting lineage, joins."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when a count of its rows came out below this bound.
-BROADCAST_ROWS = 200_000
-# Copies of the small side when it is too large to broadcast and one key may be hot.
-SALTS = 16
-
 
 def build_session(app: str = "geoevents", master: str = "local[8]", **conf) -> SparkSession:
     """A session with the settings the operators assume (UTC, AQE with skew handling)."""
@@ -23,6 +18,7 @@ def build_session(app: str = "geoevents", master: str = "local[8]", **conf) -> S
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     for key, value in conf.items():
@@ -48,56 +44,44 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, so loops keep a short lineage and a
     lost executor costs a re-read, not a re-run."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    out._materialised = True
+    return out
+
 
+def written_bytes(df: DataFrame) -> int:
+    """Size of a materialised frame, as the length of its rows' JSON (nested lists included).
+    Kept on the frame, so one frame used in several joins is measured once."""
+    if not hasattr(df, "_bytes"):
+        df._bytes = df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return df._bytes
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when the frame has at most ``max_rows`` rows (counts no further than that).
 
-    The answer is kept on the frame, so one frame used in several joins is counted once."""
-    known = getattr(df, "_counted_small", {})
-    if max_rows not in known:
-        known = {**known, max_rows: df.limit(max_rows + 1).count() <= max_rows}
-        df._counted_small = known
-    return known[max_rows]
+def broadcast_limit(spark: SparkSession) -> int:
+    """The session's own bound for broadcasts, in bytes (-1: none are made)."""
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").lower()
+    units = {"b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "": 0}
+    number = text.rstrip("bkmg")
+    return int(number) << units[text[len(number):]] if not number.startswith("-") else -1
 
 
-def small_or_salted(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    how: str = "left",
-    condition: Column | None = None,
-    max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+def hashed_join(
+    big: DataFrame, side: DataFrame, on: list[str], how: str = "left", condition: Column | None = None
 ) -> DataFrame:
-    """Equi-join where a key of ``big`` may hold a large share of its rows.
+    """Equi-join whose physical form is Spark's choice, where a key of ``big`` may be hot.
 
-    ``small`` is broadcast when a count shows it is small; otherwise its rows are copied
-    ``salts`` times and ``big`` spreads each key over the copies, so no key becomes one task.
-    ``condition`` (on columns of both sides) may be given for inner and left_semi joins.
+    A side that is already written out is measured in bytes and hinted for broadcast within the
+    session's own bound; any other side is left to the adaptive planner, which broadcasts by the
+    size it meets and splits skewed partitions. The rows are the same either way.
+    ``condition`` (on columns of both sides) may be given for inner, left_semi and left_anti.
     """
-    if is_small(small, max_rows):
-        if condition is None:
-            return big.join(F.broadcast(small), on, how)
-        big_keyed, small_keyed, keys = big, F.broadcast(small), on
-    else:
-        cols = [c for c in big.columns]
-        big_keyed = big.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
-        small_keyed = small.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        )
-        keys = on + ["_salt"]
-        if condition is None:
-            return big_keyed.join(small_keyed, keys, how).drop("_salt")
+    if getattr(side, "_materialised", False) and written_bytes(side) <= broadcast_limit(side.sparkSession):
+        side = F.broadcast(side)
+    if condition is None:
+        return big.join(side, on, how)
     if how == "inner":
-        return big_keyed.join(small_keyed, keys, "inner").filter(condition).drop("_salt")
-    renamed = small_keyed.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        *[c for c in small_keyed.columns if c not in keys],
-    )
-    cond = condition
-    for k in keys:
-        cond = (F.col(k) == F.col(f"_k_{k}")) & cond
-    joined = big_keyed.join(renamed, cond, how)
-    return joined.drop("_salt", *[f"_k_{k}" for k in keys])
+        return big.join(side, on, "inner").filter(condition)
+    renamed = side.select(*[F.col(k).alias(f"_k_{k}") for k in on], *[c for c in side.columns if c not in on])
+    for k in on:
+        condition = (F.col(k) == F.col(f"_k_{k}")) & condition
+    return big.join(renamed, condition, how)

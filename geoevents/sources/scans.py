@@ -205,7 +205,7 @@ def report_fields(df: DataFrame) -> DataFrame:
     text = F.coalesce("full_text", F.lit(""))
     return paired.select(
         "area",
-        F.when((F.trim(text) == "") & (F.size("sections") > 0), rebuilt).otherwise(text).alias("full_text"),
+        F.when((X.strip(text) == "") & (F.size("sections") > 0), rebuilt).otherwise(text).alias("full_text"),
         "sections",
     )
 
@@ -218,7 +218,7 @@ def scan_reports_json(spark: SparkSession, path: str) -> DataFrame:
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, broken lines): broken lines are kept aside to be counted, not lost."""
     full = T.StructType.fromDDL(schema).add("_corrupt_record", T.StringType())
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    lines = spark.read.text(path).filter(X.strip(F.col("value")) != "")
     parsed = lines.select(
         F.from_json(
             "value", full,
@@ -243,7 +243,7 @@ def scan_actions_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def usable_posts(posts: DataFrame, *, keyword_only: bool = True) -> DataFrame:
     """Original, non-blank posts; by default only those passing the keyword pre-filter."""
     out = posts.filter(~F.coalesce(F.col("is_retweet"), F.lit(False)))
-    out = out.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
+    out = out.filter(X.strip(F.coalesce("text", F.lit(""))) != "")
     return out.filter(X.keyword_prefilter(F.col("text"))) if keyword_only else out
 
 
@@ -263,7 +263,7 @@ def scan_classified_posts(spark: SparkSession, path: str, min_confidence: float
 
 def article_source_text(df: DataFrame, cap: int = 6000) -> DataFrame:
     """Source id and text (title, subtitle, body) of articles, at most ``cap`` characters."""
-    blank_null = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    blank_null = lambda c: F.nullif(X.strip(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))), F.lit(""))
     joined = F.concat_ws("\n\n", blank_null("title"), blank_null("subtitle"), blank_null("body_text"))
     return df.withColumns({
         "source_id": F.coalesce("article_id", "url"),
@@ -312,11 +312,11 @@ def flag_quality(df: DataFrame, id_col: str, lat: str = "lat", lon: str = "lon",
                  bbox=V.CITY_BBOX) -> DataFrame:
     """Quality flags as columns; no row is dropped. The duplicate flag joins per-id counts
     (pre-aggregated), so a heavily repeated id never becomes one task."""
-    from geoevents.session import small_or_salted
+    from geoevents.session import hashed_join
 
     repeated = df.groupBy(id_col).count().filter(F.col("count") > 1)
     repeated = repeated.select(id_col, F.lit(True).alias("_is_duplicate"))
-    out = small_or_salted(df, repeated, [id_col], "left")
+    out = hashed_join(df, repeated, [id_col], "left")
     has = F.col(lat).isNotNull() & F.col(lon).isNotNull()
     return out.withColumns({
         "_is_duplicate": F.coalesce("_is_duplicate", F.lit(False)),

@@ -42,22 +42,21 @@ def _write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
     batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
 
 
-def append_unseen(batch: DataFrame, batch_id: int, path: str, id_col: str) -> None:
-    """Write the rows of a batch whose id no earlier batch holds (first copy of an id wins)."""
+def append_unseen(batch: DataFrame, batch_id: int, path: str, id_col: str, order: str) -> None:
+    """Write the rows of a batch whose id no earlier batch holds; of copies in the batch the
+    first by ``order`` is written."""
     spark = batch.sparkSession
     stored = read_store(spark, path, _with_batch(batch.schema))
     earlier = stored.filter(F.col("batch") < batch_id).select(id_col).distinct()
-    fresh = batch.dropDuplicates([id_col]).join(earlier, id_col, "left_anti")
+    fresh = latest_first(batch, id_col, order).join(earlier, id_col, "left_anti")
     _write_batch(fresh.select(*batch.columns), path, batch_id)
 
 
-def append_dedupe(stream: DataFrame, path: str, checkpoint: str, *, id_col: str, ts_col: str,
-                  delay: str = "1 day") -> DataStreamWriter:
-    """Append only unseen ids: copies within the delay are dropped by watermarked state,
-    older ones by an anti join with the store."""
-    deduped = stream.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark([id_col])
-    return deduped.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: append_unseen(batch, batch_id, path, id_col))
+def append_dedupe(stream: DataFrame, path: str, checkpoint: str, *, id_col: str, ts_col: str) -> DataStreamWriter:
+    """Append only unseen ids, however late: known ids are removed by an anti join with the
+    store, so no row is dropped for its age."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, batch_id: append_unseen(batch, batch_id, path, id_col, ts_col))
 
 
 def append_dedupe_batch(existing: DataFrame, incoming: DataFrame, id_col: str, order: str) -> DataFrame:

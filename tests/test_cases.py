@@ -269,3 +269,36 @@ def test_chunks_keep_everything(spark):
     assert "\n".join(r.chunk for r in rows) == text
     assert all(len(r.chunk) <= 3500 or "\n" not in r.chunk for r in rows)
     assert [r.chunk_id for r in rows][:2] == ["1:0", "1:1"]
+
+
+def test_poisson_interval_of_large_counts():
+    """Bisection and expansion agree around the bound; far above it the cube-root normal form of the gamma quantile does too."""
+
+    shape = np.array([1000.0, 1500.0, 4000.0])
+    for p in (0.025, 0.975):
+        small, large = series._small_gamma_quantile(p, shape), series._large_gamma_quantile(p, shape)
+        assert np.allclose(small, large, rtol=1e-9)
+    huge = np.array([1e4, 1e8, 1e11])
+    lo, hi = series._gamma_quantile(0.025, huge), series._gamma_quantile(0.975, huge + 1)
+    z = 1.959963984540054
+    cube = lambda k, q: k * (1 - 1 / (9 * k) + q / (3 * np.sqrt(k))) ** 3
+    assert np.allclose(lo, cube(huge, -z), rtol=1e-6) and np.allclose(hi, cube(huge + 1, z), rtol=1e-6)
+
+
+def test_joins_take_map_columns_and_any_size(spark):
+    from geoevents.session import cut, hashed_join
+
+    big = spark.range(100).selectExpr("id", "id % 5 as k", "map('a', id) as m")
+    side = spark.range(3).selectExpr("id as k", "id * 10 as v")
+    want = sorted((r.id, r.v) for r in big.join(side, "k", "left").collect())
+    for s in (side, cut(side)):
+        assert sorted((r.id, r.v) for r in hashed_join(big, s, ["k"], "left").collect()) == want
+    near = hashed_join(big, side, ["k"], "left_anti", big["id"] > 50)
+    assert near.count() == 100 - sum(1 for i in range(51, 100) if i % 5 < 3)
+
+
+def test_white_space_of_any_kind_is_trimmed(spark):
+    from geoevents.functions import text as X
+
+    row = spark.sql("select concat('\\n', chr(9), 'Rua  \u00c1', chr(160), '\\r') as s").select(X.norm_street(F.col("s")).alias("n")).first()
+    assert row.n == "rua  a"

@@ -100,7 +100,7 @@ def test_reports_and_jsonl(spark, tmp_path):
     back = scans.scan_events_jsonl(spark, out).first()
     assert back.weapons == [] and back.victims is None
     posts = write(tmp_path / "p.jsonl", '{"tweet_id":"1","text":"assalto na rua","is_retweet":false,"relevance":{"is_relevant":true,"confidence":0.4}}\n'
-                  '{"tweet_id":"2","text":"assalto","is_retweet":true}\n{"tweet_id":"3","text":"bom dia"}\n')
+                  '{"tweet_id":"4","text":"\\n\\t","is_retweet":false}\n{"tweet_id":"2","text":"assalto","is_retweet":true}\n{"tweet_id":"3","text":"bom dia"}\n')
     assert [r.tweet_id for r in scans.scan_posts_jsonl(spark, posts).collect()] == ["1"]
     assert scans.scan_classified_posts(spark, posts).count() == 0
     act = write(tmp_path / "a.jsonl", '{"action_id":"1","area_fm":"A","observed_event_id_deltas":{"x":2}}\n')
@@ -122,8 +122,11 @@ def test_append_dedupe_stream(spark, tmp_path):
     assert run() == [1, 2, 3]
     assert run() == [1, 2, 3]                      # nothing new: no change
     last = spark.read.parquet(out).filter("id = 3").first().batch
-    store.append_unseen(spark.read.parquet(src).filter("id > 1 and v > 'c'"), last, out, "id")   # the same batch again
+    store.append_unseen(spark.read.parquet(src).filter("id > 1 and v > 'c'"), last, out, "id", "ts")   # the same batch again
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+    spark.createDataFrame([(4, dt.datetime(2020, 1, 1), "late"), (4, dt.datetime(2019, 1, 1), "first")], schema).write.mode("append").parquet(src)
+    assert run() == [1, 2, 3, 4]                   # an unseen id is kept however late it is
+    assert spark.read.parquet(out).filter("id = 4").first().v == "first"
 
 
 def test_upsert_stream(spark, tmp_path):
