@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoevents.functions import fixed_values as V
@@ -35,33 +35,48 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
     edges = cut(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    assigned = nodes.select("node", F.col("node").alias("comp")).distinct()
-    turn = 0
+    moves: list[DataFrame] = []
     while not edges.isEmpty():
+        turn = len(moves)
         ordered = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("id"))
         step = edges.groupBy("u").agg(F.min(ordered("v")).alias("m"))
-        step = cut(step.select("u", F.least(ordered("u"), "m")["id"].alias("p")))
+        step = step.select("u", F.least(ordered("u"), "m")["id"].alias("p"))
         onward = step.select(F.col("u").alias("p"), F.col("p").alias("pp"))
         jump = cut(step.join(onward, "p", "left").select("u", F.coalesce("pp", "p").alias("p")))
-        moved = jump.select(F.col("u").alias("comp"), F.col("p").alias("_new"))
-        assigned = cut(
-            hashed_join(assigned, moved, ["comp"], "left").select("node", F.coalesce("_new", "comp").alias("comp"))
-        )
         left = hashed_join(edges, jump.select("u", F.col("p").alias("pu")), ["u"], "inner")
         right = hashed_join(left, jump.select(F.col("u").alias("v"), F.col("p").alias("pv")), ["v"], "inner")
         edges = cut(right.select(F.col("pu").alias("u"), F.col("pv").alias("v")).filter("u <> v").distinct())
-        turn += 1
+        moves.append(jump)
+    # tables of moves shrink with the graph: put together from the last, the small ones meet first
+    where = None
+    for jump in reversed(moves):
+        if where is None:
+            where = jump
+        else:
+            onward = where.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+            where = jump.join(onward, "p", "left").select("u", F.coalesce("pp", "p").alias("p"))
+    assigned = nodes.select("node").distinct()
+    if where is None:
+        return assigned.select("node", F.col("node").alias("component"))
+    assigned = cut(hashed_join(assigned, where.withColumnsRenamed({"u": "node", "p": "_to"}), ["node"], "left")
+                   .select("node", F.coalesce("_to", "node").alias("comp")))
     smallest = assigned.groupBy("comp").agg(F.min("node").alias("component"))
     return hashed_join(assigned, smallest, ["comp"], "inner").select("node", "component")
 
 
 # ------------------------------------------------------------------ linking by distance
-def _boxes(points: DataFrame, size: float, ix: str, iy: str, *extra: str) -> DataFrame:
-    return points.groupBy(
-        *extra, G.cell(F.col("x"), size).alias(ix), G.cell(F.col("y"), size).alias(iy)
-    ).agg(
-        F.min("x").alias("minx"), F.max("x").alias("maxx"), F.min("y").alias("miny"), F.max("y").alias("maxy")
-    )
+# Boxes with at most this many distinct places carry them as a list; fuller ones are split.
+_LISTED = 8
+
+
+def _boxes(places: DataFrame, size: float, ix: str, iy: str) -> DataFrame:
+    """Boxes of distinct places: extent, and the places themselves where they are few."""
+    keyed = places.select("x", "y", G.cell(F.col("x"), size).alias(ix), G.cell(F.col("y"), size).alias(iy))
+    counted = keyed.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(ix, iy)))
+    few = F.when(F.col("_n") <= _LISTED, F.struct("x", "y"))
+    return counted.groupBy(ix, iy).agg(
+        F.min("x").alias("minx"), F.max("x").alias("maxx"), F.min("y").alias("miny"), F.max("y").alias("maxy"),
+        F.collect_list(few).alias("pts"))
 
 
 def _box_gap(a: str, b: str) -> tuple[Column, Column]:
@@ -82,51 +97,49 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
-def linked_cells(points: DataFrame, eps_m: float, *, splits: int = 3) -> DataFrame:
+def linked_cells(points: DataFrame, eps_m: float) -> DataFrame:
     """Pairs of neighbouring cells that hold two points within ``eps_m`` of each other.
 
     ``points(x, y)``. Cells are compared by the boxes of their points: boxes wholly within the
-    radius are linked, boxes farther apart are not; undecided pairs are split four ways per
-    axis and compared again. What is still undecided after the last split (boxes well below a
-    metre at city radii) is compared point by point, so the result is exact.
+    radius are linked, boxes farther apart are not. Of undecided pairs, those of two boxes with
+    few places are settled place by place inside their row; the others are split four ways per
+    axis and compared again, until nothing is open. Distinct places always separate, so this
+    ends, and no dense box is ever compared place by place. A pair stops at its first hit.
     """
     size = eps_m / math.sqrt(2.0) * _SHRINK
-    places = points.select("x", "y").distinct()
-    cells = _boxes(places, size, "ix", "iy")
+    places = cut(points.select("x", "y").distinct())
     steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _NEIGHBOURS]))
-    a = _prefixed(cells, "a_").withColumn("s", steps).withColumns({
-        "b_ix": F.col("a_ix") + F.col("s.dx"), "b_iy": F.col("a_iy") + F.col("s.dy")}).drop("s")
-    pairs = a.join(_prefixed(cells, "b_"), ["b_ix", "b_iy"])
-    key = ["a_ix", "a_iy", "b_ix", "b_iy"]
     eps2 = F.lit(float(eps_m) ** 2)
     near, far = _box_gap("a_", "b_")
-    judged = cut(pairs.withColumns({"yes": far <= eps2, "maybe": near <= eps2}).filter("maybe"))
-    links = judged.filter("yes").select(*key)
-    open_pairs = judged.filter(~F.col("yes")).select(
+    listed = (F.size("a_pts") > 0) & (F.size("b_pts") > 0)
+    hit = F.exists("a_pts", lambda p: F.exists("b_pts", lambda q: G.dist2(p["x"], p["y"], q["x"], q["y"]) <= eps2))
+    key = ["a_ix", "a_iy", "b_ix", "b_iy"]
+
+    def judged(pairs: DataFrame, *keep: str) -> DataFrame:
+        """Pairs that are linked (``yes``) or still open."""
+        told = pairs.filter(near <= eps2).withColumns({"yes": (far <= eps2) | (listed & hit), "open": ~listed & (far > eps2)})
+        return cut(told.filter("yes or open").select(*key, "yes", *keep))
+
+    cells = _boxes(places, size, "ix", "iy")
+    a = _prefixed(cells, "a_").withColumn("s", steps).withColumns({
+        "b_ix": F.col("a_ix") + F.col("s.dx"), "b_iy": F.col("a_iy") + F.col("s.dy")}).drop("s")
+    first = judged(a.join(_prefixed(cells, "b_"), ["b_ix", "b_iy"]))
+    links = first.filter("yes").select(*key)
+    open_pairs = first.filter(~F.col("yes")).select(
         *key, *[F.col(f"{s}{k}").alias(f"{s}s{k}") for s in ("a_", "b_") for k in ("ix", "iy")])
     scale = 1
-    for _ in range(splits):
-        if open_pairs.isEmpty():
-            return links
+    while not open_pairs.isEmpty():
         scale *= 4
-        fine = _boxes(places, size / scale, "cx", "cy")
-        parent = {
-            "six": F.floor(F.col("cx") / 4).cast("bigint"), "siy": F.floor(F.col("cy") / 4).cast("bigint"),
-        }
-        kids = fine.withColumns(parent)
+        kids = _boxes(places, size / scale, "cx", "cy").withColumns({
+            "six": F.floor(F.col("cx") / 4).cast("bigint"), "siy": F.floor(F.col("cy") / 4).cast("bigint")})
         opened = open_pairs.join(_prefixed(kids, "a_"), ["a_six", "a_siy"]).join(
             _prefixed(kids, "b_"), ["b_six", "b_siy"])
-        opened = opened.withColumns({"yes": far <= eps2, "maybe": near <= eps2}).filter("maybe")
-        opened = cut(opened.select(*key, "yes", F.col("a_cx").alias("a_six"), F.col("a_cy").alias("a_siy"),
-                                   F.col("b_cx").alias("b_six"), F.col("b_cy").alias("b_siy")))
-        found = opened.filter("yes").select(*key).distinct()
+        told = judged(opened, "a_cx", "a_cy", "b_cx", "b_cy")
+        found = told.filter("yes").select(*key).distinct()
         links = links.unionByName(found)
-        open_pairs = opened.filter(~F.col("yes")).drop("yes").join(found, key, "left_anti")
-    leaf = places.withColumns({
-        "six": G.cell(F.col("x"), size / scale), "siy": G.cell(F.col("y"), size / scale)})
-    last = open_pairs.join(_prefixed(leaf, "a_"), ["a_six", "a_siy"]).join(_prefixed(leaf, "b_"), ["b_six", "b_siy"])
-    close = G.dist2(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y")) <= eps2
-    return links.unionByName(last.filter(close).select(*key).distinct())
+        open_pairs = told.filter(~F.col("yes")).join(found, key, "left_anti").select(
+            *key, F.col("a_cx").alias("a_six"), F.col("a_cy").alias("a_siy"), F.col("b_cx").alias("b_six"), F.col("b_cy").alias("b_siy"))
+    return links
 
 
 def cell_key(ix: Column, iy: Column) -> Column:
