@@ -368,15 +368,43 @@ def _(spark, d):
     return _modes(spark, d)[2].groupBy("zone_id").agg(F.sum("mode_agents").alias("total"))
 
 
-@query("mode_mix", None)
+ctes.TABLES["modes"] = ("roster", """SELECT zone_id, mode_order, mode, a AS mode_agents, CAST(floor(a*100e0/total+0.5e0) AS BIGINT) AS pct, ppl, s_pe, s_armed, night_pct FROM (
+ SELECT *, unnest([{'mode_order': 0, 'mode': 'pe', 'a': total - a_moto - a_viatura - a_bike - a_social}, {'mode_order': 1, 'mode': 'moto', 'a': a_moto}, {'mode_order': 2, 'mode': 'viatura', 'a': a_viatura},
+  {'mode_order': 3, 'mode': 'bicicleta', 'a': a_bike}, {'mode_order': 4, 'mode': 'social', 'a': a_social}], recursive := true) FROM (
+ SELECT *, CAST(floor(q_moto*1e0/q*total+0.5e0) AS BIGINT) AS a_moto, CAST(floor(q_viatura*1e0/q*total+0.5e0) AS BIGINT) AS a_viatura, CAST(floor(q_bike*1e0/q*total+0.5e0) AS BIGINT) AS a_bike, CAST(floor(q_social*1e0/q*total+0.5e0) AS BIGINT) AS a_social FROM (
+ SELECT *, q_moto + q_viatura + q_bike + q_social + q_pe AS q FROM (
+ SELECT *, 25 + moto*10 + grp*5 + nt*8 AS q_moto, 15 - foot*10 + armed*8 AS q_viatura, CASE WHEN bike THEN 10 - moto*5 ELSE 0 END AS q_bike, soc AS q_social,
+  50 - moto*5 + foot*10 - armed*8 - grp*5 - nt*8 + CASE WHEN bike THEN 0 ELSE 10 - moto*5 END - soc AS q_pe FROM (
+ SELECT *, (s_moto > 10)::INT AS moto, (s_pe > 40)::INT AS foot, (s_armed > 20)::INT AS armed, (s_group > 25)::INT AS grp, (night_pct > 65)::INT AS nt,
+  CASE WHEN ppl > 500 THEN 12 WHEN ppl > 200 THEN 7 ELSE 0 END AS soc, regexp_matches(nm, 'jardim de alah|botafogo|rio sul|copacabana') AS bike FROM (
+ SELECT zone_id, night_pct, zone_order*40 AS ppl, CASE WHEN zone_order % 2 = 0 THEN 'botafogo' ELSE lower(name) END AS nm, CAST(floor(agents/4e0+0.5e0) AS BIGINT) AS total,
+  CASE WHEN s > 0 THEN (zone_order % 4)*100e0/s ELSE 0e0 END AS s_moto, CASE WHEN s > 0 THEN (zone_order % 6)*100e0/s ELSE 0e0 END AS s_pe, CASE WHEN s > 0 THEN (zone_order % 3)*100e0/s ELSE 0e0 END AS s_armed,
+  CASE WHEN s > 0 THEN (zone_order % 5)*100e0/s ELSE 0e0 END AS s_group FROM (SELECT *, zone_order % 4 + zone_order % 6 + zone_order % 3 + zone_order % 5 AS s FROM roster))))))) WHERE a > 0""")
+_NIGHT = "CASE WHEN round(night_pct,1) = floor(round(night_pct,1)) THEN CAST(CAST(round(night_pct,1) AS BIGINT) AS VARCHAR) ELSE CAST(round(night_pct,1) AS VARCHAR) END"
+
+
+@query("mode_mix", f"""SELECT zone_id, mode_order, mode, mode_agents, pct, CASE mode
+ WHEN 'pe' THEN CASE WHEN s_pe > 40 THEN CAST(floor(s_pe+0.5e0) AS BIGINT) || '% do modus operandi é a pé — presença densa nos trechos' ELSE 'Presença visível nas vias de maior movimento' END
+ WHEN 'moto' THEN CASE WHEN night_pct > 65 THEN {_NIGHT} || '% dos crimes são noturnos — agilidade de resposta essencial' ELSE 'Cobertura dinâmica do eixo viário principal' END
+ WHEN 'viatura' THEN CASE WHEN s_armed > 15 THEN CAST(floor(s_armed+0.5e0) AS BIGINT) || '% dos crimes registrados com arma de fogo' ELSE 'Base de apoio e resposta a ocorrências graves' END
+ WHEN 'bicicleta' THEN 'Orla/parque — patrulha silenciosa com maior alcance' ELSE ppl || ' pessoas em situação de rua mapeadas' END AS rationale FROM modes""", "modes")
 def _(spark, d):
     return _modes(spark, d)[2]
 
 
-@query("street_positions", None)
+@query("street_positions", """WITH t AS (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY total DESC, street) AS k FROM top_st QUALIFY k <= 6),
+ m AS (SELECT zone_id, SUM(mode_agents) AS agents, list(mode ORDER BY mode_order) AS modes FROM modes WHERE mode <> 'social' GROUP BY 1),
+ p AS (SELECT t.zone_id, CAST(k AS INT) AS position, street, CAST(greatest(2, floor(total*1e0/SUM(total) OVER (PARTITION BY t.zone_id)*agents*0.8e0+0.5e0)) AS INT) AS agents, modes[CAST((k-1) % len(modes) AS INT)+1] AS mode,
+  CASE WHEN peak_hour = 0 THEN 20 ELSE peak_hour END AS h, n_transeunte, n_celular, n_coletivo, total FROM t JOIN m USING (zone_id))
+ SELECT zone_id, position, street, agents, mode, h || 'h–' || CASE WHEN h BETWEEN 5 AND 11 THEN h+3 WHEN h BETWEEN 12 AND 17 THEN h+2 ELSE least(h+3,23) END || 'h' AS shift,
+  coalesce(nullif(array_to_string(list_filter([CASE WHEN n_transeunte > 0 THEN 'roubo a transeunte (' || n_transeunte || ')' END, CASE WHEN n_celular > 0 THEN 'furto celular (' || n_celular || ')' END,
+   CASE WHEN n_coletivo > 0 THEN 'roubo em coletivo (' || n_coletivo || ')' END], lambda x: x IS NOT NULL)[1:2], ' · '), ''), 'monitoramento geral') AS focus, total AS crimes FROM p
+ UNION ALL SELECT zone_id, max(position) + 1, 'Pontos de concentração de PSR', CAST(any_value(modes.mode_agents) AS INT), 'social', '07h–11h e 18h–22h', 'abordagem social — ' || any_value(ppl) || ' PSR mapeados', 0
+ FROM p JOIN modes USING (zone_id) WHERE modes.mode = 'social' AND ppl > 100 GROUP BY zone_id""", "top_st modes")
 def _(spark, d):
-    rep, _ros, modes = _modes(spark, d)
-    return L.street_positions(rep.streets(), modes)
+    rep, roster, modes = _modes(spark, d)
+    people = roster.select("zone_id", (F.col("zone_order") * 40).alias("street_people"))
+    return L.street_positions(rep.streets(), modes, street_people=people)
 
 
 _ = index_of

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from geoevents.catalog import ctes
 from geoevents.catalog.common import index_of, metric, rounded
 from geoevents.catalog.registry import query
+from geoevents.functions import fixed_values as V
 from geoevents.operators import graph as N
 from geoevents.operators import severity as E
 from geoevents.sources import bindings as B
@@ -90,7 +91,7 @@ def _(spark, d):
 _NODES = "SELECT p_partkey AS node, 615000e0 + (p_partkey % 40)*60e0 AS x, 7440000e0 + (p_partkey // 40)*60e0 AS y FROM part"
 ctes.TABLES["nodes"] = ("", _NODES)
 ctes.TABLES["gcam"] = ("", "SELECT s_suppkey AS id, 615000e0 + (s_suppkey*37 % 2400) AS x, 7440000e0 + (s_suppkey*91 % 3000) AS y FROM supplier")
-ctes.TABLES["ginc"] = ("", "SELECT o_orderkey AS id, 615000e0 + (o_orderkey*53 % 2600) AS x, 7440000e0 + (o_orderkey*17 % 3300) AS y FROM orders")
+ctes.TABLES["ginc"] = ("", "SELECT o_orderkey AS id, 615000e0 + (o_orderkey*53 % 2600) AS x, 7440000e0 + (o_orderkey*17 % 3300) AS y, CASE o_orderstatus WHEN 'O' THEN 1.3e0 ELSE 1e0 END AS sev FROM orders")
 
 
 def _grid_tables(spark, d):
@@ -98,7 +99,7 @@ def _grid_tables(spark, d):
     nodes = B.table(spark, d, "part").select(p.alias("node"), (F.lit(615000.0) + p % 40 * 60.0).alias("x"), (F.lit(7440000.0) + F.floor(p / 40) * 60.0).alias("y"))
     s, o = F.col("s_suppkey"), F.col("o_orderkey")
     cams = B.table(spark, d, "supplier").select(s.alias("camera_id"), (F.lit(615000.0) + s * 37 % 2400).alias("x"), (F.lit(7440000.0) + s * 91 % 3000).alias("y"))
-    inc = B.table(spark, d, "orders").select(o.alias("id"), (F.lit(615000.0) + o * 53 % 2600).alias("x"), (F.lit(7440000.0) + o * 17 % 3300).alias("y"), F.col("o_orderstatus").alias("offence"))
+    inc = B.table(spark, d, "orders").select(o.alias("id"), (F.lit(615000.0) + o * 53 % 2600).alias("x"), (F.lit(7440000.0) + o * 17 % 3300).alias("y"), F.when(F.col("o_orderstatus") == "O", V.ROBBERY_BUS).otherwise(F.col("o_orderstatus")).alias("offence"))
     return nodes, cams, inc
 
 
@@ -116,8 +117,8 @@ ctes.TABLES["open_"] = ("ginc gcam", "SELECT * FROM ginc g WHERE NOT EXISTS (SEL
 ctes.TABLES["open2"] = ("open_", "SELECT a.id AS a, b.id AS b FROM open_ a JOIN open_ b ON a.id <> b.id AND pow(a.x-b.x,2)+pow(a.y-b.y,2) <= 400")
 
 
-@query("camera_gaps", _labels("open2", "open_") + """, cl AS (SELECT id, min(r) AS cluster_id FROM reach GROUP BY 1), s AS (SELECT cluster_id, COUNT(*) AS n, AVG(x) AS x, AVG(y) AS y FROM cl JOIN open_ USING (id) GROUP BY 1),
- d AS (SELECT s.*, (SELECT sqrt(min(pow(s.x-c.x,2)+pow(s.y-c.y,2))) FROM gcam c) AS m FROM s), p AS (SELECT *, n*1e0*(1e0+least(m/200e0,1e0)) AS pr FROM d)
+@query("camera_gaps", _labels("open2", "open_") + """, cl AS (SELECT id, min(r) AS cluster_id FROM reach GROUP BY 1), s AS (SELECT cluster_id, COUNT(*) AS n, SUM(sev) AS sv, AVG(x) AS x, AVG(y) AS y FROM cl JOIN open_ USING (id) GROUP BY 1),
+ d AS (SELECT s.*, (SELECT sqrt(min(pow(s.x-c.x,2)+pow(s.y-c.y,2))) FROM gcam c) AS m FROM s), p AS (SELECT *, sv*(1e0+least(m/200e0,1e0)) AS pr FROM d)
  SELECT cluster_id, n, round(m,3) AS nearest_camera_m, round(pr,2) AS priority, CASE WHEN m <= 100 THEN 'remanejar' ELSE 'instalar' END AS recommendation FROM p ORDER BY round(pr,2) DESC, cluster_id LIMIT 15""", "open_ open2 gcam")
 def _(spark, d):
     _nodes, cams, inc = _grid_tables(spark, d)
@@ -125,8 +126,27 @@ def _(spark, d):
     return rounded(gaps, "nearest_camera_m", digits=3).select("cluster_id", "n", "nearest_camera_m", "priority", "recommendation")
 
 
-@query("query_gaps", _labels("open2", "open_") + """, cl AS (SELECT id, min(r) AS cluster_id FROM reach GROUP BY 1), s AS (SELECT cluster_id, COUNT(*) AS n, AVG(x) AS x, AVG(y) AS y FROM cl JOIN open_ USING (id) GROUP BY 1),
- d AS (SELECT s.*, (SELECT sqrt(min(pow(s.x-c.x,2)+pow(s.y-c.y,2))) FROM gcam c) AS m FROM s) SELECT cluster_id, round(n*1e0*(1e0+least(m/200e0,1e0)),2) AS priority FROM d ORDER BY 2 DESC, 1 LIMIT 5""", "open_ open2 gcam")
+ctes.TABLES["gnodes"] = ("nodes net2", "SELECT * FROM nodes WHERE node IN (SELECT a FROM net2)")
+_GSNAP = _SNAP.replace("JOIN nodes n", "JOIN gnodes n")
+ctes.TABLES["gopen"] = ("ginc gcam gnodes net2", f"""WITH RECURSIVE cs AS ({_GSNAP.format(t='gcam')}), go(node, dist) AS (SELECT DISTINCT node, 0 FROM cs UNION SELECT e.b, go.dist + e.w FROM go JOIN net2 e ON e.a = go.node WHERE go.dist + e.w <= 50),
+ sn AS ({_GSNAP.format(t='ginc')}) SELECT g.* FROM ginc g JOIN sn USING (id) WHERE NOT CASE WHEN sn.d <= 120 THEN sn.node IN (SELECT node FROM go) ELSE EXISTS (SELECT 1 FROM gcam c WHERE pow(g.x-c.x,2)+pow(g.y-c.y,2) <= 2500) END""")
+ctes.TABLES["gopen2"] = ("gopen", "SELECT a.id AS a, b.id AS b FROM gopen a JOIN gopen b ON a.id <> b.id AND pow(a.x-b.x,2)+pow(a.y-b.y,2) <= 64")
+
+
+@query("camera_gaps_network", f"""WITH RECURSIVE reach(id, r) AS (SELECT id, id FROM gopen UNION SELECT reach.id, e.b FROM reach JOIN gopen2 e ON e.a = reach.r), cl AS (SELECT id, min(r) AS cluster_id FROM reach GROUP BY 1),
+ s AS (SELECT cluster_id AS id, COUNT(*) AS n, SUM(sev) AS sv, AVG(x) AS x, AVG(y) AS y FROM cl JOIN gopen USING (id) GROUP BY 1), cs AS ({_GSNAP.format(t='gcam')}),
+ far(node, dist) USING KEY (node) AS (SELECT DISTINCT node, CAST(0 AS BIGINT) FROM cs UNION SELECT e.b, min(far.dist + e.w) FROM far JOIN net2 e ON e.a = far.node LEFT JOIN recurring.far r ON r.node = e.b WHERE r.dist IS NULL OR far.dist + e.w < r.dist GROUP BY e.b),
+ sn AS ({_GSNAP.format(t='s')}), d AS (SELECT s.*, CASE WHEN sn.d <= 120 THEN far.dist END AS net, (SELECT sqrt(min(pow(s.x-c.x,2)+pow(s.y-c.y,2))) FROM gcam c) AS m FROM s JOIN sn USING (id) LEFT JOIN far ON far.node = sn.node),
+ p AS (SELECT *, round(sv*(1e0+least(coalesce(net,m)/200e0,1e0)),2) AS pr FROM d)
+ SELECT id AS cluster_id, n, round(m,3) AS nearest_camera_m, CAST(net AS DOUBLE) AS network_camera_m, pr AS priority, CASE WHEN coalesce(net,m) <= 100 THEN 'remanejar' ELSE 'instalar' END AS recommendation FROM p ORDER BY pr DESC, id LIMIT 15""", "gopen gopen2 gcam gnodes net2")
+def _(spark, d):
+    nodes, cams, inc = _grid_tables(spark, d)
+    gaps = N.camera_gaps_on_network(inc, cams, nodes, _net(spark, d), eps_m=8.0)
+    return rounded(gaps, "nearest_camera_m", digits=3).select("cluster_id", "n", "nearest_camera_m", "network_camera_m", "priority", "recommendation")
+
+
+@query("query_gaps", _labels("open2", "open_") + """, cl AS (SELECT id, min(r) AS cluster_id FROM reach GROUP BY 1), s AS (SELECT cluster_id, COUNT(*) AS n, SUM(sev) AS sv, AVG(x) AS x, AVG(y) AS y FROM cl JOIN open_ USING (id) GROUP BY 1),
+ d AS (SELECT s.*, (SELECT sqrt(min(pow(s.x-c.x,2)+pow(s.y-c.y,2))) FROM gcam c) AS m FROM s) SELECT cluster_id, round(sv*(1e0+least(m/200e0,1e0)),2) AS priority FROM d ORDER BY 2 DESC, 1 LIMIT 5""", "open_ open2 gcam")
 def _(spark, d):
     from geoevents.operators import queries as Q
 

@@ -355,6 +355,16 @@ ROSTER_SHIFTS = 4
 ROSTER_WEIGHTS = {"mancha": 40.0, "pico": 15.0, "fatores": 25.0, "dinamica": 15.0}
 BICYCLE_AREAS = ["jardim de alah", "botafogo", "rio sul", "copacabana"]
 MODE_BASE = {"pe": 50, "moto": 25, "viatura": 15, "bicicleta": 10, "social": 0}
+# mode -> (text when its measure is above the bound, bound, plain text); %s is the measure
+MODE_RATIONALE = {
+    "pe": ("%s% do modus operandi é a pé — presença densa nos trechos", 40, "Presença visível nas vias de maior movimento"),
+    "moto": ("%s% dos crimes são noturnos — agilidade de resposta essencial", 65, "Cobertura dinâmica do eixo viário principal"),
+    "viatura": ("%s% dos crimes registrados com arma de fogo", 15, "Base de apoio e resposta a ocorrências graves"),
+    "bicicleta": ("", None, "Orla/parque — patrulha silenciosa com maior alcance"),
+    "social": ("%s pessoas em situação de rua mapeadas", None, ""),
+}
+STREET_PEOPLE_POSITION = ("Pontos de concentração de PSR", "07h–11h e 18h–22h", "abordagem social — %s PSR mapeados")
+STREET_PEOPLE_POSITION_MIN = 100
 
 # --- displacement -----------------------------------------------------------------------------
 YOY_DEAD_BAND = 10.0

@@ -161,8 +161,39 @@ def roster_plan(scored: DataFrame, hours: DataFrame, weekdays: DataFrame, *, key
     }).drop("h1", "h2")
 
 
+def _thousands(c: Column) -> Column:
+    """Whole number with points between thousands."""
+    return F.translate(F.format_number(c, 0), ",", ".")
+
+
+def _plain(c: Column) -> Column:
+    """A number with one digit at most, none for whole numbers."""
+    one = F.round(c, 1)
+    return F.when(one == F.floor(one), one.cast("bigint").cast("string")).otherwise(one.cast("string"))
+
+
+def mode_rationale() -> Column:
+    """Why a mode is sent, by ``mode`` and the measures ``s_pe, night_pct, s_armed, street_people``."""
+    measures = {
+        "pe": (F.coalesce("s_pe", F.lit(0.0)), lambda c: G.round_half_up(c).cast("bigint").cast("string")),
+        "moto": (F.coalesce("night_pct", F.lit(0.0)), _plain),
+        "viatura": (F.coalesce("s_armed", F.lit(0.0)), lambda c: G.round_half_up(c).cast("bigint").cast("string")),
+    }
+    out = None
+    for mode, (text, bound, plain) in V.MODE_RATIONALE.items():
+        if mode == "social":
+            said = F.replace(F.lit(text), F.lit("%s"), _thousands(F.col("street_people")))
+        elif bound is None:
+            said = F.lit(plain)
+        else:
+            value, show = measures[mode]
+            said = F.when(value > bound, F.replace(F.lit(text), F.lit("%s"), show(value))).otherwise(F.lit(plain))
+        out = F.when(F.col("mode") == mode, said) if out is None else out.when(F.col("mode") == mode, said)
+    return out
+
+
 def mode_mix(roster: DataFrame, modus: DataFrame, *, key: str = "zone_id", name: str = "name") -> DataFrame:
-    """Patrol modes per area in long form (mode, agents, pct); what rounding leaves goes to foot.
+    """Patrol modes per area in long form (mode, agents, pct, rationale); what rounding leaves goes to foot.
 
     ``modus(key, modus, n)`` are tag counts; ``roster`` has ``agents_per_shift, night_pct,
     street_people`` and the area name.
@@ -203,14 +234,20 @@ def mode_mix(roster: DataFrame, modus: DataFrame, *, key: str = "zone_id", name:
         F.struct(F.lit(i).alias("mode_order"), F.lit(m).alias("mode"), F.col(f"a_{m}").alias("mode_agents"))
         for i, m in enumerate(ratios)
     ])
-    long = df.select(key, total.alias("_t"), F.explode(rows).alias("r")).select(key, "_t", "r.*")
+    said = ["s_pe", "s_armed", "night_pct", "street_people"]
+    long = df.select(key, *said, total.alias("_t"), F.explode(rows).alias("r")).select(key, *said, "_t", "r.*")
     pct = G.round_half_up(F.try_divide(F.col("mode_agents") * 100.0, F.col("_t"))).cast("bigint")
-    return long.filter(F.col("mode_agents") > 0).withColumn("pct", pct).drop("_t")
+    return long.filter(F.col("mode_agents") > 0).withColumns({"pct": pct, "rationale": mode_rationale()}).drop("_t", *said)
 
 
-def street_positions(streets: DataFrame, modes: DataFrame, *, key: str = "zone_id", top: int = 6) -> DataFrame:
+def street_positions(
+    streets: DataFrame, modes: DataFrame, *, street_people: DataFrame | None = None, key: str = "zone_id", top: int = 6,
+) -> DataFrame:
     """Positions on the busiest streets: 80 % of the non-social agents by share of incidents
-    (at least 2), modes in turn, shift label and focus text."""
+    (at least 2), modes in turn, shift label and focus text.
+
+    With ``street_people(key, street_people)``, areas that have streets, social agents and more
+    than 100 people counted get one more position for the social agents."""
     first = top_k_per_group(streets, [key], [F.desc("total"), F.col("street")], top, rank="position")
     patrol = modes.filter(F.col("mode") != "social").groupBy(key).agg(
         F.sum("mode_agents").alias("_agents"),
@@ -225,7 +262,17 @@ def street_positions(streets: DataFrame, modes: DataFrame, *, key: str = "zone_i
         focus("n_transeunte", "roubo a transeunte"), focus("n_celular", "furto celular"),
         focus("n_coletivo", "roubo em coletivo"))), 1, 2)
     text = F.when(F.size(bits) == 0, "monitoramento geral").otherwise(F.array_join(bits, " · "))
-    return df.select(
-        key, "position", "street", agents.alias("agents"), mode.alias("mode"),
+    out = df.select(
+        key, F.col("position").cast("int").alias("position"), "street", agents.alias("agents"), mode.alias("mode"),
         D.position_label(F.col("peak_hour")).alias("shift"), text.alias("focus"), F.col("total").alias("crimes"),
     )
+    if street_people is None:
+        return out
+    place, shift, focus_text = V.STREET_PEOPLE_POSITION
+    last = out.groupBy(key).agg((F.max("position") + 1).alias("position"))
+    social = modes.filter(F.col("mode") == "social").select(key, F.col("mode_agents").cast("int").alias("agents"), "mode")
+    many = street_people.filter(F.col("street_people") > V.STREET_PEOPLE_POSITION_MIN).select(key, "street_people")
+    extra = social.join(many, key).join(last, key).select(
+        key, "position", F.lit(place).alias("street"), "agents", "mode", F.lit(shift).alias("shift"),
+        F.replace(F.lit(focus_text), F.lit("%s"), _thousands(F.col("street_people"))).alias("focus"), F.lit(0).cast("bigint").alias("crimes"))
+    return out.unionByName(extra)

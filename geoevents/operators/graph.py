@@ -8,6 +8,7 @@ neighbouring cells are compared, by their boxes, and split further where boxes c
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -230,17 +231,17 @@ def dbscan_summary(points: DataFrame, clusters: DataFrame, id_col: str = "id") -
 
 
 # ------------------------------------------------------------------ camera gaps
-def camera_gaps(
+def scored_gaps(
     incidents: DataFrame, cameras: DataFrame, *, radius_m: float = V.CAMERA_RADIUS_M,
-    eps_m: float = V.GAP_EPS_M, max_gaps: int = 15, id_col: str = "id", offence: str = "offence",
-    camera_id: str = "camera_id", by: list[str] | None = None, network_covered: DataFrame | None = None,
-    network_distance: DataFrame | None = None,
+    eps_m: float = V.GAP_EPS_M, id_col: str = "id", offence: str = "offence",
+    camera_id: str = "camera_id", network_covered: DataFrame | None = None,
+    network_distance: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Clusters of incidents no camera covers, ranked by severity and distance.
+    """All clusters of incidents no camera covers, with severity, distance and priority.
 
     Straight-line coverage unless ``network_covered(id, covered)`` is given (see
-    ``network_coverage``); ``network_distance(cluster_id, net_m)`` then replaces the straight
-    distance where known. Without any camera there are no gaps, as in the reference.
+    ``network_coverage``); ``network_distance`` gives ``(cluster_id, net_m)`` for the clusters,
+    which then replaces the straight distance where known. Without any camera there are no gaps.
     """
     placed = incidents.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     if network_covered is None:
@@ -249,29 +250,69 @@ def camera_gaps(
         seen = network_covered.filter("covered").select(id_col)
         open_ = placed.join(seen, id_col, "left_anti")
     sev = F.coalesce(X.lookup(F.col(offence), V.GAP_SEVERITY), F.lit(V.GAP_SEVERITY_DEFAULT))
-    clusters = cluster_summary(cluster_eps(open_.withColumn("_sev", sev), eps_m, id_col=id_col), "_sev")
-    clusters = cut(clusters)
+    clusters = cut(cluster_summary(cluster_eps(open_.withColumn("_sev", sev), eps_m, id_col=id_col), "_sev"))
     straight = S.nearest(clusters, cameras, point_id="cluster_id", target_id=camera_id)
     out = clusters.join(straight.select("cluster_id", F.col("dist_m").alias("nearest_camera_m")), "cluster_id")
     if network_distance is None:
         out = out.withColumn("network_camera_m", F.lit(None).cast("double"))
     else:
-        out = out.join(network_distance.select("cluster_id", F.col("net_m").alias("network_camera_m")), "cluster_id", "left")
+        known = network_distance(clusters).select("cluster_id", F.col("net_m").alias("network_camera_m"))
+        out = out.join(known, "cluster_id", "left")
     d = F.coalesce("network_camera_m", "nearest_camera_m")
     out = out.withColumns({
         "priority": F.round(F.col("severity") * (F.lit(1.0) + F.least(d / (4 * radius_m), F.lit(1.0))), 2),
         "recommendation": F.when(d <= 2 * radius_m, "remanejar").otherwise("instalar"),
     })
     kind = F.when(F.col("network_camera_m").isNotNull(), "rede viária").otherwise("linha reta")
-    out = out.withColumn("justification", F.concat(
+    return out.withColumn("justification", F.concat(
         F.col("n").cast("string"), F.lit(" ocorrências sem cobertura; câmera mais próxima a "),
         F.format_string("%.0f", d), F.lit(" m ("), kind, F.lit(")")))
+
+
+def camera_gaps(
+    incidents: DataFrame, cameras: DataFrame, *, max_gaps: int = 15, by: list[str] | None = None, **how,
+) -> DataFrame:
+    """The gaps of highest priority (see ``scored_gaps``), with their place in degrees."""
+    return top_gaps(scored_gaps(incidents, cameras, **how), max_gaps, by)
+
+
+def top_gaps(gaps: DataFrame, max_gaps: int = 15, by: list[str] | None = None) -> DataFrame:
     order = [F.desc("priority"), F.col("cluster_id")]
-    out = out.orderBy(*order).limit(max_gaps) if by is None else top_k_per_group(out, by, order, max_gaps)
+    out = gaps.orderBy(*order).limit(max_gaps) if by is None else top_k_per_group(gaps, by, order, max_gaps)
     lat, lon = G.unproject_utm(F.col("x"), F.col("y"))
     return out.withColumns({"lat": F.round(lat, 6), "lon": F.round(lon, 6)})
 
 
+def camera_gaps_on_network(
+    incidents: DataFrame, cameras: DataFrame, nodes: DataFrame, edges: DataFrame, *,
+    radius_m: float = V.CAMERA_RADIUS_M, snap_tol_m: float = V.SNAP_TOLERANCE_M, max_gaps: int = 15,
+    by: list[str] | None = None, id_col: str = "id", camera_id: str = "camera_id", **how,
+) -> DataFrame:
+    """As ``camera_gaps``, with coverage and distances along the streets.
+
+    A cluster's centroid is put on the nearest node; its distance is that node's to the nearest
+    camera along the edges, and the straight line where the centroid lies beyond the tolerance or
+    no camera is reachable. When no camera can be put on the graph, all is by straight line.
+    """
+    how |= {"radius_m": radius_m, "id_col": id_col, "camera_id": camera_id}
+    ends = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+    on_graph = nodes.join(ends, "node", "left_semi")
+    sources = cut(S.nearest(cameras, on_graph, point_id=camera_id, target_id="node").select("node").distinct())
+    if sources.isEmpty():
+        return camera_gaps(incidents, cameras, max_gaps=max_gaps, by=by, **how)
+
+    def along(clusters: DataFrame) -> DataFrame:
+        at = S.nearest(clusters, on_graph, point_id="cluster_id", target_id="node").filter(F.col("dist_m") <= snap_tol_m)
+        at = cut(at.select("cluster_id", "node"))
+        reached = multi_source_distance(edges, sources, None, wanted=at.select("node").distinct())
+        return at.join(reached, "node").select("cluster_id", F.col("dist").alias("net_m"))
+
+    covered = network_coverage(incidents, cameras, on_graph, edges, radius_m=radius_m, snap_tol_m=snap_tol_m,
+                               id_col=id_col, camera_id=camera_id)
+    gaps = scored_gaps(incidents, cameras, network_covered=covered, network_distance=along, **how)
+    return top_gaps(gaps, max_gaps, by)
+
+
 # ------------------------------------------------------------------ street network
 def build_street_edges(segments: DataFrame, digits: int = 1) -> DataFrame:
     """Undirected edges between vertices rounded to 0.1 m, the shortest kept per pair.
@@ -288,27 +329,35 @@ def build_street_edges(segments: DataFrame, digits: int = 1) -> DataFrame:
 
 
 def multi_source_distance(
-    edges: DataFrame, sources: DataFrame, cutoff: float,
+    edges: DataFrame, sources: DataFrame, cutoff: float | None, *, wanted: DataFrame | None = None,
 ) -> DataFrame:
-    """``(node, dist)`` of the nodes within ``cutoff`` of any source along the edges.
+    """``(node, dist)`` of the nodes within ``cutoff`` (None: any distance) of any source along the edges.
 
     Frontier expansion: each round only nodes whose distance improved pass it on. Stops when
-    nothing improves; distances are exact.
+    nothing improves, or when no node of the frontier is nearer than the farthest of the
+    ``wanted`` nodes, all of which have been met; their distances are final then.
     """
     both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "w").unionByName(
         edges.select(F.col("dst").alias("u"), F.col("src").alias("v"), "w"))
-    both = cut(both.filter(F.col("w") <= cutoff))
-    best = cut(sources.select("node", F.lit(0.0).alias("dist")).distinct())
-    frontier = best
+    bound = F.lit(float("inf")) if cutoff is None else F.lit(float(cutoff))
+    both = cut(both.filter(F.col("w") <= bound))
+    asked = cut(wanted.select("node").distinct().withColumn("asked", F.lit(True))) if wanted is not None else None
+    n_asked = asked.count() if asked is not None else None
+    state = cut(sources.select("node", F.lit(0.0).alias("dist"), F.lit(True).alias("fresh")).distinct())
     while True:
-        moved = hashed_join(both, frontier.select(F.col("node").alias("u"), "dist"), ["u"], "inner")
-        offers = moved.select(F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
-        offers = offers.filter(F.col("dist") <= cutoff).groupBy("node").agg(F.min("dist").alias("new"))
-        better = offers.join(best, "node", "left").filter(F.col("dist").isNull() | (F.col("new") < F.col("dist")))
-        frontier = cut(better.select("node", F.col("new").alias("dist")))
-        if frontier.isEmpty():
-            return best
-        best = cut(best.unionByName(frontier).groupBy("node").agg(F.min("dist").alias("dist")))
+        frontier = state.filter("fresh").select(F.col("node").alias("u"), F.col("dist").alias("so_far"))
+        moved = hashed_join(both, frontier, ["u"], "inner")
+        offers = moved.select(F.col("v").alias("node"), (F.col("so_far") + F.col("w")).alias("dist"), F.lit(None).cast("double").alias("old"))
+        known = state.select("node", "dist", F.col("dist").alias("old"))
+        met = known.unionByName(offers.filter(F.col("dist") <= bound)).groupBy("node").agg(F.min("dist").alias("dist"), F.min("old").alias("old"))
+        state = cut(met.select("node", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh")))
+        seen = state if asked is None else hashed_join(state, asked, ["node"], "left")
+        mine = F.lit(False) if asked is None else F.col("asked")
+        facts = seen.agg(
+            F.count_if("fresh").alias("n"), F.min(F.when(F.col("fresh"), F.col("dist"))).alias("near"),
+            F.count_if(mine).alias("met"), F.max(F.when(mine, F.col("dist"))).alias("far")).first()
+        if not facts.n or facts.met == n_asked and (facts.far is None or facts.near >= facts.far):
+            return state.select("node", "dist")
 
 
 def network_coverage(
