@@ -328,6 +328,8 @@ _CROSS = f"""SELECT f.zone_id, f.agency, f.n AS field_factors, f.g AS agency_nor
  FROM (SELECT zone_id, agency, {_NORM.format(a='agency')} AS g, COUNT(*) n FROM fzone GROUP BY 1,2) f LEFT JOIN
  (SELECT zone_id, {_NORM.format(a='agency')} AS g, COUNT(*) n, COUNT(*) FILTER (starts_with(status,'Atendido')) s, COUNT(*) FILTER (due='Vencido') l FROM czone GROUP BY 1,2) c ON c.zone_id = f.zone_id AND c.g = f.g"""
 
+ctes.TABLES["cross_rows"] = ("fzone czone", _CROSS)
+
 
 @query("cross_validate_sources", _CROSS, "fzone czone")
 def _(spark, d):

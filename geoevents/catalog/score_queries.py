@@ -145,9 +145,12 @@ def _(spark, d):
     return f.select("street", C.subset_of(["ECONOMY", "LARGE"], F.col("factor_types")).alias("hit"))
 
 
-@query("area_street_layers", """SELECT zone_id, street, total, CAST(1 + near_f::INT + near_t::INT AS INT) AS layers FROM (SELECT s.zone_id, s.street, s.total,
+ctes.TABLES["st_layers"] = ("top_st izm fzm tzm", """SELECT s.zone_id, s.street, s.total, s.street_rank,
  EXISTS (SELECT 1 FROM izm i JOIN fzm f ON f.zone_id = i.zone_id AND pow(i.x-f.x,2)+pow(i.y-f.y,2) <= 10000e0 WHERE i.zone_id = s.zone_id AND i.street = s.street) AS near_f,
- EXISTS (SELECT 1 FROM izm i JOIN tzm f ON f.zone_id = i.zone_id AND pow(i.x-f.x,2)+pow(i.y-f.y,2) <= 10000e0 WHERE i.zone_id = s.zone_id AND i.street = s.street) AS near_t FROM top_st s)""", "top_st izm fzm tzm")
+ EXISTS (SELECT 1 FROM izm i JOIN tzm f ON f.zone_id = i.zone_id AND pow(i.x-f.x,2)+pow(i.y-f.y,2) <= 10000e0 WHERE i.zone_id = s.zone_id AND i.street = s.street) AS near_t FROM top_st s""")
+
+
+@query("area_street_layers", "SELECT zone_id, street, total, CAST(1 + near_f::INT + near_t::INT AS INT) AS layers FROM st_layers", "st_layers")
 def _(spark, d):
     return report_of(spark, d).street_layers().select("zone_id", "street", "total", "layers")
 
@@ -407,4 +410,36 @@ def _(spark, d):
     return L.street_positions(rep.streets(), modes, street_people=people)
 
 
+# ------------------------------------------------------------------ the assembled document
+def _document_report(spark, d):
+    rep = report_of(spark, d)
+    rep.layers.neighbourhoods, rep.layers.census = B.neighbourhood_edges(spark, d), B.census(spark, d)
+    return rep
+
+
+@query("area_documents", f"""SELECT m.zone_id, m.crimes, m.tips, m.factors, m.cameras, m.street_people, m.has_report, CASE WHEN contains(m.name,'Botafogo') OR contains(m.name,'Copacabana') THEN 'Litorânea' ELSE 'Central' END AS base,
+ coalesce(s.n,0) AS n_streets, s.first_street, coalesce(s.layers2,0) AS n_bingo, coalesce(s.layers3,0) AS n_triple, coalesce(h.n,0) AS sum_hours, coalesce(o.n,0) AS sum_offences, o.kinds AS n_offences,
+ c.total AS calls_total, round(c.served,6) AS calls_pct_served, round(c.overdue,6) AS calls_pct_overdue, c.types AS call_types, v.n AS n_agencies, v.factors AS agency_factors, v.calls AS agency_calls,
+ least(coalesce(f.n,0),1000) AS factor_points, least(m.cameras,1000) AS camera_points, least(m.street_people,1000) AS people_points
+ FROM measures m LEFT JOIN (SELECT zone_id, COUNT(*) n, first(street ORDER BY street_rank) AS first_street, COUNT(*) FILTER (1 + near_f::INT + near_t::INT >= 2) AS layers2, COUNT(*) FILTER (near_f AND near_t) AS layers3 FROM st_layers GROUP BY 1) s USING (zone_id)
+ LEFT JOIN (SELECT zone_id, COUNT(*) n FROM izone WHERE hour IS NOT NULL GROUP BY 1) h USING (zone_id) LEFT JOIN (SELECT zone_id, COUNT(*) n, COUNT(DISTINCT offence) kinds FROM izone GROUP BY 1) o USING (zone_id)
+ LEFT JOIN (SELECT zone_id, COUNT(*) total, AVG((status = 'Atendido')::INT)*100 AS served, AVG((due = 'Vencido')::INT)*100 AS overdue, least(COUNT(DISTINCT kind || agency),20) AS types FROM czone GROUP BY 1) c USING (zone_id)
+ LEFT JOIN (SELECT zone_id, COUNT(*) n, CAST(SUM(field_factors) AS BIGINT) AS factors, CAST(SUM(calls) AS BIGINT) AS calls FROM cross_rows GROUP BY 1) v USING (zone_id)
+ LEFT JOIN (SELECT zone_id, COUNT(lat) n FROM fzone GROUP BY 1) f USING (zone_id)""", "measures izone czone fzone st_layers cross_rows")
+def _(spark, d):
+    doc = _document_report(spark, d).documents()
+    total = lambda c, f: F.coalesce(F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x[f]), F.lit(0))
+    size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0))
+    listed = lambda c, f: F.when(F.col(c).isNotNull(), total(c, f))
+    return doc.select(
+        "zone_id", "crimes", "tips", "factors", "cameras", "street_people", "has_report", "base", size("top_streets").alias("n_streets"),
+        F.element_at("top_streets", 1)["street"].alias("first_street"), "n_bingo", "n_triple", total("hours", "n").alias("sum_hours"),
+        total("by_offence", "n").alias("sum_offences"), F.when(F.col("by_offence").isNotNull(), F.size("by_offence")).alias("n_offences"),
+        F.col("calls.total").alias("calls_total"), r6("calls.pct_served").alias("calls_pct_served"), r6("calls.pct_overdue").alias("calls_pct_overdue"),
+        F.when(F.col("calls").isNotNull(), F.size("calls.by_type")).alias("call_types"),
+        F.when(F.col("cross_validation").isNotNull(), F.size("cross_validation")).alias("n_agencies"),
+        listed("cross_validation", "field_factors").alias("agency_factors"), listed("cross_validation", "calls").alias("agency_calls"),
+        size("factor_points").alias("factor_points"), size("camera_points").alias("camera_points"), size("street_people_points").alias("people_points"))
+
+
 _ = index_of
