@@ -66,10 +66,11 @@ def _(spark, d):
 
 
 # ------------------------------------------------------------------ street coincidence
-_NEAR = "EXISTS (SELECT 1 FROM inc_m i JOIN {t} f ON pow(i.x-f.x,2)+pow(i.y-f.y,2) <= 10000e0 WHERE i.street = s.street)"
+_NEAR = ("CASE WHEN s.street = '' THEN EXISTS (SELECT 1 FROM {t} f WHERE pow(s.cx-f.x,2)+pow(s.cy-f.y,2) <= 10000e0) "
+         "ELSE EXISTS (SELECT 1 FROM inc_m i JOIN {t} f ON pow(i.x-f.x,2)+pow(i.y-f.y,2) <= 10000e0 WHERE i.street = s.street) END")
 _NAMED = "EXISTS (SELECT 1 FROM {t} f WHERE f.lat IS NULL AND f.street = s.street AND f.street <> '')"
 ctes.TABLES["bingo"] = ("inc inc_m fac_m tip_m", f"""SELECT street, total, TRUE AS has_crime, {_NEAR.format(t='fac_m')} OR {_NAMED.format(t='fac_m')} AS has_factor,
- {_NEAR.format(t='tip_m')} OR {_NAMED.format(t='tip_m')} AS has_tip FROM (SELECT street, COUNT(*) AS total FROM inc GROUP BY 1) s""")
+ {_NEAR.format(t='tip_m')} OR {_NAMED.format(t='tip_m')} AS has_tip FROM (SELECT street, COUNT(*) AS total, AVG(x) AS cx, AVG(y) AS cy FROM inc_m GROUP BY 1) s""")
 
 
 def _layers(spark, d):

@@ -172,8 +172,8 @@ def near_any(
     key: str = "street",
 ) -> DataFrame:
     """Per unit: is any of ``others`` within the radius of the unit's own incidents, or of
-    the unit's centroid when it has none. Returns ``(key, is_near)``."""
-    own = incidents.select(key, "x", "y").join(units.select(key), key, "left_semi").distinct()
+    the unit's centroid when it has none or no name. Returns ``(key, is_near)``."""
+    own = incidents.filter(F.col(key) != "").select(key, "x", "y").join(units.select(key), key, "left_semi").distinct()
     with_own = own.groupBy(key).agg(F.max(F.col("x").isNotNull()).alias("_ok")).filter("_ok").select(key)
     centres = units.join(with_own, key, "left_anti").select(key, "x", "y").filter(F.col("x").isNotNull())
     hits = within_radius(own.unionByName(centres), others, radius_m).select(key).distinct()

@@ -302,3 +302,36 @@ def test_white_space_of_any_kind_is_trimmed(spark):
 
     row = spark.sql("select concat('\\n', chr(9), 'Rua  \u00c1', chr(160), '\\r') as s").select(X.norm_street(F.col("s")).alias("n")).first()
     assert row.n == "rua  a"
+
+
+def test_projection_against_another_series(spark):
+    """The transverse Mercator projection by the power series in longitude, an independent formula with its own constants."""
+    def snyder(lat, lon):
+        a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+        e2 = f * (2 - f)
+        ep2 = e2 / (1 - e2)
+        p, dl = math.radians(lat), math.radians(lon + 45.0)
+        n = a / math.sqrt(1 - e2 * math.sin(p) ** 2)
+        t, c, big_a = math.tan(p) ** 2, ep2 * math.cos(p) ** 2, dl * math.cos(p)
+        m = a * ((1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * p - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * math.sin(2 * p)
+                 + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * math.sin(4 * p) - 35 * e2**3 / 3072 * math.sin(6 * p))
+        x = k0 * n * (big_a + (1 - t + c) * big_a**3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * big_a**5 / 120) + 500000
+        y = k0 * (m + n * math.tan(p) * (big_a**2 / 2 + (5 - t + 9 * c + 4 * c * c) * big_a**4 / 24
+                                         + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * big_a**6 / 720)) + 10000000
+        return x, y
+
+    from geoevents.functions import geo
+
+    places = [(-22.9519, -43.2105), (-23.2, -43.9), (-22.7, -43.0), (-22.97, -43.18), (-1.0, -44.0)]
+    df = spark.createDataFrame(places, "lat double, lon double")
+    for r in df.select("lat", "lon", *[c.alias(n) for c, n in zip(geo.project_utm(F.col("lat"), F.col("lon")), "xy")]).collect():
+        x, y = snyder(r.lat, r.lon)
+        assert abs(r.x - x) < 0.005 and abs(r.y - y) < 0.005
+
+
+def test_streets_without_a_name_use_their_centre(spark):
+    units = spark.createDataFrame([("", 0.0, 0.0), ("a", 500.0, 0.0)], "street string, x double, y double")
+    own = spark.createDataFrame([("", 1000.0, 0.0), ("", -1000.0, 0.0), ("a", 500.0, 0.0)], "street string, x double, y double")
+    far, near = (spark.createDataFrame([(x, 0.0)], "x double, y double") for x in (1000.0, 20.0))
+    flags = lambda rows: {r.street: r.is_near for r in spatial.near_any(units, own, rows).collect()}
+    assert flags(far) == {"": False, "a": False} and flags(near) == {"": True, "a": False}

@@ -165,3 +165,27 @@ def test_score_report_end_to_end(spark):
     a = areas.first()
     assert (a.n, a.w_src, round(a.gini, 9)) == (6, 0.85, round(23 / 24, 9)) and {r.code for r in a.reasons} >= {"agg.pattern", "src.single", "env.camera_blind"}
     assert streets.first().street == "Rua X" and a.m_env == 1.2
+
+
+def test_document_writers(spark, tmp_path):
+    """Every writer gives one JSON line per row, NULL apart from [], and can be written twice."""
+    import json
+    from pathlib import Path
+
+    from geoevents.sources import sinks
+
+    def lines(path):
+        return sorted((json.loads(x) for f in Path(path).rglob("*.json") for x in f.read_text().splitlines()), key=str)
+
+    docs = spark.createDataFrame([("Z1", 1.5, None, []), ("Z2", None, [{"a": 1}], None)], "zone_id string, score double, gaps array<struct<a:int>>, x array<string>")
+    for write, name in ((sinks.sink_area_documents, "areas"), (sinks.sink_city_context, "city"), (sinks.sink_score_report, "scores"), (sinks.sink_fleet_plan, "fleet")):
+        for _ in range(2):
+            write(docs, str(tmp_path / name))
+        assert lines(tmp_path / name) == [{"zone_id": "Z1", "score": 1.5, "gaps": None, "x": []}, {"zone_id": "Z2", "score": None, "gaps": [{"a": 1}], "x": None}]
+    sinks.sink_area_documents(docs, str(tmp_path / "runs"), run_id="r1")
+    sinks.sink_area_documents(docs, str(tmp_path / "runs"), run_id="r2")
+    sinks.sink_area_documents(docs, str(tmp_path / "runs"), run_id="r2")
+    assert len(lines(tmp_path / "runs")) == 4
+    rings = spark.createDataFrame([("Z1", "inconclusivo", "baixa", 1.0, None, "geometry")], "zone_id string, label string, confidence string, area_yoy_pct double, ring_yoy_pct double, geometry string")
+    sinks.sink_displacement_summary(rings, str(tmp_path / "d"))
+    assert lines(tmp_path / "d") == [{"zone_id": "Z1", "label": "inconclusivo", "confidence": "baixa", "area_yoy_pct": 1.0, "ring_yoy_pct": None}]
