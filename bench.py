@@ -13,7 +13,7 @@ from geoevents.session import build_session
 HEADLINE = [
     "join_points_to_zones", "covered_by_camera", "nearest_camera", "ring_join", "zone_overlap_area", "grid_coincidence",
     "area_score", "top_streets", "cross_validate_sources", "calls_by_type", "trend_report", "displacement",
-    "bingo_layers", "event_severity", "unit_score", "allocate_fleet", "modus_counts", "html_links", "upsert_latest", "snap_endpoints",
+    "bingo_layers", "event_severity", "unit_score", "allocate_fleet", "modus_counts", "html_links", "upsert_latest", "snap_endpoints", "area_documents",
 ]
 
 
