@@ -113,15 +113,33 @@ def test_nearest_brute_force_with_crowd(spark):
     assert len(got) == 60 and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in range(60))
 
 
-def test_salted_join_equals_broadcast(spark):
-    from geoevents.session import small_or_salted
+def test_hashed_join_is_a_plain_join(spark):
+    """The same rows with a hot key, whether the side is written out (broadcast by its bytes), too large for that, or lazy."""
+    from geoevents.session import cut, hashed_join
 
     big = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
     small = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    written = cut(small)
     for how in ("inner", "left", "left_semi", "left_anti"):
-        a = small_or_salted(big, small, ["k"], how)
-        b = small_or_salted(big, small, ["k"], how, max_rows=10, salts=4)
-        assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.select(a.columns).collect()), key=repr)
+        want = big.join(small, ["k"], how)
+        rows = lambda df: sorted(map(tuple, df.select(want.columns).collect()), key=repr)
+        assert rows(hashed_join(big, small, ["k"], how)) == rows(hashed_join(big, written, ["k"], how)) == rows(want)
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+        try:
+            assert rows(hashed_join(big, written, ["k"], how)) == rows(want)
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_dense_places_are_never_compared_one_by_one(spark):
+    """100,000 distinct places inside one metre, and a pair of dense groups just outside and just inside the radius."""
+    dense = spark.range(100_000).selectExpr("id", "(id % 400) / 400.0 as x", "floor(id / 400) / 250.0 as y")
+    edge = spark.range(200).selectExpr("100000 + id as id", "13.0 + (id % 20) / 40.0 as x", "floor(id / 20) / 10.0 as y")
+    links = graph.cluster_eps(dense.unionByName(edge), 12.5)
+    assert {r.n for r in links.groupBy("cluster_id").agg(F.count("*").alias("n")).collect()} == {100_200}
+    apart = graph.cluster_eps(dense.unionByName(edge), 11.9)
+    assert {r.n for r in apart.groupBy("cluster_id").agg(F.count("*").alias("n")).collect()} == {100_000, 200}
 
 
 def test_network_distance_beats_straight_line(spark):
@@ -135,6 +153,13 @@ def test_network_distance_beats_straight_line(spark):
     inc = spark.createDataFrame([(7, 40.0, 0.0), (8, 0.0, 1.0)], "id int, x double, y double")
     cov = {r.id: r.covered for r in graph.network_coverage(inc, cam, nodes, e).collect()}
     assert cov == {7: False, 8: True}
+    far = graph.multi_source_distance(e, src, None, wanted=spark.createDataFrame([("c",)], "node string"))
+    assert {r.node: r.dist for r in far.collect()}["c"] == 220.0
+    inc = inc.withColumn("offence", F.lit("?"))
+    gap = graph.camera_gaps_on_network(inc, cam, nodes, e).collect()
+    assert [(g.n, g.nearest_camera_m, g.network_camera_m, g.recommendation) for g in gap] == [(1, 40.0, 400.0, "instalar")]
+    none = graph.camera_gaps_on_network(inc, cam, nodes, e.filter("w < 0"))
+    assert none.count() == 0                       # no graph: straight lines, and both incidents are within 50 m
 
 
 def test_camera_gaps_far_and_near(spark):
