@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A block matches a template when it holds at least ``share`` of the template's distinct words. Tokens are ordered by
-how many blocks of the whole corpus hold them, the rarest first; one pass over the texts counts them, only for words of templates, so
+A block is a line or, with ``wrapped``, also a window over consecutive lines, sliding by one line: the end of a line and what follows it, as
+many words on either side as a template can spread over, so a notice wrapped at any column lies in one window whole. A block matches a
+template when it holds at least ``share`` of the template's distinct words. Tokens are ordered by how many lines of the whole corpus hold them, the rarest first; one pass over the texts counts them, only for words of templates, so
 the table to order by is as large as the templates and no larger. With that order, a block can match only if it holds one of the first
 |T| - need + 1 tokens of template T (prefix filter), if it holds enough template tokens at all (length filter), and if enough tokens
 are left in both after the first one they share (positional filter). What passes is verified by the full overlap, so nothing is lost.
@@ -11,6 +12,7 @@ Templates are a parameter of bounded size and go to the tasks; texts are never s
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 from fractions import Fraction
@@ -60,14 +62,17 @@ class Template:
     label: str
     tokens: tuple[bytes, ...]
     need: int
+    #: Words on either side of a line's end that a window takes in.
+    reach: int
 
 
 def templates_of(pairs: list[tuple[str, str]] = TEMPLATES, share: Fraction = SHARE) -> list[Template]:
     """Distinct words of each template and how many of them a block must hold."""
     out = []
     for label, text in pairs:
-        tokens = sorted({w for line in words_by_line(text.encode()) for w in line})
-        out.append(Template(label, tuple(tokens), max(1, math.ceil(share * len(tokens)))))
+        words = [w for line in words_by_line(text.encode()) for w in line]
+        tokens = sorted(set(words))
+        out.append(Template(label, tuple(tokens), max(1, math.ceil(share * len(tokens))), math.ceil(len(words) / share)))
     return out
 
 
@@ -77,7 +82,7 @@ class TemplateIndex:
     def __init__(self, templates: list[Template], frequency: dict[bytes, int]):
         order = sorted({t for x in templates for t in x.tokens}, key=lambda t: (frequency.get(t, 0), t))
         self.rank = {t: i for i, t in enumerate(order)}
-        self.templates = [Template(x.label, tuple(sorted(x.tokens, key=self.rank.__getitem__)), x.need) for x in templates]
+        self.templates = [Template(x.label, tuple(sorted(x.tokens, key=self.rank.__getitem__)), x.need, x.reach) for x in templates]
         self.sets = [frozenset(x.tokens) for x in self.templates]
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         for k, x in enumerate(self.templates):
@@ -110,9 +115,44 @@ class TemplateIndex:
                     out.append((k, Fraction(overlap, len(x.tokens))))
         return out
 
+    def window_matches(self, lines: list[list[bytes]], found: list[tuple[int, int, Fraction]]) -> list[tuple[int, int, Fraction]]:
+        """(first line, template number, share) of windows over several lines that match. ``found`` has the lines that match by
+        themselves; a window that takes in one of them adds nothing for its template."""
+        words = [w for line in lines for w in line]
+        distinct = set(words)
+        if len(distinct) < self.least or self.prefix_tokens.isdisjoint(distinct):
+            return []
+        # what matches in a window matches in the whole text, so most texts end here
+        able = [k for k, x in enumerate(self.templates) if len(self.sets[k] & distinct) >= x.need]
+        if not able:
+            return []
+        ends = []
+        for line in lines:
+            ends.append((ends[-1] if ends else 0) + len(line))
+        out = []
+        for k in able:
+            x = self.templates[k]
+            prefix = frozenset(x.tokens[:len(x.tokens) - x.need + 1])
+            at = [i for i, w in enumerate(words) if w in prefix]
+            alone = sorted((ends[no] - len(lines[no]), ends[no]) for no, j, _ in found if j == k)
+            for no, line in enumerate(lines):
+                if not line or ends[no] == len(words):
+                    continue
+                a, b = max(ends[no] - len(line), ends[no] - x.reach), min(len(words), ends[no] + x.reach)
+                i = bisect_left(at, a)
+                if i == len(at) or at[i] >= b:
+                    continue
+                i = bisect_left(alone, (b, 0)) - 1  # lines do not overlap: the last one that begins before b ends last
+                if i >= 0 and alone[i][1] > a:
+                    continue
+                overlap = len(self.sets[k].intersection(words[a:b]))
+                if overlap >= x.need:
+                    out.append((no, k, Fraction(overlap, len(x.tokens))))
+        return out
+
 
 def token_frequencies(docs: DataFrame, templates: list[Template], text: str = "text") -> dict[bytes, int]:
-    """In how many blocks of the corpus each template word stands; at most as many rows as templates have words."""
+    """In how many lines of the corpus each template word stands; at most as many rows as templates have words."""
     vocabulary = frozenset(t for x in templates for t in x.tokens)
 
     def work(batch: pa.RecordBatch) -> list:
@@ -139,10 +179,10 @@ def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pairs: list[tuple[str, str]] = TEMPLATES,
-         share: Fraction = SHARE) -> DataFrame:
+         share: Fraction = SHARE, wrapped: bool = False) -> DataFrame:
     """(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, matches), one row per row of ``docs``.
 
-    ``matches`` lists (line, label, share) of each block that meets a template. score is 1 with a base phrase, else the largest share
+    ``matches`` lists (line, label, share) of each block that meets a template: lines and, with ``wrapped``, windows by their first line. score is 1 with a base phrase, else the largest share
     met, else 0. Null and empty texts have no words, no labels (empty text) and score 0. Ids are carried as they are, null and
     repeated ones too; an empty table gives an empty one; other columns are not read."""
     templates = templates_of(pairs, share)
@@ -154,7 +194,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pairs: lis
         for data in utf8(batch.column(1)):
             lines = words_by_line(data)
             places = phrase_places([w for line in lines for w in line])
-            found = [(no, index.templates[k].label, float(s)) for no, line in enumerate(lines) for k, s in index.matches(line)]
+            met = [(no, k, s) for no, line in enumerate(lines) for k, s in index.matches(line)]
+            if wrapped:
+                met = sorted(met + index.window_matches(lines, met))
+            found = [(no, index.templates[k].label, float(s)) for no, k, s in met]
             base = sorted({label for _, label in places})
             starts = [at for at, _ in places]
             row = (sum(map(len, lines)), len(places), min(starts, default=None), max(starts, default=None), ",".join(base),

@@ -19,7 +19,7 @@ def op1_simhash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, d: str) -> DataFrame:
-    found = licenses.scan(table(spark, d, "documents"))
+    found = licenses.scan(table(spark, d, "documents"), wrapped=True)
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 

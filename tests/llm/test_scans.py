@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from fractions import Fraction
 
@@ -56,6 +57,46 @@ def test_license_join_is_exact(docs_of):
     assert got == want and any(want.values())
 
 
+def test_wrapped_notices(spark, docs_of, tmp_path):
+    """Every template, wrapped at 75 and 30 columns, as it stands and as a comment that begins in the middle of a line."""
+    rows, want = [], {}
+    for columns in (75, 30):
+        for mark in ("", "# "):
+            for label, text in licenses.TEMPLATES:
+                lines = textwrap.wrap(f"Copyright (c) 2020 by the authors of this file. {text} And some more words after it.", columns)
+                rows.append((len(rows), "own words of the file\n\n" + "\n".join(mark + x for x in lines) + "\n\nand its text\n"))
+                want[len(rows) - 1] = label
+    rows.append((1000, "permission is granted\n" + "free prose about any person\n" * 50 + "who may sublicense and sell copies of software"))
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.labels for r in QUERIES["op2_licenses"](spark, str(tmp_path)).collect()}
+    assert got.pop(1000) == ""
+    assert {i: label in got[i].split(",") for i, label in want.items()} == dict.fromkeys(want, True)
+
+
+def test_windows_against_plain_windows():
+    """Filters lose no window: random lines of template words against the full overlap of every window."""
+    rng = random.Random(3)
+    pairs = [(f"t{k}", " ".join(rng.choices([f"w{i}" for i in range(40)], k=rng.randint(3, 15)))) for k in range(12)]
+    share = Fraction(7, 10)
+    index = licenses.TemplateIndex(licenses.templates_of(pairs, share), {b"w1": 5, b"w2": 3})
+    n = 0
+    for _ in range(150):
+        lines = [[f"w{i}".encode() for i in rng.choices(range(45), k=rng.randint(0, 12))] for _ in range(8)]
+        met = [(no, k, s) for no, line in enumerate(lines) for k, s in index.matches(line)]
+        want = []
+        for k, (_, t) in enumerate(pairs):
+            tokens, reach = set(t.encode().split()), -(-len(t.split()) * 10 // 7)
+            for no in range(len(lines)):
+                after = [(w, j) for j in range(no + 1, len(lines)) for w in lines[j]][:reach]
+                block = [(w, no) for w in lines[no]][-reach:] + after
+                overlap = Fraction(len(tokens & {w for w, _ in block}), len(tokens))
+                if lines[no] and after and overlap >= share and not {j for _, j in block} & {j for j, x, _ in met if x == k}:
+                    want.append((no, k, overlap))
+        assert sorted(index.window_matches(lines, met)) == sorted(want)
+        n += len(want)
+    assert n
+
+
 def test_phrases_count_all_places():
     words = "under the mit license x under the mit license cc by nc".split()
     assert licenses.phrase_places([w.encode() for w in words]) == [(0, "mit"), (5, "mit"), (9, "cc-by-nc")]
