@@ -49,6 +49,16 @@ def _(spark, d):
     return month_text(T.gap_filled_series(T.monthly_counts(rows, BY), BY))
 
 
+# all calls by person: few a month, so the gaps are real without thinning the rows
+ctes.TABLES["person_mon"] = ("cal", "SELECT person, CAST(date_trunc('month', day) AS DATE) AS month, COUNT(*) AS n FROM cal GROUP BY 1,2")
+
+
+@query("gap_filled_people", """SELECT s.person, strftime(s.month,'%Y-%m') AS month, coalesce(m.n,0) AS n FROM (SELECT person, CAST(unnest(generate_series(greatest(lo, hi - INTERVAL 59 MONTH), hi, INTERVAL 1 MONTH)) AS DATE) AS month
+ FROM (SELECT person, CAST(min(month) AS TIMESTAMP) lo, CAST(max(month) AS TIMESTAMP) hi FROM person_mon GROUP BY 1)) s LEFT JOIN person_mon m USING (person, month)""", "person_mon")
+def _(spark, d):
+    return month_text(T.gap_filled_series(T.monthly_counts(B.calls(spark, d), ["person"]), ["person"]))
+
+
 ctes.TABLES["mk"] = ("filled", """SELECT kind, n_months, s, (n_months*(n_months-1)*(2*n_months+5) - t)/18e0 AS v FROM
  (SELECT a.kind, CAST(SUM(sign(b.n - a.n)) AS BIGINT) AS s FROM filled a JOIN filled b ON a.kind = b.kind AND a.month < b.month GROUP BY 1)
  JOIN (SELECT kind, CAST(COUNT(*) AS BIGINT) AS n_months FROM filled GROUP BY 1) USING (kind)

@@ -31,3 +31,13 @@ def test_entry(spark):
 
 def test_names_are_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_gaps_of_all_calls(spark, duck):
+    """All calls of each person's last 60 months are counted, and the gaps are real."""
+    got = entry.queries()["gap_filled_people"](spark, SF)
+    assert oracle.difference(got, duck, entry.oracle_sql()["gap_filled_people"]) is None
+    rows = got.collect()
+    want = duck.execute("""SELECT count(*) FROM (SELECT o_custkey, date_trunc('month', o_orderdate) m FROM orders WHERE o_orderdate IS NOT NULL)
+        JOIN (SELECT o_custkey, max(date_trunc('month', o_orderdate)) hi FROM orders GROUP BY 1) USING (o_custkey) WHERE m >= hi - INTERVAL 59 MONTH""").fetchone()[0]
+    assert sum(r.n for r in rows) == want and any(r.n == 0 for r in rows)
