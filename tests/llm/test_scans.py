@@ -57,6 +57,17 @@ def test_license_join_is_exact(docs_of):
     assert got == want and any(want.values())
 
 
+def test_rule_order_sees_all_sources_and_whole_texts(docs_of):
+    """A hot source in front and symbols behind 20,000 characters: the one rule that rejects the others comes first."""
+    fine = " ".join(f"word{i}" for i in range(5000))
+    rows = [(i, "few words only") for i in range(300)] + [(300 + i, fine + " #" * 3000) for i in range(60)]
+    rules = [r for r in quality.RULES if r.name in ("symbols", "word_length")]
+    assert quality.measured_order(docs_of(rows[300:]), ["doc_id"], rules=rules[::-1])[0].name == "symbols"
+    seen = quality.measured_order(docs_of(rows), ["doc_id"], rules=rules[::-1], rows=100)
+    assert seen[0].name == "symbols"
+    assert quality.measured_order(docs_of([]), ["doc_id"]) == quality.RULES
+
+
 def test_wrapped_notices(spark, docs_of, tmp_path):
     """Every template, wrapped at 75 and 30 columns, as it stands and as a comment that begins in the middle of a line."""
     rows, want = [], {}
