@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoevents.llm import ann, bpe, html_text, licenses, lines, packing, quality, secrets, simhash, toxicity
+from geoevents.llm import (ann, bpe, html_text, licenses, linecrf, lines, packing, quality, resample, secrets, simhash, toxicity,
+                           vafile)
 from geoevents.llm.common import table
 from geoevents.llm.oracles import ORACLES
 
@@ -59,6 +60,18 @@ def op10_secrets(spark: SparkSession, d: str) -> DataFrame:
     return secrets.digests(table(spark, d, "documents"))
 
 
+def op11_va_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return vafile.clustered(table(spark, d, "embeddings"))
+
+
+def op12_resample(spark: SparkSession, d: str) -> DataFrame:
+    return resample.resampled(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op13_line_crf(spark: SparkSession, d: str) -> DataFrame:
+    return linecrf.scored(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,6 +81,6 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_simhash, op2_licenses, op3_packing, op4_bpe, op5_lines, op6_permutation_index, op7_html_text, op8_toxicity, op9_quality,
-              op10_secrets, pipeline)
+              op10_secrets, op11_va_clusters, op12_resample, op13_line_crf, pipeline)
 }
 __all__ = ["ORACLES", "QUERIES"]
