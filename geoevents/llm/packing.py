@@ -16,7 +16,6 @@ import math
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,17 +85,21 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lengths:
     shards = max(1, math.ceil(sized.count() / rows_per_shard))
     kind = sized.schema[0].dataType.simpleString()
 
-    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_row", ignore_index=True)
-        pieces = np.maximum(1, -(-rows["n_words"].to_numpy() // longest))
-        owner = np.repeat(np.arange(len(rows)), pieces)
+    def work(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_row")
+        words = rows.column("n_words").to_numpy()
+        pieces = np.maximum(1, -(-words // longest))
+        owner = np.repeat(np.arange(len(words)), pieces)
         piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first = piece * longest
-        size = np.minimum(longest, rows["n_words"].to_numpy()[owner] - first)
+        size = np.minimum(longest, words[owner] - first)
         bins, offsets, final = pack(size.tolist(), lengths, overhead)
-        return pd.DataFrame({id_col: rows[id_col].to_numpy()[owner], "piece": piece, "first_word": first, "n_words": size,
-                             "bin_id": np.array(bins, np.int64) * shards + key[0], "bin_length": final, "bin_offset": offsets})
+        # Ids never leave Arrow: a null among them must not turn the others into floating point numbers.
+        cols = [rows.column(0).take(pa.array(owner)), piece, first, size, np.array(bins, np.int64) * shards + key[0].as_py(),
+                np.array(final, np.int64), np.array(offsets, np.int64)]
+        return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, pa.int64()) for c in cols],
+                        names=[id_col, "piece", "first_word", "n_words", "bin_id", "bin_length", "bin_offset"])
 
     dealt = sized.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)))
-    return dealt.groupBy("_shard").applyInPandas(
+    return dealt.groupBy("_shard").applyInArrow(
         work, f"`{id_col}` {kind}, piece bigint, first_word bigint, n_words bigint, bin_id bigint, bin_length bigint, bin_offset bigint")

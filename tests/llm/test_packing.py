@@ -80,3 +80,8 @@ def test_shards_hold_bounded_rows(docs_of):
     rows = [(i, "w " * (i % 90 + 1)) for i in range(500)]
     got = P.packed(docs_of(rows), rows_per_shard=50).collect()
     check(got, {i: i % 90 + 1 for i in range(500)})
+
+
+def test_ids_beside_null_stay_exact(docs_of):
+    big = 9007199254740993
+    assert {r.doc_id for r in P.packed(docs_of([(big, "a b"), (None, "c"), (-big, "d " * 5000)])).collect()} == {big, None, -big}
