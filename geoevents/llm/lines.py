@@ -20,10 +20,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoevents.llm.common import batches, cut, texts_of, utf8
+from geoevents.llm.common import batches, cut, free_name, slices, texts_of, utf8
 
 LEAST_DOCS = 10
 LEAST_CHARS = 1
@@ -168,8 +168,11 @@ class LineStore:
     def _moved(self, refs: DataFrame, sign: int) -> LineStore:
         delta = refs.groupBy("hi", "lo").agg((F.count("*") * sign).alias("d"))
         both = self.counts.join(delta, ["hi", "lo"], "full")
-        before, after = F.coalesce("n_docs", F.lit(0)), F.greatest(F.coalesce("n_docs", F.lit(0)) + F.coalesce("d", F.lit(0)), F.lit(0))
+        before = F.coalesce("n_docs", F.lit(0))
+        after = before + F.coalesce("d", F.lit(0))
         now = cut(both.select("hi", "lo", before.alias("old"), after.alias("n_docs")))
+        if not now.filter("n_docs < 0").isEmpty():
+            raise ValueError("documents to remove hold lines that were never added")
         bound = F.lit(self.least_docs)
         crossed = now.filter((F.col("old") >= bound) != (F.col("n_docs") >= bound)).withColumn("put", F.col("n_docs") >= bound)
         filters = cut(self._filters(crossed))
@@ -187,9 +190,21 @@ class LineStore:
         return self._moved(refs, 1)
 
     def remove(self, refs: DataFrame) -> LineStore:
-        """The store as if these documents had never been added."""
+        """The store as if these documents had never been added; an error if a line would count below zero, since then some never were."""
         return self._moved(refs, -1)
 
+    def save(self, folder: str) -> None:
+        """Write the state as Parquet; ``load`` gives an equal store, in another session too. An existing folder is an error."""
+        self.counts.write.parquet(f"{folder}/counts")
+        self.filters.write.parquet(f"{folder}/filters")
+        spark = self.counts.sparkSession
+        spark.createDataFrame([(self.shards, self.least_docs)], "shards int, least_docs int").coalesce(1).write.parquet(f"{folder}/settings")
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> LineStore:
+        own = spark.read.parquet(f"{folder}/settings").first()
+        return LineStore(spark.read.parquet(f"{folder}/counts"), spark.read.parquet(f"{folder}/filters"), own.shards, own.least_docs)
+
     def frequent(self, keys: DataFrame) -> DataFrame:
         """Those of the distinct ``keys`` (hi, lo) that stand in enough documents: filter first, exact table for the hits."""
         def probe(key: tuple, rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
@@ -204,14 +219,17 @@ class LineStore:
 
 
 def _with_drops(docs: DataFrame, store: LineStore | None, id_col: str, text: str, least_docs: int, least_chars: int) -> DataFrame:
-    """``docs`` with ``_drops``: the keys of its lines that are to go (null: none)."""
+    """``docs`` with one more column, the last: the keys of its lines that are to go (null: none)."""
+    drop_id, drop_hash, drop_list = (free_name(docs, f"_drop_{x}") for x in ("id", "hash", "list"))
     refs = line_refs(docs, id_col, text, least_chars)
     store = store or LineStore.build(refs, least_docs)
     gone = cut(store.frequent(store.counts.select("hi", "lo")))
-    drops = (refs.join(gone, ["hi", "lo"]).groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"))
-             .agg(F.collect_set(F.struct("hi", "lo")).alias("_drops")))
-    here = docs.withColumn("_text_hash", _text_hash(text))
-    return here.join(drops, here[id_col].eqNullSafe(drops["_id"]) & (here["_text_hash"] == drops["_hash"]), "left").drop("_id", "_hash", "_text_hash")
+    drops = (refs.join(gone, ["hi", "lo"]).groupBy(F.col(id_col).alias(drop_id), F.col("text_hash").alias(drop_hash))
+             .agg(F.collect_set(F.struct("hi", "lo")).alias(drop_list)))
+    here = docs.withColumn(free_name(docs, "_text_hash"), _text_hash(text))
+    key = here.columns[-1]
+    joined = here.join(drops, here[id_col].eqNullSafe(drops[drop_id]) & (here[key] == drops[drop_hash]), "left")
+    return joined.select(*[here[f"`{c}`"] for c in docs.columns], drops[drop_list])
 
 
 def _kept_lines(data: bytes, drops: list | None, least_chars: int) -> tuple[list[bytes], int]:
@@ -241,19 +259,20 @@ def dedup_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l
         return [batch.column(0), n, dropped, shas]
 
     kind = frame.schema[0].dataType.simpleString()
-    return batches(frame.select(id_col, text, "_drops"), work, f"`{id_col}` {kind}, n_lines bigint, n_dropped bigint, kept_sha256 string")
+    return batches(frame, work, f"`{id_col}` {kind}, n_lines bigint, n_dropped bigint, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_chars: str = "n_chars", least_docs: int = LEAST_DOCS,
           least_chars: int = LEAST_CHARS, store: LineStore | None = None) -> DataFrame:
-    """``docs`` without the frequent lines, with all its columns; the length column follows. No row goes; null texts stay null."""
+    """``docs`` without the frequent lines, with all its columns, whatever their names; the length column follows.
+
+    No row goes; null texts stay null. Rows with null ids count as documents like others, and so does each of repeated rows. An empty table
+    gives an empty one."""
     frame = _with_drops(docs, store, id_col, text, least_docs, least_chars)
     at, length = docs.columns.index(text), docs.columns.index(n_chars) if n_chars in docs.columns else None
 
     def run(them):
-        for batch in them:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in them for part in slices(whole)):
             raw, drops = batch.column(at).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             new = [None if t is None else b"\n".join(_kept_lines(t, d, least_chars)[0]).decode() if d else t.decode() for t, d in zip(raw, drops)]
             cols = list(batch.columns)[:-1]
@@ -263,4 +282,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_chars:
                                         batch.schema[length].type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
 
-    return frame.select(*docs.columns, "_drops").mapInArrow(run, docs.schema)
+    return frame.mapInArrow(run, docs.schema)

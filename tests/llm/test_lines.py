@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import oracle
+import pytest
 
 from geoevents.llm import lines as L
 from geoevents.llm.common import table
@@ -78,3 +79,21 @@ def test_cuckoo_filter():
 def test_key_bound(spark, sf):
     assert L.digest(b" \t ") is None and L.digest(b" A ") == L.digest(b"a") and L.digest("é".encode(), 2) is None
     assert L.line_refs(table(spark, sf, "documents")).count() > 0
+
+
+def test_store_refuses_what_was_never_added(spark, docs_of):
+    store = L.LineStore.build(L.line_refs(docs_of([(1, "a\nb"), (2, "a")])), least_docs=2)
+    with pytest.raises(ValueError, match="never added"):
+        store.remove(L.line_refs(docs_of([(3, "c")])))
+    again = store.remove(L.line_refs(docs_of([(2, "a")]))).add(L.line_refs(docs_of([(2, "a")])))
+    assert rows_of(again.counts) == rows_of(store.counts)
+
+
+def test_store_lives_on_in_a_folder(spark, docs_of, tmp_path):
+    rows = [(i, f"shared\nown {i}") for i in range(12)]
+    store = L.LineStore.build(L.line_refs(docs_of(rows)))
+    store.save(str(tmp_path / "store"))
+    held = L.LineStore.load(spark, str(tmp_path / "store"))
+    assert rows_of(held.counts) == rows_of(store.counts) and held.least_docs == store.least_docs
+    got = L.dedup_digests(docs_of([(99, "shared\nnew")]), store=held.add(L.line_refs(docs_of([(99, "shared\nnew")])))).first()
+    assert (got.n_lines, got.n_dropped) == (2, 1)
