@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from geoevents.llm.common import batches, char_offsets, texts_of, utf8
+from geoevents.llm.common import batches, char_offsets, slices, texts_of, utf8
 
 #: Kinds in the order in which spans with the same start are listed; the last two are the method's own.
 KINDS = ["assign", "access", "hex", "github", "npm"]
@@ -154,9 +154,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars")
     length = docs.columns.index(n_chars) if n_chars in docs.columns else None
 
     def run(them):
-        for batch in them:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in them for part in slices(whole)):
             raw = batch.column(at).cast(pa.binary()).to_pylist()
             new = [None if t is None else redact_text(t) for t in raw]
             cols = list(batch.columns)

@@ -246,10 +246,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = MAX_BITS) -> DataFrame:
     """One row of each group, with all columns of ``docs``: the smallest id's, then the smallest text hash's; a null id comes last.
-    Of repeated rows of that document one stays."""
+    Of several rows with that id and text one stays, the one whose columns hash lowest. Columns may have any name; an empty table gives an
+    empty one."""
     marked, rooted = _rooted(docs, id_col, text, bits)
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_hash").alias("hash"))
     lead = marked.join(rooted, "fp").groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.id").alias("_id"), F.col("o.hash").alias("_hash"))
-    here = docs.withColumn("_text_hash", _text_hash(text))
-    kept = here.join(lead, here[id_col].eqNullSafe(lead["_id"]) & (here["_text_hash"] == lead["_hash"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_text_hash"]).select(*docs.columns)
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    here = docs.select(F.struct(*every).alias("row"), F.col(f"`{id_col}`").alias("id"), _text_hash(text).alias("hash"), F.xxhash64(*every).alias("order"))
+    kept = here.join(lead, here["id"].eqNullSafe(lead["_id"]) & (here["hash"] == lead["_hash"]), "left_semi")
+    return kept.groupBy("id", "hash").agg(F.min_by("row", "order").alias("row")).select("row.*")
