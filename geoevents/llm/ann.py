@@ -116,7 +116,8 @@ def nearest(rows: DataFrame, is_query: F.Column, id_col: str = "vec_id", vector:
     """(query_id, rank, id_col, score): for each query row its k nearest other rows by inner product, ties to the smaller id.
 
     Rows without an id, and vectors that are null, zero, or hold null or non-finite components take no part. All vectors must have one
-    number of components. Of rows with the same id each is indexed; none is compared with its own id. No valid row: an empty table."""
+    number of components. Of rows with the same id each is indexed; none is compared with its own id; as a query stands the one
+    with the smallest vector, component by component. No valid row: an empty table."""
     all_rows = cut(valid_vectors(rows, id_col, vector))
     spark, result = rows.sparkSession, f"query_id bigint, rank int, `{id_col}` bigint, score double"
     head = all_rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top"),
@@ -126,7 +127,7 @@ def nearest(rows: DataFrame, is_query: F.Column, id_col: str = "vec_id", vector:
     if head.short != head.long:
         raise ValueError(f"vectors have between {head.short} and {head.long} components")
     marks, top, dim = pivot_sample(all_rows, pivots), math.sqrt(head.top), head.long
-    queries = valid_vectors(rows.filter(is_query), id_col, vector)
+    queries = valid_vectors(rows.filter(is_query), id_col, vector).groupBy("id").agg(F.min("v").alias("v"))
     n_blocks = max(1, math.ceil(head.n / rows_per_block))
     hashed = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n))
     held = _packed(all_rows, hashed(n_blocks), ("block", "ids", "vectors"))

@@ -171,10 +171,11 @@ def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
     line, out = b" " + b" ".join(words) + b" ", []
     for phrase, label in PHRASES:
         needle = b" " + phrase.encode() + b" "
-        at = line.find(needle)
+        at, done, no = line.find(needle), 0, 0
         while at >= 0:
-            out.append((line.count(b" ", 0, at), label))
-            at = line.find(needle, at + 1)
+            no += line.count(b" ", done, at)  # blanks are counted on from the last place, so each is counted once a phrase
+            out.append((no, label))
+            done, at = at, line.find(needle, at + 1)
     return out
 
 
