@@ -38,15 +38,17 @@ def _(spark, d):
     return month_text(Q.query_monthly(_monthly(spark, d).withColumnRenamed("kind", "zone_id"), "5-LOW", window=500))
 
 
-# months with few calls only: the gaps are real here
-ctes.TABLES["sparse"] = ("cal", "SELECT agency AS kind, CAST(date_trunc('month', day) AS DATE) AS month, COUNT(*) AS n FROM cal WHERE id % 29 = 0 GROUP BY 1,2")
+# calls of a street in a neighbourhood: few a month, so the gaps are real
+ctes.TABLES["sparse"] = ("cal", "SELECT street, neighbourhood, CAST(date_trunc('month', day) AS DATE) AS month, COUNT(*) AS n FROM cal GROUP BY 1,2,3")
 
 
-@query("gap_filled_series", """SELECT s.kind, strftime(s.month,'%Y-%m') AS month, coalesce(m.n,0) AS n FROM (SELECT kind, CAST(unnest(generate_series(greatest(lo, hi - INTERVAL 59 MONTH), hi, INTERVAL 1 MONTH)) AS DATE) AS month
- FROM (SELECT kind, CAST(min(month) AS TIMESTAMP) lo, CAST(max(month) AS TIMESTAMP) hi FROM sparse GROUP BY 1)) s LEFT JOIN sparse m USING (kind, month)""", "sparse")
+@query("gap_filled_series", """SELECT s.street, s.neighbourhood, strftime(s.month,'%Y-%m') AS month, coalesce(m.n,0) AS n
+ FROM (SELECT street, neighbourhood, CAST(unnest(generate_series(greatest(lo, hi - INTERVAL 59 MONTH), hi, INTERVAL 1 MONTH)) AS DATE) AS month
+ FROM (SELECT street, neighbourhood, CAST(min(month) AS TIMESTAMP) lo, CAST(max(month) AS TIMESTAMP) hi FROM sparse GROUP BY 1,2)) s
+ LEFT JOIN sparse m USING (street, neighbourhood, month)""", "sparse")
 def _(spark, d):
-    rows = B.calls(spark, d).filter(F.col("id") % 29 == 0).drop("kind").withColumnRenamed("agency", "kind")
-    return month_text(T.gap_filled_series(T.monthly_counts(rows, BY), BY))
+    by = ["street", "neighbourhood"]
+    return month_text(T.gap_filled_series(T.monthly_counts(B.calls(spark, d), by), by))
 
 
 # all calls by person: few a month, so the gaps are real without thinning the rows

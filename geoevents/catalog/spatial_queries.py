@@ -81,8 +81,10 @@ def _(spark, d):
     return S.within_radius(inc, cam, 1000.0, how="left_anti").select("id")
 
 
-@query("near_any", """SELECT s.street, EXISTS (SELECT 1 FROM inc_m i JOIN fac_m f ON pow(i.x-f.x,2)+pow(i.y-f.y,2) <= 10000e0 WHERE i.street = s.street) AS is_near
- FROM (SELECT DISTINCT street FROM inc) s""", "inc inc_m fac_m")
+@query("near_any", """SELECT s.street, CASE WHEN s.street <> '' AND s.located > 0
+   THEN EXISTS (SELECT 1 FROM inc_m i JOIN fac_m f ON pow(i.x-f.x,2)+pow(i.y-f.y,2) <= 10000e0 WHERE i.street = s.street)
+   ELSE EXISTS (SELECT 1 FROM fac_m f WHERE pow(s.x-f.x,2)+pow(s.y-f.y,2) <= 10000e0) END AS is_near
+ FROM (SELECT street, avg(x) AS x, avg(y) AS y, COUNT(x) AS located FROM inc_m GROUP BY 1) s""", "inc inc_m fac_m")
 def _(spark, d):
     inc = metric(B.incidents(spark, d))
     units = inc.groupBy("street").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
