@@ -2,7 +2,7 @@
 
 Two base rules are fixed: too few words, and too many words in repeated three-word windows. The other rules look at shapes that
 running text does not have. A rule's cost (seconds a text) and selectivity (share of texts it rejects) are measured on a bounded
-sample, and rules run in order of rejections per cost; a text rejected by one rule is not shown to the next. The order changes the
+sample, and rules run in order of rejections per cost; a text rejected by one rule is not shown to the next, and a text's measures are dropped before the next text. The order changes the
 work only: a text is kept if no rule rejects it, whichever comes first, so equal inputs give equal verdicts.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import time
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoevents.llm.common import batches, texts_of, utf8
+from geoevents.llm.common import batches, slices, texts_of, utf8
 
 SYMBOLS = b"#*$%&|<>"
 #: Rows of the sample on which cost and selectivity are measured; the verdicts do not depend on it.
@@ -98,13 +98,6 @@ RULES = [
 ]
 
 
-def sample_of(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> list[bytes]:
-    """Texts of at most ``rows`` rows, for measuring cost and selectivity; cut to 20,000 characters on the way to the driver (the
-    sample steers the order of the rules and nothing else)."""
-    got = docs.select(F.substring(F.col(f"`{text}`").cast("string"), 1, 20_000).alias("t")).limit(rows).collect()
-    return [(r.t or "").encode() for r in got]
-
-
 def measured_order(docs: DataFrame, key: list[str], text: str = "text", rules: list[Rule] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by rejections per second on the rows with the ``rows`` least hashes of key and text, the best first. Whole texts are
     measured inside tasks; the driver gets seconds and rejections per rule. On an empty table the given order."""
@@ -127,27 +120,14 @@ def measured_order(docs: DataFrame, key: list[str], text: str = "text", rules: l
     return sorted(rules, key=lambda r: rate.get(r.name, 0.0), reverse=True)
 
 
-def ordered_rules(sample: list[bytes], rules: list[Rule] = RULES) -> list[Rule]:
-    """Rules by rejections per second on the sample, the best first; without a sample the given order."""
-    if not sample:
-        return list(rules)
-
-    def rate(rule: Rule) -> float:
-        began = time.perf_counter()
-        rejected = sum(rule.rejects(Measures(t)) for t in sample)
-        return rejected / max(time.perf_counter() - began, 1e-9)
-
-    return sorted(rules, key=rate, reverse=True)
+def passes(m: Measures, rules: list[Rule]) -> bool:
+    """Whether a text passes all rules; the first rule that rejects it ends the cascade."""
+    return not any(rule.rejects(m) for rule in rules)
 
 
-def cascade(texts: list[Measures], rules: list[Rule]) -> np.ndarray:
-    """Whether each text passes all rules; each rule sees only what the ones before it let through."""
-    left = np.arange(len(texts))
-    for rule in rules:
-        left = left[[not rule.rejects(texts[i]) for i in left]] if len(left) else left
-    kept = np.zeros(len(texts), bool)
-    kept[left] = True
-    return kept
+def cascade(texts: Iterable[Measures], rules: list[Rule]) -> np.ndarray:
+    """Whether each text passes all rules; the measures of one text are let go before the next is taken."""
+    return np.array([passes(m, rules) for m in texts], bool)
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: list[Rule] = RULES,
@@ -160,12 +140,12 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules:
     by_name = {r.name: r for r in rules}
 
     def work(batch: pa.RecordBatch) -> list:
-        texts = [Measures(b) for b in utf8(batch.column(1))]
-        kept = cascade(texts, [by_name[n] for n in order])
-        failed = np.array([base_failed(m) for m in texts], bool)
-        counts = [[f(m) for m in texts] for f in (lambda m: len(m.words), lambda m: m.word_chars, lambda m: m.n_symbols,
-                                                  lambda m: m.n_dup_lines, lambda m: m.n_repeat_words)]
-        return [batch.column(0), *counts, failed, kept & ~failed]
+        ordered, rows = [by_name[n] for n in order], []
+        for data in utf8(batch.column(1)):
+            m = Measures(data)  # one text's measures at a time
+            failed = base_failed(m)
+            rows.append((len(m.words), m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, failed, not failed and passes(m, ordered)))
+        return [batch.column(0), *map(list, zip(*rows))]
 
     frame = texts_of(docs, [id_col], text)
     kind = frame.schema[0].dataType.simpleString()
@@ -174,15 +154,19 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules:
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` that pass every rule, with all their columns; here rejected texts are measured no further."""
-    order = [r.name for r in ordered_rules(sample_of(docs, text, sample_rows), rules)]
+    """The rows of ``docs`` that pass every rule, with all their columns; here rejected texts are measured no further.
+
+    A null or empty text has no words and goes. Null ids and repeated rows are judged each by its text; an empty table gives an empty one;
+    other columns are carried and may have any name."""
+    order = [r.name for r in measured_order(docs, [], text, rules, sample_rows)]
     by_name = {r.name: r for r in rules}
     at = docs.columns.index(text)
 
     def run(them):
+        ordered = [by_name[n] for n in order]
         for batch in them:
-            if batch.num_rows:
-                kept = cascade([Measures(b) for b in utf8(batch.column(at).cast(pa.string()))], [by_name[n] for n in order])
-                yield batch.filter(pa.array(kept))
+            for part in slices(batch):
+                kept = cascade((Measures(data) for data in utf8(part.column(at).cast(pa.string()))), ordered)
+                yield part.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)
