@@ -28,8 +28,15 @@ def month_text(df: DataFrame, col: str = "month") -> DataFrame:
     return df.withColumn(col, F.date_format(col, "yyyy-MM"))
 
 
+_INDEXES: dict[tuple[str, str], DataFrame] = {}
+
+
 def index_of(spark: SparkSession, d: str) -> DataFrame:
-    return S.zone_index(B.zone_edges(spark, d), B.zones(spark, d))
+    """The zone index of a folder, written once in an application and read by all its queries."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = S.zone_index(B.zone_edges(spark, d), B.zones(spark, d))
+    return _INDEXES[key]
 
 
 def zoned(spark: SparkSession, d: str, df: DataFrame, how: str = "inner", multi: str = "all") -> DataFrame:
@@ -40,7 +47,7 @@ def report_of(spark: SparkSession, d: str) -> AreaReport:
     return AreaReport(Layers(
         zones=B.zones(spark, d), edges=B.zone_edges(spark, d), incidents=B.incidents(spark, d), tips=B.tips(spark, d),
         factors=B.factors(spark, d), cameras=B.cameras(spark, d), reports=B.reports(spark, d),
-        street_people=B.street_people(spark, d), calls=B.calls(spark, d)))
+        street_people=B.street_people(spark, d), calls=B.calls(spark, d)), index=index_of(spark, d))
 
 
 def metric(df: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Point–zone and distance joins, all keyed by grid cells so that they plan as hash joins.
 
-Zone index: one row per grid cell that meets a zone, carrying the zones of that cell with
-either ``full = true`` (cell entirely inside) or the edges a ray from the cell can meet. A
-point therefore meets at most one index row: no row multiplication, no regrouping of points.
+Zone index: one row per stretch of ``RUN`` grid cells of a row that meets a zone. It lists, zone by zone, runs of cells that lie
+wholly inside, and single cells on the border with only those edges that pass through them and whether the cell's upper right corner is
+inside. A point goes right to the cell's side, then up to that corner; each edge met on the way changes sides. So an index entry knows
+nothing of what lies beyond its cell, entries grow with the length of the borders, and a point meets one index row: no row multiplication,
+no regrouping of points.
 """
 
 from __future__ import annotations
@@ -17,60 +19,104 @@ from geoevents.operators.ranking import global_row_number
 from geoevents.session import cut, hashed_join
 
 CELL_DEG = 0.005
+#: Cells of a row that share an index row.
+RUN = 64
 
 
 # ------------------------------------------------------------------ zone index
 def zone_index(edges: DataFrame, zones: DataFrame | None = None, cell_size: float = CELL_DEG, *,
                materialise: bool = True) -> DataFrame:
-    """``(ix, iy, cands)`` with ``cands: array<struct<ord, zone_id, full, edges>>``.
+    """``(seg, iy, cands)`` with ``cands: array<struct<ord, zone_id, lo, hi, corner, edges>>``: cells lo..hi of row iy.
 
-    ``zones`` may give ``zone_order``; without it the order is the zone id. The index is small
-    and used by many joins, so it is written out once unless ``materialise`` is off.
+    ``edges`` is NULL for cells wholly inside. ``zones`` may give ``zone_order``; without it the order is the zone id. The index is
+    small and used by many joins, so it is written out once unless ``materialise`` is off.
     """
     c = float(cell_size)
-    e = edges.select("zone_id", "x1", "y1", "x2", "y2")
+    rim = c * 1e-6  # an edge this near to a cell counts as passing through it: rounding must lose none
+    row, zone = ["zone_id", "iy"], F.col("zone_id")
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    banded = e.withColumn("iy", F.explode(F.sequence(G.cell(low, c), G.cell(high, c))))
-    bands = banded.groupBy("zone_id", "iy").agg(
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
-        F.min(F.least("x1", "x2")).alias("minx"),
-        F.max(F.greatest("x1", "x2")).alias("maxx"),
-    )
-    cells = bands.withColumn(
-        "ix", F.explode(F.sequence(G.cell(F.col("minx"), c), G.cell(F.col("maxx"), c)))
-    )
-    x0, y0 = F.col("ix") * F.lit(c), F.col("iy") * F.lit(c)
-    x1, y1 = x0 + F.lit(c), y0 + F.lit(c)
-    touching = F.exists(
-        "edges",
-        lambda s: (F.greatest(s["x1"], s["x2"]) >= x0) & (F.least(s["x1"], s["x2"]) <= x1)
-        & (F.greatest(s["y1"], s["y2"]) >= y0) & (F.least(s["y1"], s["y2"]) <= y1),
-    )
-    mid_x, mid_y = x0 + F.lit(c / 2), y0 + F.lit(c / 2)
-    ahead = F.filter("edges", lambda s: F.greatest(s["x1"], s["x2"]) >= x0)
-    judged = cells.select(
-        "zone_id", "ix", "iy", touching.alias("touch"), ahead.alias("edges"),
-        inside_edges(F.col("edges"), mid_x, mid_y).alias("mid"),
-    ).filter(F.col("touch") | F.col("mid"))
-    judged = judged.select(
-        "zone_id", "ix", "iy", (~F.col("touch")).alias("full"),
-        F.when(F.col("touch"), F.col("edges")).alias("edges"),
-    )
+    rows = F.sequence(G.cell(low - F.lit(rim), c), G.cell(high + F.lit(rim), c))
+    # one shuffle, by zone and row of cells; all that follows keeps to it
+    banded = edges.select("zone_id", "x1", "y1", "x2", "y2", F.explode(rows).alias("iy")).repartition(*row)
+    x_at = lambda y: F.when(F.col("y1") == F.col("y2"), F.col("x1")).otherwise(_x_at(y, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    bottom, top = F.col("iy") * F.lit(c), (F.col("iy") + 1) * F.lit(c)
+    level = F.col("y1") == F.col("y2")
+    xa = F.when(level, F.col("x1")).otherwise(x_at(F.greatest(low, bottom - F.lit(rim))))
+    xb = F.when(level, F.col("x2")).otherwise(x_at(F.least(high, top + F.lit(rim))))
+    reached = F.sequence(G.cell(F.least(xa, xb) - F.lit(rim), c), G.cell(F.greatest(xa, xb) + F.lit(rim), c))
+    touched = banded.withColumn("ix", F.explode(reached)).groupBy(*row, "ix").agg(
+        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    # The corner of a cell is inside if an odd number of edges crosses the line through the corners to its right.
+    crossings = banded.filter((F.col("y1") > top) != (F.col("y2") > top)).select(*row, x_at(top).alias("at"), F.lit(1).alias("hit"))
+    no_edges = F.lit(None).cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    lined = touched.select(*row, _corner(F.col("ix"), F.col("iy"), c)[0].alias("at"), F.lit(0).alias("hit"), "ix", "edges").unionByName(
+        crossings.select("*", F.lit(None).cast("bigint").alias("ix"), no_edges.alias("edges")))
+    right = Window.partitionBy(*row).orderBy(F.col("at").desc(), "hit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at_x, at_y = _corner(F.col("ix"), F.col("iy"), c)
+    # for the cell's own edges, whose crossing may be the corner itself, the line decides as it will for points
+    told_apart = F.filter("edges", lambda s: _straddles(s["y1"], s["y2"], at_y) & (
+        (at_x < _x_at(at_y, s["x1"], s["y1"], s["x2"], s["y2"])) != _left_of(s, at_x, at_y)))
+    cornered = lined.withColumn("hits", F.sum("hit").over(right)).filter("hit = 0").withColumns({
+        "corner": (F.col("hits") + F.size(told_apart)) % 2 == 1, "next": F.lead("ix").over(Window.partitionBy(*row).orderBy("ix"))})
+    border = F.struct(F.col("ix").alias("lo"), F.col("ix").alias("hi"), "corner", "edges")
+    inner = F.struct((F.col("ix") + 1).alias("lo"), (F.col("next") - 1).alias("hi"), F.lit(True).alias("corner"), no_edges.alias("edges"))
+    runs = F.when(F.col("corner") & (F.col("next") > F.col("ix") + 1), F.array(border, inner)).otherwise(F.array(border))
+    parts = cornered.select(*row, F.explode(runs).alias("r"))
+    segments = F.sequence(F.floor(F.col("r.lo") / RUN), F.floor(F.col("r.hi") / RUN))
+    cut_up = parts.withColumn("seg", F.explode(segments)).select(
+        "seg", "iy", "zone_id", F.greatest("r.lo", F.col("seg") * RUN).alias("lo"), F.least("r.hi", F.col("seg") * RUN + (RUN - 1)).alias("hi"),
+        F.col("r.corner").alias("corner"), F.col("r.edges").alias("edges"))
     if zones is not None and "zone_order" in zones.columns:
-        order = zones.select("zone_id", F.col("zone_order").cast("bigint").alias("ord"))
-        judged = judged.join(order, "zone_id")
+        cut_up = cut_up.join(zones.select("zone_id", F.col("zone_order").cast("bigint").alias("ord")), "zone_id")
     else:
-        judged = judged.withColumn("ord", F.lit(0).cast("bigint"))
-    index = judged.groupBy("ix", "iy").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "zone_id", "full", "edges"))).alias("cands")
-    )
+        cut_up = cut_up.withColumn("ord", F.lit(0).cast("bigint"))
+    index = cut_up.groupBy("seg", "iy").agg(
+        F.sort_array(F.collect_list(F.struct("ord", zone, "lo", "hi", "corner", "edges"))).alias("cands"))
     return cut(index) if materialise else index
 
 
-def inside_edges(edges: Column, px: Column, py: Column) -> Column:
-    """Odd number of edges crossed by the ray to the right."""
-    hits = F.filter(edges, lambda s: G.crosses_ray(px, py, s["x1"], s["y1"], s["x2"], s["y2"]))
-    return F.size(hits) % 2 == 1
+def _x_at(y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Where an edge that is not level is at height ``y``."""
+    return x1 + (y - y1) * (x2 - x1) / (y2 - y1)
+
+
+def _straddles(a: Column, b: Column, at: Column) -> Column:
+    return (a > at) != (b > at)
+
+
+def _left_of_line(s: Column, x: Column, y: Column) -> Column:
+    turn = (s["x2"] - s["x1"]) * (y - s["y1"]) - (x - s["x1"]) * (s["y2"] - s["y1"])
+    return F.when(s["y2"] > s["y1"], turn > 0).otherwise(turn < 0)
+
+
+def _left_of(s: Column, x: Column, y: Column) -> Column:
+    """Does an edge that straddles ``y`` pass right of (x, y)?  Only an edge that straddles ``x`` too needs its line."""
+    return F.when(_straddles(s["x1"], s["x2"], x), _left_of_line(s, x, y)).otherwise(s["x1"] > x)
+
+
+def _below(s: Column, x: Column, y: Column) -> Column:
+    """Does an edge that straddles ``x`` pass above (x, y)?  Told by the same line as ``_left_of``, so the two never contradict
+    each other, whatever rounding makes of a point that lies on the edge."""
+    rising = (s["x2"] > s["x1"]) == (s["y2"] > s["y1"])
+    return F.when(_straddles(s["y1"], s["y2"], y), _left_of_line(s, x, y) != rising).otherwise(s["y1"] > y)
+
+
+def _corner(ix: Column, iy: Column, cell_size: float) -> tuple[Column, Column]:
+    return (ix + 1) * F.lit(float(cell_size)), (iy + 1) * F.lit(float(cell_size))
+
+
+def holds(cand: Column, px: Column, py: Column, ix: Column, iy: Column, cell_size: float) -> Column:
+    """Does an index entry of the point's own row hold the point in cell (ix, iy)?"""
+    right, top = _corner(ix, iy, cell_size)
+
+    def changes_side(s: Column) -> Column:
+        """The edge crosses one of the two legs of the way, but not both. Half-open, as rays are: low sides in, high sides out."""
+        along = _straddles(s["y1"], s["y2"], py) & ((px < _x_at(py, s["x1"], s["y1"], s["x2"], s["y2"])) != _left_of(s, right, py))
+        upward = _straddles(s["x1"], s["x2"], right) & (_below(s, right, py) != _below(s, right, top))
+        return along != upward
+
+    odd = F.size(F.filter(cand["edges"], changes_side)) % 2 == 1
+    return (cand["lo"] <= ix) & (ix <= cand["hi"]) & (cand["edges"].isNull() | (cand["corner"] != odd))
 
 
 def join_points_to_zones(
@@ -90,11 +136,11 @@ def join_points_to_zones(
     Boundary points follow the half-open crossing rule: low sides in, high sides out.
     """
     px, py = F.col(lon), F.col(lat)
-    keyed = points.withColumns({"ix": G.cell(px, cell_size), "iy": G.cell(py, cell_size)})
-    joined = hashed_join(keyed, index, ["ix", "iy"], "left" if how == "left" else "inner")
-    hits = F.filter("cands", lambda z: z["full"] | inside_edges(z["edges"], px, py))
+    keyed = points.withColumns({"ix": G.cell(px, cell_size), "iy": G.cell(py, cell_size)}).withColumn("seg", F.floor(F.col("ix") / RUN))
+    joined = hashed_join(keyed, index, ["seg", "iy"], "left" if how == "left" else "inner")
+    hits = F.filter("cands", lambda z: holds(z, px, py, F.col("ix"), F.col("iy"), cell_size))
     out = joined.withColumn("_zones", F.transform(hits, lambda z: z["zone_id"]))
-    out = out.drop("ix", "iy", "cands")
+    out = out.drop("seg", "ix", "iy", "cands")
     if multi == "first":
         out = out.withColumn("zone_id", F.try_element_at("_zones", F.lit(1)))
         out = out if how == "left" else out.filter(F.col("zone_id").isNotNull())

@@ -43,9 +43,10 @@ class Layers:
 class AreaReport:
     """Zoned layers and the tables derived from them (all lazy)."""
 
-    def __init__(self, layers: Layers, cell_size: float = S.CELL_DEG):
+    def __init__(self, layers: Layers, cell_size: float = S.CELL_DEG, index: DataFrame | None = None):
+        """``index`` may give the layers' zone index if it is already written (with the same cell size)."""
         self.layers = layers
-        self.index = S.zone_index(layers.edges, layers.zones, cell_size)
+        self.index = index if index is not None else S.zone_index(layers.edges, layers.zones, cell_size)
         inside = lambda df: S.join_points_to_zones(df, self.index, how="inner", cell_size=cell_size)
         self.incidents = inside(layers.incidents)
         self.tips = inside(layers.tips)
