@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoevents.catalog import ctes
-from geoevents.catalog.common import index_of, joined_text, metric, r6, report_of, rounded, zoned
+from geoevents.catalog.common import joined_text, metric, r6, report_of, rounded, zoned
 from geoevents.catalog.registry import query
 from geoevents.operators import allocation as L
 from geoevents.operators import metrics as M
@@ -418,15 +418,30 @@ def _document_report(spark, d):
     return rep
 
 
+ctes.TABLES["zmon"] = ("izone", "SELECT zone_id, CAST(date_trunc('month', day) AS DATE) AS month, COUNT(*) AS n FROM izone GROUP BY 1,2")
+ctes.TABLES["zfilled"] = ("zmon", """SELECT s.zone_id, s.month, coalesce(m.n, 0) AS n FROM (SELECT zone_id, CAST(unnest(generate_series(greatest(lo, hi - INTERVAL 59 MONTH), hi, INTERVAL 1 MONTH)) AS DATE) AS month
+ FROM (SELECT zone_id, CAST(min(month) AS TIMESTAMP) lo, CAST(max(month) AS TIMESTAMP) hi FROM zmon GROUP BY 1)) s LEFT JOIN zmon m USING (zone_id, month)""")
+
+
 @query("area_documents", f"""SELECT m.zone_id, m.crimes, m.tips, m.factors, m.cameras, m.street_people, m.has_report, CASE WHEN contains(m.name,'Botafogo') OR contains(m.name,'Copacabana') THEN 'Litorânea' ELSE 'Central' END AS base,
  coalesce(s.n,0) AS n_streets, s.first_street, coalesce(s.layers2,0) AS n_bingo, coalesce(s.layers3,0) AS n_triple, coalesce(h.n,0) AS sum_hours, coalesce(o.n,0) AS sum_offences, o.kinds AS n_offences,
  c.total AS calls_total, round(c.served,6) AS calls_pct_served, round(c.overdue,6) AS calls_pct_overdue, c.types AS call_types, v.n AS n_agencies, v.factors AS agency_factors, v.calls AS agency_calls,
- least(coalesce(f.n,0),1000) AS factor_points, least(m.cameras,1000) AS camera_points, least(m.street_people,1000) AS people_points
- FROM measures m LEFT JOIN (SELECT zone_id, COUNT(*) n, first(street ORDER BY street_rank) AS first_street, COUNT(*) FILTER (1 + near_f::INT + near_t::INT >= 2) AS layers2, COUNT(*) FILTER (near_f AND near_t) AS layers3 FROM st_layers GROUP BY 1) s USING (zone_id)
+ least(coalesce(f.n,0),1000) AS factor_points, least(m.cameras,1000) AS camera_points, least(m.street_people,1000) AS people_points,
+ least(m.tips,400) AS tip_points, mo.months, tr.direction, ft.types AS factor_types, round(po.population,4) AS population_inside, ctx.members AS neighbourhoods, ctx.population AS population_around
+ FROM measures m LEFT JOIN (SELECT zone_id, string_agg(month || ':' || n, '|' ORDER BY month) AS months FROM (SELECT zone_id, strftime(month,'%Y-%m') AS month, n,
+   row_number() OVER (PARTITION BY zone_id ORDER BY month DESC) AS r FROM zmon) WHERE r <= 24 GROUP BY 1) mo USING (zone_id)
+ LEFT JOIN (SELECT zone_id, CASE WHEN COUNT(*) < 4 OR COUNT(DISTINCT n) = 1 OR any_value(s) = 0 THEN 'estavel' WHEN any_value(s) > 0 THEN 'crescente' ELSE 'decrescente' END AS direction
+   FROM zfilled LEFT JOIN (SELECT a.zone_id, SUM(sign(b.n - a.n)) AS s FROM zfilled a JOIN zfilled b ON a.zone_id = b.zone_id AND a.month < b.month GROUP BY 1) USING (zone_id) GROUP BY 1) tr USING (zone_id)
+ LEFT JOIN (SELECT zone_id, string_agg(agency || '=' || total || ':' || kinds, ';' ORDER BY total DESC, agency) AS types FROM
+   (SELECT zone_id, agency, SUM(n) AS total, string_agg(kind || ' ' || n, ',' ORDER BY r) FILTER (r <= 5) AS kinds FROM (SELECT zone_id, agency, kind, COUNT(*) AS n,
+     row_number() OVER (PARTITION BY zone_id, agency ORDER BY COUNT(*) DESC, kind) AS r FROM fzone GROUP BY 1,2,3) GROUP BY 1,2) GROUP BY 1) ft USING (zone_id)
+ LEFT JOIN (SELECT a_zone_id AS zone_id, SUM(c.pop_2022*o.area/(18000e0*9000e0)) AS population FROM overlap o JOIN census c ON c.zone_id = o.b_zone_id WHERE c.pop_2022 IS NOT NULL GROUP BY 1) po USING (zone_id)
+ LEFT JOIN (SELECT a_zone_id AS zone_id, string_agg(DISTINCT name, '|' ORDER BY name) AS members, CAST(SUM(coalesce(pop_2022,0)) AS BIGINT) AS population
+   FROM overlap o JOIN census c ON c.zone_id = o.b_zone_id GROUP BY 1) ctx USING (zone_id) LEFT JOIN (SELECT zone_id, COUNT(*) n, first(street ORDER BY street_rank) AS first_street, COUNT(*) FILTER (1 + near_f::INT + near_t::INT >= 2) AS layers2, COUNT(*) FILTER (near_f AND near_t) AS layers3 FROM st_layers GROUP BY 1) s USING (zone_id)
  LEFT JOIN (SELECT zone_id, COUNT(*) n FROM izone WHERE hour IS NOT NULL GROUP BY 1) h USING (zone_id) LEFT JOIN (SELECT zone_id, COUNT(*) n, COUNT(DISTINCT offence) kinds FROM izone GROUP BY 1) o USING (zone_id)
  LEFT JOIN (SELECT zone_id, COUNT(*) total, AVG((status = 'Atendido')::INT)*100 AS served, AVG((due = 'Vencido')::INT)*100 AS overdue, least(COUNT(DISTINCT kind || agency),20) AS types FROM czone GROUP BY 1) c USING (zone_id)
  LEFT JOIN (SELECT zone_id, COUNT(*) n, CAST(SUM(field_factors) AS BIGINT) AS factors, CAST(SUM(calls) AS BIGINT) AS calls FROM cross_rows GROUP BY 1) v USING (zone_id)
- LEFT JOIN (SELECT zone_id, COUNT(lat) n FROM fzone GROUP BY 1) f USING (zone_id)""", "measures izone czone fzone st_layers cross_rows")
+ LEFT JOIN (SELECT zone_id, COUNT(lat) n FROM fzone GROUP BY 1) f USING (zone_id)""", "measures izone czone fzone st_layers cross_rows zmon zfilled overlap census")
 def _(spark, d):
     doc = _document_report(spark, d).documents()
     total = lambda c, f: F.coalesce(F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x[f]), F.lit(0))
@@ -440,7 +455,9 @@ def _(spark, d):
         F.when(F.col("calls").isNotNull(), F.size("calls.by_type")).alias("call_types"),
         F.when(F.col("cross_validation").isNotNull(), F.size("cross_validation")).alias("n_agencies"),
         listed("cross_validation", "field_factors").alias("agency_factors"), listed("cross_validation", "calls").alias("agency_calls"),
-        size("factor_points").alias("factor_points"), size("camera_points").alias("camera_points"), size("street_people_points").alias("people_points"))
-
+        size("factor_points").alias("factor_points"), size("camera_points").alias("camera_points"), size("street_people_points").alias("people_points"),
+        size("tip_points").alias("tip_points"), joined_text(F.transform("monthly", lambda m: F.concat(m["month"], F.lit(":"), m["n"]))).alias("months"),
+        F.col("trend.direction").alias("direction"), joined_text(F.transform("factors_by_agency", lambda a: F.concat(
+            a["agency"], F.lit("="), a["total"], F.lit(":"), joined_text(F.transform(a["tipos"], lambda t: F.concat(t["tipo"], F.lit(" "), t["count"])), ","))), ";")
+        .alias("factor_types"), r6("population_inside", 4).alias("population_inside"), joined_text("neighbourhoods").alias("neighbourhoods"), "population_around")
 
-_ = index_of

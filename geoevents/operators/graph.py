@@ -70,12 +70,12 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 _LISTED = 8
 
 
-def _boxes(places: DataFrame, size: float, ix: str, iy: str) -> DataFrame:
+def _boxes(places: DataFrame, size: float, ix: str, iy: str, by: list[str]) -> DataFrame:
     """Boxes of distinct places: extent, and the places themselves where they are few."""
-    keyed = places.select("x", "y", G.cell(F.col("x"), size).alias(ix), G.cell(F.col("y"), size).alias(iy))
-    counted = keyed.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(ix, iy)))
+    keyed = places.select(*by, "x", "y", G.cell(F.col("x"), size).alias(ix), G.cell(F.col("y"), size).alias(iy))
+    counted = keyed.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by, ix, iy)))
     few = F.when(F.col("_n") <= _LISTED, F.struct("x", "y"))
-    return counted.groupBy(ix, iy).agg(
+    return counted.groupBy(*by, ix, iy).agg(
         F.min("x").alias("minx"), F.max("x").alias("maxx"), F.min("y").alias("miny"), F.max("y").alias("maxy"),
         F.collect_list(few).alias("pts"))
 
@@ -94,11 +94,7 @@ def _box_gap(a: str, b: str) -> tuple[Column, Column]:
     return gx * gx + gy * gy, fx * fx + fy * fy
 
 
-def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
-
-
-def linked_cells(points: DataFrame, eps_m: float) -> DataFrame:
+def linked_cells(points: DataFrame, eps_m: float, by: list[str] | None = None) -> DataFrame:
     """Pairs of neighbouring cells that hold two points within ``eps_m`` of each other.
 
     ``points(x, y)``. Cells are compared by the boxes of their points: boxes wholly within the
@@ -106,35 +102,39 @@ def linked_cells(points: DataFrame, eps_m: float) -> DataFrame:
     few places are settled place by place inside their row; the others are split four ways per
     axis and compared again, until nothing is open. Distinct places always separate, so this
     ends, and no dense box is ever compared place by place. A pair stops at its first hit.
+    Points of different groups ``by`` are never linked.
     """
     size = eps_m / math.sqrt(2.0) * _SHRINK
-    places = cut(points.select("x", "y").distinct())
+    by = by or []
+    places = cut(points.select(*by, "x", "y").distinct())
     steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _NEIGHBOURS]))
     eps2 = F.lit(float(eps_m) ** 2)
     near, far = _box_gap("a_", "b_")
     listed = (F.size("a_pts") > 0) & (F.size("b_pts") > 0)
     hit = F.exists("a_pts", lambda p: F.exists("b_pts", lambda q: G.dist2(p["x"], p["y"], q["x"], q["y"]) <= eps2))
-    key = ["a_ix", "a_iy", "b_ix", "b_iy"]
+    key = [*by, "a_ix", "a_iy", "b_ix", "b_iy"]
+
+    def side(boxes: DataFrame, prefix: str) -> DataFrame:
+        return boxes.select(*by, *[F.col(c).alias(f"{prefix}{c}") for c in boxes.columns if c not in by])
 
     def judged(pairs: DataFrame, *keep: str) -> DataFrame:
         """Pairs that are linked (``yes``) or still open."""
         told = pairs.filter(near <= eps2).withColumns({"yes": (far <= eps2) | (listed & hit), "open": ~listed & (far > eps2)})
         return cut(told.filter("yes or open").select(*key, "yes", *keep))
 
-    cells = _boxes(places, size, "ix", "iy")
-    a = _prefixed(cells, "a_").withColumn("s", steps).withColumns({
+    cells = _boxes(places, size, "ix", "iy", by)
+    a = side(cells, "a_").withColumn("s", steps).withColumns({
         "b_ix": F.col("a_ix") + F.col("s.dx"), "b_iy": F.col("a_iy") + F.col("s.dy")}).drop("s")
-    first = judged(a.join(_prefixed(cells, "b_"), ["b_ix", "b_iy"]))
+    first = judged(a.join(side(cells, "b_"), [*by, "b_ix", "b_iy"]))
     links = first.filter("yes").select(*key)
     open_pairs = first.filter(~F.col("yes")).select(
         *key, *[F.col(f"{s}{k}").alias(f"{s}s{k}") for s in ("a_", "b_") for k in ("ix", "iy")])
     scale = 1
     while not open_pairs.isEmpty():
         scale *= 4
-        kids = _boxes(places, size / scale, "cx", "cy").withColumns({
+        kids = _boxes(places, size / scale, "cx", "cy", by).withColumns({
             "six": F.floor(F.col("cx") / 4).cast("bigint"), "siy": F.floor(F.col("cy") / 4).cast("bigint")})
-        opened = open_pairs.join(_prefixed(kids, "a_"), ["a_six", "a_siy"]).join(
-            _prefixed(kids, "b_"), ["b_six", "b_siy"])
+        opened = open_pairs.join(side(kids, "a_"), [*by, "a_six", "a_siy"]).join(side(kids, "b_"), [*by, "b_six", "b_siy"])
         told = judged(opened, "a_cx", "a_cy", "b_cx", "b_cy")
         found = told.filter("yes").select(*key).distinct()
         links = links.unionByName(found)
@@ -143,33 +143,37 @@ def linked_cells(points: DataFrame, eps_m: float) -> DataFrame:
     return links
 
 
-def cell_key(ix: Column, iy: Column) -> Column:
-    """One sortable number per cell (32 bits per axis)."""
-    return F.shiftleft(ix, 32) + (iy + F.lit(1 << 31))
+def cell_node(ix: str, iy: str, by: list[str] | None = None) -> Column:
+    """A cell of a group as one node of a graph; nodes compare field by field."""
+    return F.struct(*[F.col(c).alias(c) for c in by or []], F.col(ix).alias("ix"), F.col(iy).alias("iy"))
 
 
-def eps_links(points: DataFrame, eps_m: float) -> DataFrame:
+def eps_links(points: DataFrame, eps_m: float, by: list[str] | None = None) -> DataFrame:
     """Links between cells with the connectivity of all point pairs within ``eps_m``."""
-    cells = linked_cells(points, eps_m)
-    return cells.select(
-        cell_key(F.col("a_ix"), F.col("a_iy")).alias("a"), cell_key(F.col("b_ix"), F.col("b_iy")).alias("b"))
+    cells = linked_cells(points, eps_m, by)
+    return cells.select(cell_node("a_ix", "a_iy", by).alias("a"), cell_node("b_ix", "b_iy", by).alias("b"))
 
 
-def cluster_eps(points: DataFrame, eps_m: float = V.GAP_EPS_M, *, id_col: str = "id") -> DataFrame:
-    """Single-link clusters: points plus ``cluster_id`` (the smallest id in the cluster)."""
-    size = eps_m / math.sqrt(2.0) * _SHRINK
-    keyed = points.withColumn("node", cell_key(G.cell(F.col("x"), size), G.cell(F.col("y"), size)))
-    comp = connected_components(keyed.select("node").distinct(), eps_links(points, eps_m))
+def _in_cells(points: DataFrame, size: float, by: list[str] | None = None) -> DataFrame:
+    """Points with the ``node`` of their cell."""
+    keyed = points.withColumns({"_ix": G.cell(F.col("x"), size), "_iy": G.cell(F.col("y"), size)})
+    return keyed.withColumn("node", cell_node("_ix", "_iy", by)).drop("_ix", "_iy")
+
+
+def cluster_eps(points: DataFrame, eps_m: float = V.GAP_EPS_M, *, id_col: str = "id", by: list[str] | None = None) -> DataFrame:
+    """Single-link clusters: points plus ``cluster_id`` (the smallest id in the cluster), each group ``by`` for itself."""
+    keyed = _in_cells(points, eps_m / math.sqrt(2.0) * _SHRINK, by)
+    comp = connected_components(keyed.select("node").distinct(), eps_links(points, eps_m, by))
     smallest = keyed.groupBy("node").agg(F.min(id_col).alias("_first")).join(comp, "node")
     names = smallest.groupBy("component").agg(F.min("_first").alias("cluster_id"))
     per_cell = comp.join(names, "component").select("node", "cluster_id")
     return hashed_join(keyed, per_cell, ["node"], "inner").drop("node")
 
 
-def cluster_summary(clustered: DataFrame, severity: str | None = None) -> DataFrame:
-    """Size, severity sum and centroid per cluster."""
+def cluster_summary(clustered: DataFrame, severity: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """Size, severity sum and centroid per cluster (of each group ``by``)."""
     sev = F.sum(severity) if severity else F.count(F.lit(1)).cast("double")
-    return clustered.groupBy("cluster_id").agg(
+    return clustered.groupBy(*(by or []), "cluster_id").agg(
         F.count(F.lit(1)).alias("n"), sev.alias("severity"), F.avg("x").alias("x"), F.avg("y").alias("y"))
 
 
@@ -196,7 +200,7 @@ def neighbour_counts(points: DataFrame, eps_m: float, min_pts: int, *, id_col: s
     met = hashed_join(places, looking, ["ix", "iy"], "inner").filter(
         G.dist2(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")) <= F.lit(float(eps_m) ** 2))
     counted = met.groupBy(F.col("_id").alias(id_col)).agg(F.sum("k").alias("k"))
-    node = cell_key(F.col("ix"), F.col("iy")).alias("node")
+    node = cell_node("ix", "iy").alias("node")
     return sized.join(counted, id_col, "left").select(
         id_col, node, "x", "y", (dense | (F.coalesce("k", F.lit(0)) >= min_pts)).alias("is_core"))
 
@@ -235,24 +239,26 @@ def scored_gaps(
     incidents: DataFrame, cameras: DataFrame, *, radius_m: float = V.CAMERA_RADIUS_M,
     eps_m: float = V.GAP_EPS_M, id_col: str = "id", offence: str = "offence",
     camera_id: str = "camera_id", network_covered: DataFrame | None = None,
-    network_distance: Callable[[DataFrame], DataFrame] | None = None,
+    network_distance: Callable[[DataFrame], DataFrame] | None = None, by: list[str] | None = None,
 ) -> DataFrame:
     """All clusters of incidents no camera covers, with severity, distance and priority.
 
     Straight-line coverage unless ``network_covered(id, covered)`` is given (see
     ``network_coverage``); ``network_distance`` gives ``(cluster_id, net_m)`` for the clusters,
     which then replaces the straight distance where known. Without any camera there are no gaps.
+    With ``by`` a group's incidents meet the cameras of their own group only, and an incident may be in several groups.
     """
     placed = incidents.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     if network_covered is None:
-        open_ = S.within_radius(placed, cameras, radius_m, how="left_anti")
+        open_ = S.within_radius(placed, cameras, radius_m, how="left_anti", on=by)
     else:
         seen = network_covered.filter("covered").select(id_col)
         open_ = placed.join(seen, id_col, "left_anti")
     sev = F.coalesce(X.lookup(F.col(offence), V.GAP_SEVERITY), F.lit(V.GAP_SEVERITY_DEFAULT))
-    clusters = cut(cluster_summary(cluster_eps(open_.withColumn("_sev", sev), eps_m, id_col=id_col), "_sev"))
-    straight = S.nearest(clusters, cameras, point_id="cluster_id", target_id=camera_id)
-    out = clusters.join(straight.select("cluster_id", F.col("dist_m").alias("nearest_camera_m")), "cluster_id")
+    clusters = cluster_summary(cluster_eps(open_.withColumn("_sev", sev), eps_m, id_col=id_col, by=by), "_sev", by)
+    clusters = cut(clusters.withColumn("_c", F.struct(*(by or []), "cluster_id")))
+    straight = S.nearest(clusters, cameras, point_id="_c", target_id=camera_id, on=by)
+    out = clusters.join(straight.select("_c", F.col("dist_m").alias("nearest_camera_m")), "_c").drop("_c")
     if network_distance is None:
         out = out.withColumn("network_camera_m", F.lit(None).cast("double"))
     else:

@@ -35,13 +35,9 @@ def zones_intersect_zones(
 ) -> DataFrame:
     """``(a_zone_id, b_zone_id)`` of zones sharing a point.
 
-    Either two edges meet (edges compared only inside a common grid cell), or one zone lies
-    inside the other (then any one vertex of it does).
+    Either two edges meet, or one zone lies inside the other (then any one vertex of it does).
     """
-    a = S.edge_cells(_as_xy(left), 0.0, cell_size)
-    b = S.edge_cells(_as_xy(right), 0.0, cell_size)
-    met = _cells(a, "a_").join(_cells(b, "b_"), ["ix", "iy"]).filter(_segments_meet("a_", "b_"))
-    crossing = met.select("a_zone_id", "b_zone_id").distinct()
+    crossing = borders_meet(left, right, cell_size)
 
     def vertex_of(edges: DataFrame, name: str) -> DataFrame:
         one = edges.groupBy("zone_id", "part").agg(F.min(F.struct("ring", "seq", "x1", "y1")).alias("v"))
@@ -57,6 +53,14 @@ def zones_intersect_zones(
         inside(right, "b_zone_id", left_index, "a_zone_id")).distinct()
 
 
+def borders_meet(left: DataFrame, right: DataFrame, cell_size: float = S.CELL_DEG) -> DataFrame:
+    """``(a_zone_id, b_zone_id)`` of zones whose edges share a point; edges are compared only inside a common grid cell."""
+    a = S.edge_cells(_as_xy(left), 0.0, cell_size)
+    b = S.edge_cells(_as_xy(right), 0.0, cell_size)
+    met = _cells(a, "a_").join(_cells(b, "b_"), ["ix", "iy"]).filter(_segments_meet("a_", "b_"))
+    return met.select("a_zone_id", "b_zone_id").distinct()
+
+
 def _as_xy(edges: DataFrame) -> DataFrame:
     return edges.select("zone_id", "x1", "y1", "x2", "y2")
 
@@ -130,7 +134,11 @@ def weighted_population(
 ) -> DataFrame:
     """Residents inside each area: population times the share of the neighbourhood inside.
     ``population(zone_id, population)``; unknown (NULL) population and zero area are skipped."""
-    shares = zone_overlap_area(areas, neighbourhoods, strip)
+    return population_of(zone_overlap_area(areas, neighbourhoods, strip), neighbourhoods, population)
+
+
+def population_of(shares: DataFrame, neighbourhoods: DataFrame, population: DataFrame) -> DataFrame:
+    """As ``weighted_population``, from overlap areas ``(a_zone_id, b_zone_id, area)``."""
     sized = zone_areas(neighbourhoods).filter(F.col("area") > 0).select(
         F.col("zone_id").alias("b_zone_id"), F.col("area").alias("whole"))
     known = population.filter(F.col("population").isNotNull()).select(

@@ -224,7 +224,12 @@ def seasonal_summary(decomposed: DataFrame, by: list[str]) -> DataFrame:
 
 def trend_report(df: DataFrame, by: list[str], day: str = "day", *, with_p: bool = True) -> DataFrame:
     """Trend test and seasonal summary per group, with the display badge."""
-    filled = gap_filled_series(monthly_counts(df, by, day), by)
+    return trend_of(monthly_counts(df, by, day), by, with_p=with_p)
+
+
+def trend_of(monthly: DataFrame, by: list[str], *, with_p: bool = True) -> DataFrame:
+    """As ``trend_report``, from counts ``(by, month, n)``."""
+    filled = gap_filled_series(monthly, by)
     mk = mann_kendall(filled, by, with_p=with_p)
     seasonal = seasonal_summary(seasonal_decompose_additive(filled, by), by).drop("n_months")
     out = mk.join(seasonal, by, "left").withColumn("seasonal_available", F.col("peak_month").isNotNull())

@@ -280,28 +280,47 @@ def subtract_zones(points: DataFrame, zone_col: str = "zone_id") -> DataFrame:
 
 
 # ------------------------------------------------------------------ nearest
-def _fullest_cell(places: DataFrame, x0: float, y0: float, size: float) -> int:
-    """Most places in one cell of the grid."""
-    per = places.groupBy(G.cell(F.col("x") - F.lit(x0), size), G.cell(F.col("y") - F.lit(y0), size)).count()
-    return per.agg(F.max("count")).first()[0]
+_FAN = 8
+#: Levels counted in one pass, and the deepest one: beyond it doubles no longer tell places apart.
+_LEVELS_AT_ONCE, _DEEPEST = 6, 17
+
+
+def _depth(places: DataFrame, grid, leaf_targets: int) -> int:
+    """The first level whose fullest box holds at most ``leaf_targets`` places. Several levels are counted in one pass; a further
+    pass takes the places of full boxes only."""
+    level, rows = 0, places.select("*")
+    while True:
+        levels = list(range(level, min(level + _LEVELS_AT_ONCE, _DEEPEST + 1)))
+        keyed = rows.select("*", F.explode(F.array(*[
+            F.struct(F.lit(k).alias("level"), *[c.alias(n) for n, c in zip(("cx", "cy"), grid(k))]) for k in levels])).alias("b"))
+        keys = [c for c in rows.columns if c not in ("x", "y", "_t")]
+        fullest = {r.level: r.n for r in keyed.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("n"))
+                   .groupBy("b.level").agg(F.max("n").alias("n")).collect()}
+        fit = [k for k in levels if fullest[k] <= leaf_targets]
+        if fit or levels[-1] == _DEEPEST:
+            return fit[0] if fit else _DEEPEST
+        last = [c.alias(n) for n, c in zip(("_bx", "_by"), grid(levels[-1]))]
+        boxed = rows.select("*", *last)
+        full = boxed.groupBy(*keys, "_bx", "_by").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > leaf_targets).drop("_n")
+        rows = cut(hashed_join(boxed, full, [*keys, "_bx", "_by"], "left_semi").drop("_bx", "_by"))
+        level = levels[-1] + 1
 
 
 def nearest(
-    points: DataFrame, targets: DataFrame, *, point_id: str, target_id: str, leaf_m: float = 4.0,
-    leaf_targets: int = 64, fan: int = 4,
+    points: DataFrame, targets: DataFrame, *, point_id: str, target_id: str, leaf_targets: int = 64, on: list[str] | None = None,
 ) -> DataFrame:
     """``(point_id, target_id, dist_m)``: the closest target of every point, ties to the lowest id.
 
-    Branch and bound over a pyramid of target boxes: from one root box downwards every point
-    keeps the boxes that may still hold its nearest target. A box with the smallest possible
-    farthest corner bounds the answer, so far clusters are dropped as whole boxes, however
-    many targets they hold. The pyramid is as deep as it takes for its leaves to hold at most
-    ``leaf_targets`` places (or to shrink to ``leaf_m``). Points are shuffled once, by id.
+    ``on`` names columns that must be equal: a point then sees the targets of its own group only.
+
+    Branch and bound over a pyramid of target boxes. A point meets a box's children as one array and keeps, without leaving its
+    row, those no farther than the nearest of their farthest corners; the bound goes down with it, so far clusters are dropped
+    as whole boxes, however many targets they hold. The pyramid is as deep as it takes for a leaf to hold at most
+    ``leaf_targets`` places, which a point then meets as one array too. Points with a row are shuffled once, for the result.
     """
-    places = cut(
-        targets.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy("x", "y").agg(F.min(target_id).alias(target_id))
-    )
+    keys = on or []
+    located = targets.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    places = cut(located.groupBy(*keys, "x", "y").agg(F.min(target_id).alias("_t")))
     span = places.agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
     ).first()
@@ -311,54 +330,48 @@ def nearest(
             F.lit(None).cast("double").alias("dist_m"),
         )
     x0, y0 = span["x0"], span["y0"]
-    extent = max(span["x1"] - x0, span["y1"] - y0, leaf_m) * (1.0 + 1e-9)
-    sizes = [extent]
-    while sizes[-1] > leaf_m and _fullest_cell(places, x0, y0, sizes[-1]) > leaf_targets:
-        sizes.append(sizes[-1] / fan)
-    depth = len(sizes) - 1
-
-    def boxes(level: int) -> DataFrame:
-        """Target boxes of one level, listed per parent cell (at most fan² each)."""
-        size = sizes[level]
-        gx, gy = G.cell(F.col("x") - F.lit(x0), size), G.cell(F.col("y") - F.lit(y0), size)
-        box = places.groupBy(gx.alias("bx"), gy.alias("by")).agg(
-            F.min("x").alias("minx"), F.max("x").alias("maxx"),
-            F.min("y").alias("miny"), F.max("y").alias("maxy"),
-        )
-        return box.groupBy(
-            F.floor(F.col("bx") / fan).cast("bigint").alias("cx"),
-            F.floor(F.col("by") / fan).cast("bigint").alias("cy"),
-        ).agg(F.collect_list(F.struct("bx", "by", "minx", "maxx", "miny", "maxy")).alias("kids"))
-
-    frontier = points.select(
-        point_id, F.col("x").alias("px"), F.col("y").alias("py"),
-        F.lit(0).cast("bigint").alias("cx"), F.lit(0).cast("bigint").alias("cy"),
-    )
+    extent = max(span["x1"] - x0, span["y1"] - y0, 1e-9) * (1.0 + 1e-9)
+
+    def grid(level: int) -> tuple[Column, Column]:
+        size = extent / _FAN ** level
+        return G.cell(F.col("x") - F.lit(x0), size), G.cell(F.col("y") - F.lit(y0), size)
+
+    depth = _depth(places, grid, leaf_targets)
     px, py = F.col("px"), F.col("py")
+
+    def near2(b: Column) -> Column:
+        gx = F.greatest(b["minx"] - px, F.lit(0.0), px - b["maxx"])
+        gy = F.greatest(b["miny"] - py, F.lit(0.0), py - b["maxy"])
+        return gx * gx + gy * gy
+
+    def far2(b: Column) -> Column:
+        fx = F.greatest(F.abs(px - b["minx"]), F.abs(px - b["maxx"]))
+        fy = F.greatest(F.abs(py - b["miny"]), F.abs(py - b["maxy"]))
+        return fx * fx + fy * fy
+
+    def children(level: int) -> DataFrame:
+        """Boxes of one level as an array per parent box; at the last level the places of each leaf."""
+        cx, cy = grid(level)
+        px_, py_ = (F.floor(F.col(c) / _FAN).cast("bigint") for c in ("bx", "by"))
+        box = places.groupBy(*keys, cx.alias("bx"), cy.alias("by")).agg(
+            F.min("x").alias("minx"), F.max("x").alias("maxx"), F.min("y").alias("miny"), F.max("y").alias("maxy"))
+        return box.groupBy(*keys, px_.alias("cx"), py_.alias("cy")).agg(
+            F.collect_list(F.struct("bx", "by", "minx", "maxx", "miny", "maxy")).alias("kids"))
+
+    frontier = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
+        point_id, *keys, F.col("x").alias("px"), F.col("y").alias("py"), F.lit(0).cast("bigint").alias("cx"),
+        F.lit(0).cast("bigint").alias("cy"), F.lit(float("inf")).alias("bound"))
     for level in range(1, depth + 1):
-        kid = F.explode("kids").alias("k")
-        opened = hashed_join(frontier, boxes(level), ["cx", "cy"], "inner").select(
-            point_id, "px", "py", kid
-        )
-        gap_x = F.greatest(F.col("k.minx") - px, F.lit(0.0), px - F.col("k.maxx"))
-        gap_y = F.greatest(F.col("k.miny") - py, F.lit(0.0), py - F.col("k.maxy"))
-        far_x = F.greatest(F.abs(px - F.col("k.minx")), F.abs(px - F.col("k.maxx")))
-        far_y = F.greatest(F.abs(py - F.col("k.miny")), F.abs(py - F.col("k.maxy")))
-        judged = opened.withColumns({
-            "near2": gap_x * gap_x + gap_y * gap_y, "far2": far_x * far_x + far_y * far_y,
-        })
-        bound = F.min("far2").over(Window.partitionBy(point_id))
-        frontier = judged.withColumn("bound", bound).filter(
-            F.col("near2") <= F.col("bound") * F.lit(1.0 + 1e-9)
-        ).select(point_id, "px", "py", F.col("k.bx").alias("cx"), F.col("k.by").alias("cy"))
-    leaf_size = sizes[depth]
-    leaves = places.withColumns({
-        "cx": G.cell(F.col("x") - F.lit(x0), leaf_size), "cy": G.cell(F.col("y") - F.lit(y0), leaf_size),
-    })
-    pairs = hashed_join(frontier, leaves, ["cx", "cy"], "inner")
-    d = G.distance(px, py, F.col("x"), F.col("y"))
-    pairs = pairs.filter(d.isNotNull())
-    best = pairs.groupBy(point_id).agg(F.min(F.struct(d.alias("d"), F.col(target_id).alias("t"))).alias("b"))
+        opened = hashed_join(frontier, children(level), [*keys, "cx", "cy"], "inner")
+        opened = opened.withColumn("bound", F.least("bound", F.array_min(F.transform("kids", far2)) * F.lit(1.0 + 1e-9)))
+        bound = F.col("bound")
+        frontier = opened.select(point_id, *keys, "px", "py", "bound", F.explode(F.filter("kids", lambda b: near2(b) <= bound)).alias("k")).select(
+            point_id, *keys, "px", "py", F.col("k.bx").alias("cx"), F.col("k.by").alias("cy"), "bound")
+    cx, cy = grid(depth)
+    leaves = places.groupBy(*keys, cx.alias("cx"), cy.alias("cy")).agg(F.collect_list(F.struct("x", "y", "_t")).alias("kids"))
+    met = hashed_join(frontier, leaves, [*keys, "cx", "cy"], "inner")
+    closest = F.array_min(F.transform("kids", lambda p: F.struct(G.distance(px, py, p["x"], p["y"]).alias("d"), p["_t"].alias("t"))))
+    best = met.groupBy(point_id).agg(F.min(closest).alias("b"))
     return best.select(point_id, F.col("b.t").alias(target_id), F.col("b.d").alias("dist_m"))
 
 

@@ -11,13 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoevents.functions import geo as G
-from geoevents.functions import text as X
 from geoevents.operators import graph as N
 from geoevents.operators import metrics as M
 from geoevents.operators import overlap as O
-from geoevents.operators import ranking as R
 from geoevents.operators import scoring as C
-from geoevents.operators import series as T
 from geoevents.operators import spatial as S
 from geoevents.session import cut
 
@@ -45,7 +42,7 @@ class AreaReport:
 
     def __init__(self, layers: Layers, cell_size: float = S.CELL_DEG, index: DataFrame | None = None):
         """``index`` may give the layers' zone index if it is already written (with the same cell size)."""
-        self.layers = layers
+        self.layers, self.cell_size = layers, cell_size
         self.index = index if index is not None else S.zone_index(layers.edges, layers.zones, cell_size)
         inside = lambda df: S.join_points_to_zones(df, self.index, how="inner", cell_size=cell_size)
         self.incidents = inside(layers.incidents)
@@ -56,15 +53,6 @@ class AreaReport:
         self.camera_points = inside(layers.cameras)
         self.cameras = M.count_by(self.camera_points, ["zone_id"], "cameras")
 
-    def write_out(self) -> AreaReport:
-        """Join every layer to the zones once and keep the zoned rows in the checkpoint folder;
-        the many parts of a document then read them instead of joining again."""
-        for name in ("incidents", "tips", "factors", "street_people", "calls", "camera_points"):
-            if getattr(self, name) is not None:
-                setattr(self, name, cut(getattr(self, name)))
-        self.cameras = M.count_by(self.camera_points, ["zone_id"], "cameras")
-        return self
-
     def measures(self) -> DataFrame:
         """One row per zone: counts, hour profile, modal districts, report flag."""
         zone = ["zone_id"]
@@ -106,84 +94,18 @@ class AreaReport:
         return out.withColumn("layers", sum((F.col(c).cast("int") for c in flags), F.lit(0))).drop("unit", "x", "y")
 
     def gaps(self, **how) -> DataFrame:
-        """Camera gaps zone by zone: a zone's incidents meet its own cameras only. Zones are moved
-        apart along x for the clustering, so one pass serves them all."""
-        step = 1e7
-        order = self.layers.zones.select("zone_id", F.col("zone_order").cast("bigint").alias("_o"))
-        apart = lambda df: G.with_metric(df).join(F.broadcast(order), "zone_id").withColumn("x", F.col("x") + F.col("_o") * step)
-        found = N.scored_gaps(apart(self.incidents), apart(self.camera_points), **how)
-        # a zone without cameras has no gaps; its incidents find the cameras of the next zone at a distance no zone has
-        found = found.filter(F.col("nearest_camera_m") < step / 2).withColumn("_o", F.round(F.col("x") / step).cast("bigint"))
-        back = found.join(F.broadcast(order), "_o").withColumn("x", F.col("x") - F.col("_o") * step).drop("_o")
-        return N.top_gaps(back, by=["zone_id"])
+        """Camera gaps zone by zone: a zone's incidents meet its own cameras only, and a zone without cameras has no gaps."""
+        by = ["zone_id"]
+        return N.top_gaps(N.scored_gaps(G.with_metric(self.incidents), G.with_metric(self.camera_points), by=by, **how), by=by)
 
     def population(self) -> DataFrame:
-        """Neighbourhoods an area touches, their residents, and the residents inside the area."""
-        scaled = lambda e: e.withColumns({c: F.col(c) * 100000.0 for c in ("x1", "y1", "x2", "y2")})
-        areas, around = scaled(self.layers.edges), scaled(self.layers.neighbourhoods)
-        pairs = O.zones_intersect_zones(areas, around, cell_size=2500.0)
-        named = self.layers.census.select("zone_id", "name", "region", F.col("pop_2022").alias("population"))
-        context = O.zone_context(pairs, named).select(
-            F.col("a_zone_id").alias("zone_id"), F.col("members").alias("neighbourhoods"),
-            F.col("population").alias("population_around"), F.col("region").alias("subprefecture"))
-        inside = O.weighted_population(areas, around, named.select("zone_id", "population"))
-        return context.join(inside.withColumnRenamed("population", "population_inside"), "zone_id", "left")
+        return area_population(self.layers)
 
     def documents(self) -> DataFrame:
-        """One nested document per zone: identification, measures, scores, streets with their
-        layers, camera gaps, factors, narratives, series with trend, calls, cross validation,
-        population, report sections and map points. Lists are cut to their display length before
-        they are gathered, so a busy zone stays one small row."""
-        zone = ["zone_id"]
-        self.write_out()
-
-        def nest(df: DataFrame, name: str, columns: list[str], order: list) -> DataFrame:
-            keyed = F.sort_array(F.collect_list(F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*columns).alias("v"))))
-            return df.groupBy(*zone).agg(F.transform(keyed, lambda s: s["v"]).alias(name))
-
-        monthly = T.last_k_periods(T.monthly_counts(self.incidents, zone), zone).withColumn("month", F.date_format("month", "yyyy-MM"))
-        points = R.stratified_sample(self.incidents, [*zone, "offence"], "id")
-        relatos = R.narratives_first(self.tips, "text", [F.col("id")], 400, zone).withColumns({
-            "modus": X.extract_modus(F.col("text")), "text": F.left("text", F.lit(300))})
-        parts = [
-            nest(self.street_layers(), "top_streets", ["street", "total", "lat", "lon", "peak_hour", "has_factor", "has_tip", "layers"], [F.col("street_rank")]),
-            nest(self.gaps(), "camera_gaps", ["n", "nearest_camera_m", "priority", "recommendation", "lat", "lon"], [-F.col("priority"), F.col("cluster_id")]),
-            nest(R.head_points(self.factors, 1000, [F.col("id")], zone), "factor_points", ["id", "lat", "lon", "kind", "agency"], [F.col("id")]),
-            nest(R.head_points(self.camera_points, 1000, [F.col("camera_id")], zone), "camera_points", ["camera_id", "lat", "lon"], [F.col("camera_id")]),
-            T.trend_report(self.incidents, zone, with_p=False).select(
-                "zone_id", F.struct("direction", "significant", "trend_delta_pct", "peak_month", "badge").alias("trend")),
-            nest(M.hour_histogram(self.incidents, zone), "hours", ["hour", "n"], [F.col("hour")]),
-            nest(M.weekday_histogram(self.incidents, zone), "weekdays", ["weekday", "n"], [F.col("weekday")]),
-            nest(M.count_by(self.incidents, [*zone, "offence"]), "by_offence", ["offence", "n"], [-F.col("n"), F.col("offence")]),
-            nest(monthly, "monthly", ["month", "n"], [F.col("month")]),
-            nest(M.factors_by_agency(self.factors, zone), "factors_by_agency", ["agency", "total", "tipos"], [-F.col("total"), F.col("agency")]),
-            nest(points, "incident_points", ["id", "lat", "lon", "offence", "hour"], [F.col("id")]),
-            nest(relatos, "tip_points", ["id", "lat", "lon", "kind", "text", "modus"], [F.col("id")]),
-            nest(M.modus_counts(self.tips, zone), "modus", ["modus", "n"], [-F.col("n"), F.col("modus")]),
-            M.modal_district(self.incidents, zone, ["aisp", "risp"]),
-        ]
-        if self.calls is not None:
-            by_type = nest(M.calls_by_type(self.calls, zone), "by_type", ["kind", "agency", "total", "served", "overdue"],
-                           [-F.col("total"), F.col("kind"), F.col("agency")])
-            calls = M.calls_summary(self.calls, zone).join(by_type, zone, "left")
-            parts.append(calls.select("zone_id", F.struct("total", "with_coords", "pct_served", "pct_overdue", "by_type").alias("calls")))
-            checked = M.cross_validate_sources(self.factors, self.calls, zone)
-            parts.append(nest(checked, "cross_validation", ["agency", "agency_norm", "field_factors", "calls", "served", "overdue", "validated"],
-                              [-F.col("field_factors"), F.col("agency")]))
-        if self.street_people is not None:
-            parts.append(nest(R.head_points(self.street_people, 1000, [F.col("id")], zone), "street_people_points", ["id", "lat", "lon"], [F.col("id")]))
-        if self.layers.neighbourhoods is not None and self.layers.census is not None:
-            parts.append(self.population())
-        if self.layers.report_texts is not None:
-            parts.append(self.layers.report_texts.select("zone_id", F.col("sections").alias("report_sections")))
-        out = self.scores()
-        for p in parts:
-            out = out.join(p, zone, "left")
-        layers = lambda n: F.coalesce(F.size(F.filter("top_streets", lambda s: s["layers"] >= n)), F.lit(0))
-        out = out.withColumns({"base": X.base_label(F.col("name")), "n_bingo": layers(2), "n_triple": layers(3)})
-        if "population_inside" in out.columns:
-            out = out.withColumn("crimes_per_1000", F.round(F.try_divide(F.col("crimes") * 1000.0, F.nullif("population_inside", F.lit(0.0))), 1))
-        return out
+        """One nested document per zone (see ``area_document``)."""
+        from geoevents.plans.area_document import documents
+
+        return documents(self.layers, self.index, self.cell_size)
 
 
 def zone_near(streets: DataFrame, incidents: DataFrame, rows: DataFrame, radius_m: float = 100.0) -> DataFrame:
@@ -193,3 +115,18 @@ def zone_near(streets: DataFrame, incidents: DataFrame, rows: DataFrame, radius_
     hits = S.within_radius(own, rows, radius_m, on=["zone_id"]).select("unit").distinct()
     return streets.select("unit").join(hits.withColumn("is_near", F.lit(True)), "unit", "left").withColumn(
         "is_near", F.coalesce("is_near", F.lit(False)))
+
+
+def area_population(layers: Layers) -> DataFrame:
+    """Neighbourhoods an area touches, their residents, and the residents inside the area."""
+    scaled = lambda e: e.withColumns({c: F.col(c) * 100000.0 for c in ("x1", "y1", "x2", "y2")})
+    areas, around = scaled(layers.edges), scaled(layers.neighbourhoods)
+    # zones that meet share border points or, one inside the other, some area
+    shares = cut(O.zone_overlap_area(areas, around, strip=2000.0))
+    pairs = O.borders_meet(areas, around, cell_size=2500.0).union(shares.select("a_zone_id", "b_zone_id")).distinct()
+    named = layers.census.select("zone_id", "name", "region", F.col("pop_2022").alias("population"))
+    context = O.zone_context(pairs, named).select(
+        F.col("a_zone_id").alias("zone_id"), F.col("members").alias("neighbourhoods"),
+        F.col("population").alias("population_around"), F.col("region").alias("subprefecture"))
+    inside = O.population_of(shares, around, named.select("zone_id", "population"))
+    return context.join(inside.withColumnRenamed("population", "population_inside"), "zone_id", "left")

@@ -108,7 +108,7 @@ def test_nearest_brute_force_with_crowd(spark):
     points = rng.uniform(-3000, 3000, (60, 2))
     t = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(targets)], "tid int, x double, y double")
     p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "id int, x double, y double")
-    got = {r.id: r.dist_m for r in spatial.nearest(p, t, point_id="id", target_id="tid", leaf_m=0.05, leaf_targets=4).collect()}
+    got = {r.id: r.dist_m for r in spatial.nearest(p, t, point_id="id", target_id="tid", leaf_targets=4).collect()}
     want = np.sqrt(((points[:, None, :] - targets[None, :, :]) ** 2).sum(-1)).min(1)
     assert len(got) == 60 and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in range(60))
 
