@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoevents.catalog import ctes
-from geoevents.catalog.common import index_of, metric, rounded
+from geoevents.catalog.common import index_of, metric, rounded, zoned
 from geoevents.catalog.registry import query
 from geoevents.functions import fixed_values as V
 from geoevents.operators import graph as N
+from geoevents.operators import lines as LN
 from geoevents.operators import severity as E
 from geoevents.sources import bindings as B
 from geoevents.streaming import store as ST
@@ -172,11 +173,57 @@ def _(spark, d):
     return rounded(N.build_street_edges(seg), "w", digits=4)
 
 
-@query("simplify_lines", None)
+# Recursion over spans: the farthest inner vertex beyond the tolerance parts a span.
+_SIMPLIFY = """SELECT line_id, seq, x, y FROM pts WHERE (line_id, i) IN (
+ WITH RECURSIVE spans(line_id, lo, hi) AS (SELECT line_id, 1::BIGINT, max(i) FROM pts GROUP BY 1
+  UNION ALL SELECT line_id, unnest([lo, m]), unnest([m, hi]) FROM (
+   SELECT line_id, lo, hi, first(i ORDER BY off DESC, i) AS m, max(off) AS most FROM (
+    SELECT s.line_id, s.lo, s.hi, p.i, sqrt(pow(p.x-a.x-t*(b.x-a.x),2)+pow(p.y-a.y-t*(b.y-a.y),2)) AS off FROM spans s
+     JOIN pts a ON a.line_id = s.line_id AND a.i = s.lo JOIN pts b ON b.line_id = s.line_id AND b.i = s.hi
+     JOIN pts p ON p.line_id = s.line_id AND p.i > s.lo AND p.i < s.hi,
+     LATERAL (SELECT least(1e0, greatest(0e0, ((p.x-a.x)*(b.x-a.x)+(p.y-a.y)*(b.y-a.y))/(pow(b.x-a.x,2)+pow(b.y-a.y,2)))) AS t))
+   GROUP BY 1,2,3) WHERE most > 0.3)
+ SELECT line_id, lo FROM spans UNION SELECT line_id, hi FROM spans)"""
+ctes.TABLES["pts"] = ("", "SELECT o_custkey AS line_id, o_orderkey AS seq, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_orderkey::DOUBLE AS x, sin(o_orderkey/50e0) AS y FROM orders")
+
+
+@query("simplify_lines", _SIMPLIFY, "pts")
 def _(spark, d):
     o = B.table(spark, d, "orders")
     line = o.select((F.col("o_custkey")).alias("line_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").cast("double").alias("x"), F.sin(F.col("o_orderkey") / 50.0).alias("y"))
-    return N.simplify_lines(line, 0.3)
+    return LN.simplify_lines(line, 0.3)
+
+
+# Streets drawn through their parts in order: cut at every zone border, pieces tested by their middle, islands of pieces in a row.
+ctes.TABLES["drawn"] = ("", f"""SELECT a.id AS segment_id, 'avenida sao ' || (a.id % 60) AS street_norm, a.lon AS x1, a.lat AS y1, b.lon AS x2, b.lat AS y2
+ FROM (SELECT p_partkey AS id, {ctes.place('p_partkey', 6271, 15485863)} FROM part) a JOIN (SELECT p_partkey AS id, {ctes.place('p_partkey', 6271, 15485863)} FROM part) b ON b.id = a.id + 60""")
+ctes.TABLES["cuts"] = ("drawn edges", """SELECT segment_id, 0e0 AS t FROM drawn UNION SELECT segment_id, 1e0 FROM drawn UNION SELECT segment_id, t FROM (
+ SELECT s.segment_id, ((e.x1-s.x1)*(e.y2-e.y1)-(e.y1-s.y1)*(e.x2-e.x1))/((s.x2-s.x1)*(e.y2-e.y1)-(s.y2-s.y1)*(e.x2-e.x1)) AS t FROM drawn s JOIN edges e
+ ON (((s.x2-s.x1)*(e.y1-s.y1)-(s.y2-s.y1)*(e.x1-s.x1)) > 0) <> (((s.x2-s.x1)*(e.y2-s.y1)-(s.y2-s.y1)*(e.x2-s.x1)) > 0)) WHERE t > 0 AND t < 1""")
+ctes.TABLES["pieces"] = ("drawn cuts", """SELECT row_number() OVER () AS id, * FROM (SELECT s.segment_id, street_norm, t AS a, b, CASE WHEN t = 0 THEN x1 ELSE x1+t*(x2-x1) END AS x1, CASE WHEN t = 0 THEN y1 ELSE y1+t*(y2-y1) END AS y1,
+ CASE WHEN b = 1 THEN x2 ELSE x1+b*(x2-x1) END AS x2, CASE WHEN b = 1 THEN y2 ELSE y1+b*(y2-y1) END AS y2, ((CASE WHEN t = 0 THEN x1 ELSE x1+t*(x2-x1) END)+(CASE WHEN b = 1 THEN x2 ELSE x1+b*(x2-x1) END))/2 AS lon,
+ ((CASE WHEN t = 0 THEN y1 ELSE y1+t*(y2-y1) END)+(CASE WHEN b = 1 THEN y2 ELSE y1+b*(y2-y1) END))/2 AS lat
+ FROM (SELECT *, lead(t) OVER (PARTITION BY segment_id ORDER BY t) AS b FROM cuts) JOIN drawn s USING (segment_id) WHERE b IS NOT NULL)""")
+ctes.TABLES["piece_z"] = ("pieces edges", ctes.pip("pieces"))
+ctes.TABLES["islands"] = ("pieces piece_z czone", """SELECT *, sum(new) OVER (PARTITION BY zone_id, street_norm ORDER BY segment_id, a) AS island FROM (
+ SELECT *, CASE WHEN lag(x2) OVER w = x1 AND lag(y2) OVER w = y1 THEN 0 ELSE 1 END AS new FROM pieces JOIN piece_z USING (id) SEMI JOIN czone ON czone.zone_id = piece_z.zone_id AND czone.street = pieces.street_norm WINDOW w AS (PARTITION BY zone_id, street_norm ORDER BY segment_id, a))""")
+_LINES = """SELECT zone_id, street_norm, CAST(dense_rank() OVER (PARTITION BY zone_id, street_norm ORDER BY least(s, e), greatest(s, e)) AS INT) AS line,
+ CAST(CASE WHEN s < e THEN k ELSE n - k END AS BIGINT) AS seq, x, y FROM (
+ SELECT *, max(k) OVER i AS n, first({'x': x, 'y': y}) OVER (PARTITION BY zone_id, street_norm, island ORDER BY k) AS s, last({'x': x, 'y': y}) OVER i AS e FROM (
+  SELECT zone_id, street_norm, island, 0 AS k, first(x1 ORDER BY segment_id, a) AS x, first(y1 ORDER BY segment_id, a) AS y FROM islands GROUP BY 1,2,3
+  UNION ALL SELECT zone_id, street_norm, island, row_number() OVER (PARTITION BY zone_id, street_norm, island ORDER BY segment_id, a), x2, y2 FROM islands)
+ WINDOW i AS (PARTITION BY zone_id, street_norm, island ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+@query("street_lines", _LINES, "islands")
+def _(spark, d):
+    p = B.table(spark, d, "part").select(F.col("p_partkey").alias("id"), *[c.alias(n) for n, c in B.place("p_partkey", 6271, 15485863).items()])
+    ends = p.select((F.col("id") - 60).alias("id"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
+    name = F.concat(F.lit("avenida sao "), (F.col("id") % 60).cast("string"))
+    drawn = p.join(ends, "id").select(F.col("id").alias("segment_id"), name.alias("street_norm"), F.col("lon").alias("x1"), F.col("lat").alias("y1"), "x2", "y2")
+    edges = B.zone_edges(spark, d)
+    streets = zoned(spark, d, B.calls(spark, d)).select("zone_id", "street").distinct()
+    return LN.street_lines(streets, drawn, edges, index_of(spark, d))
 
 
 # ------------------------------------------------------------------ incremental store (batch forms)

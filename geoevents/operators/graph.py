@@ -418,39 +418,6 @@ def component_diagnostics(components: DataFrame) -> DataFrame:
         F.sum("n_edges").alias("n_edges"))
 
 
-def simplify_lines(vertices: DataFrame, tolerance: float, *, line_id: str = "line_id", digits: int | None = None) -> DataFrame:
-    """Douglas–Peucker per line: ``(line_id, seq, x, y)`` rows that stay. Lines are grouped and
-    shuffled by Spark; one line is one small numpy job, so a line must fit into a task."""
-    import numpy as np
-    import pandas as pd
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        xy = pdf[["x", "y"]].to_numpy()
-        stay = np.zeros(len(xy), dtype=bool)
-        stay[[0, -1]] = True
-        spans = [(0, len(xy) - 1)]
-        while spans:
-            i, j = spans.pop()
-            if j - i < 2:
-                continue
-            chord = xy[j] - xy[i]
-            rel = xy[i + 1:j] - xy[i]
-            length2 = float(chord @ chord)
-            t = np.clip(rel @ chord / length2, 0.0, 1.0) if length2 > 0 else np.zeros(len(rel))
-            off = np.hypot(*(rel - np.outer(t, chord)).T)
-            k = int(off.argmax())
-            if off[k] > tolerance:
-                m = i + 1 + k
-                stay[m] = True
-                spans += [(i, m), (m, j)]
-        out = pdf[stay]
-        return out.assign(x=out.x.round(digits), y=out.y.round(digits)) if digits is not None else out
-
-    cols = vertices.select(line_id, F.col("seq").cast("int").alias("seq"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return cols.groupBy(line_id).applyInPandas(keep, cols.schema)
-
-
 def hull_zone(points: DataFrame, by: str) -> DataFrame:
     """Convex hull vertices ``(zone_id, part, ring, seq, x, y)`` per area.
 

@@ -155,8 +155,7 @@ def match_streets_to_lines(streets: DataFrame, segments: DataFrame, *, street: s
     """Streets with their gazetteer lines: normal form first, else the name with a repeated
     first word removed. Adds ``street_norm`` (the matched name) and ``n_lines``.
 
-    ``segments(street_norm, line_id, …)`` may be restricted to the area's neighbourhoods and
-    clipped (see ``clip_segments``) before.
+    ``segments(street_norm, line_id, …)``; ``lines.street_lines`` gives the lines themselves, cut at the zones.
     """
     names = segments.groupBy("street_norm").agg(F.count_distinct("line_id").alias("n_lines"))
     keyed = streets.withColumn("_k1", X.norm_street(F.col(street))).withColumn("_k2", X.dedupe_leading_prefix(F.col("_k1")))
@@ -167,14 +166,6 @@ def match_streets_to_lines(streets: DataFrame, segments: DataFrame, *, street: s
     return out.withColumns({"street_norm": matched, "n_lines": F.coalesce("_n1", "_n2", F.lit(0))}).drop("_k1", "_k2", "_n1", "_n2")
 
 
-def clip_segments(segments: DataFrame, index: DataFrame, cell_size: float = 0.005) -> DataFrame:
-    """Segments whose midpoint lies in a zone, with that zone (degrees)."""
-    from geoevents.operators.spatial import join_points_to_zones
-
-    mid = segments.withColumns({"lon": (F.col("x1") + F.col("x2")) / 2, "lat": (F.col("y1") + F.col("y2")) / 2})
-    return join_points_to_zones(mid, index, how="inner", cell_size=cell_size).drop("lon", "lat")
-
-
 def flag_in_critical_street(tips: DataFrame, critical: DataFrame, street: str = "street") -> DataFrame:
     """Is the tip's street among the critical ones?"""
     from geoevents.session import hashed_join
