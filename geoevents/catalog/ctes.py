@@ -58,6 +58,17 @@ def seg_dist2(px: str, py: str, e: str = "e") -> str:
     return f"(pow({px}-({e}.x1+{t}*{dx}),2)+pow({py}-({e}.y1+{t}*{dy}),2))"
 
 
+#: Tags of a column ``text`` by the patterns that stand for them, in the fixed order; a text without a tag's pattern has NULL there.
+MODUS_TAGS = """[
+ CASE WHEN regexp_matches(lower(text),'(^|[^\\p{L}\\p{N}_])(a p[eé]($|[^\\p{L}\\p{N}_])|caminhando($|[^\\p{L}\\p{N}_])|transeunte)') THEN 'a_pe' END,
+ CASE WHEN regexp_matches(lower(text),'(^|[^\\p{L}\\p{N}_])(moto($|[^\\p{L}\\p{N}_])|motocicleta|duas rodas)') THEN 'motocicleta' END,
+ CASE WHEN regexp_matches(lower(text),'(^|[^\\p{L}\\p{N}_])(bicicleta|ciclista)') THEN 'bicicleta' END,
+ CASE WHEN regexp_matches(lower(text),'(^|[^\\p{L}\\p{N}_])(arma de fogo|pistola|revolver|armados?($|[^\\p{L}\\p{N}_]))') THEN 'armado' END,
+ CASE WHEN regexp_matches(lower(text),'(^|[^\\p{L}\\p{N}_])(faca($|[^\\p{L}\\p{N}_])|canivete|arma branca)') THEN 'arma_branca' END,
+ CASE WHEN regexp_matches(lower(text),'(^|[^\\p{L}\\p{N}_])(grupo($|[^\\p{L}\\p{N}_])|dois indiv|tr[ée]s indiv|quatro indiv|bando)') THEN 'em_grupo' END,
+ CASE WHEN regexp_matches(lower(text),'(^|[^\\p{L}\\p{N}_])(menores?|adolescentes?)($|[^\\p{L}\\p{N}_])') THEN 'menores' END,
+ CASE WHEN regexp_matches(lower(text),'(^|[^\\p{L}\\p{N}_])(ve[ií]culos?|carros?)($|[^\\p{L}\\p{N}_])') THEN 'veiculo' END]"""
+
 _L = [("ox", "oy"), ("ox+0.2e0", "oy"), ("ox+0.2e0", "oy+0.04e0"), ("ox+0.1e0", "oy+0.04e0"), ("ox+0.1e0", "oy+0.09e0"), ("ox", "oy+0.09e0")]
 _R = [("ox+0.05e0", "oy+0.03e0"), ("ox+0.23e0", "oy+0.03e0"), ("ox+0.23e0", "oy+0.12e0"), ("ox+0.05e0", "oy+0.12e0")]
 

@@ -350,15 +350,7 @@ def _(spark, d):
     return M.district_violence(s)
 
 
-@query("modus_counts", """SELECT source, modus, COUNT(*) AS n FROM (SELECT source, unnest(list_filter([
- CASE WHEN regexp_matches(lower(text),'(^|[^\\p{L}\\p{N}_])(a p[eé]($|[^\\p{L}\\p{N}_])|caminhando($|[^\\p{L}\\p{N}_])|transeunte)') THEN 'a_pe' END,
- CASE WHEN regexp_matches(lower(text),'(^|[^\\p{L}\\p{N}_])(moto($|[^\\p{L}\\p{N}_])|motocicleta|duas rodas)') THEN 'motocicleta' END,
- CASE WHEN regexp_matches(lower(text),'(^|[^\\p{L}\\p{N}_])(bicicleta|ciclista)') THEN 'bicicleta' END,
- CASE WHEN regexp_matches(lower(text),'(^|[^\\p{L}\\p{N}_])(arma de fogo|pistola|revolver|armados?($|[^\\p{L}\\p{N}_]))') THEN 'armado' END,
- CASE WHEN regexp_matches(lower(text),'(^|[^\\p{L}\\p{N}_])(faca($|[^\\p{L}\\p{N}_])|canivete|arma branca)') THEN 'arma_branca' END,
- CASE WHEN regexp_matches(lower(text),'(^|[^\\p{L}\\p{N}_])(grupo($|[^\\p{L}\\p{N}_])|dois indiv|tr[ée]s indiv|quatro indiv|bando)') THEN 'em_grupo' END,
- CASE WHEN regexp_matches(lower(text),'(^|[^\\p{L}\\p{N}_])(menores?|adolescentes?)($|[^\\p{L}\\p{N}_])') THEN 'menores' END,
- CASE WHEN regexp_matches(lower(text),'(^|[^\\p{L}\\p{N}_])(ve[ií]culos?|carros?)($|[^\\p{L}\\p{N}_])') THEN 'veiculo' END], lambda x: x IS NOT NULL)) AS modus
+@query("modus_counts", f"""SELECT source, modus, COUNT(*) AS n FROM (SELECT source, unnest(list_filter({ctes.MODUS_TAGS}, lambda x: x IS NOT NULL)) AS modus
  FROM (SELECT source, text || ' ' || ['caminhando na rua','de moto preta','sem nada','armado com pistola','dois indivíduos e um carro','menor','ciclista','faca'][CAST(doc_id % 8 AS INT)+1] AS text FROM documents)) GROUP BY 1,2""")
 def _(spark, d):
     doc = B.table(spark, d, "documents")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoevents.catalog.common import joined_text, rounded
+from geoevents.catalog import ctes
+from geoevents.catalog.common import joined_text
 from geoevents.catalog.registry import query
+from geoevents.functions import fixed_values as V
 from geoevents.functions import temporal as D
 from geoevents.functions import text as X
 from geoevents.operators import articles as A
@@ -20,12 +22,15 @@ def _(spark, d):
     return B.table(spark, d, "documents").select("doc_id", F.md5(X.norm_street(F.col("text")).cast("binary")).alias("norm"))
 
 
-@query("norm_street_abbrev", """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'AVENIDA SAO JOAO' WHEN 1 THEN 'RUA GENERAL ' || c_nationkey WHEN 2 THEN 'PRACA PRESIDENTE VARGAS' ELSE 'TRAVESSA ALMIRANTE' END AS norm FROM customer""")
+def _abbreviated(text: str) -> str:
+    for pattern, word in V.STREET_ABBREVIATIONS:
+        text = f"regexp_replace({text}, '{pattern}', '{word}', 'g')"
+    return text
+
+
+@query("norm_street_abbrev", f"""SELECT doc_id, md5(trim(regexp_replace({_abbreviated("trim(upper(replace(strip_accents(text), 'ß', 'ss')), ' ' || chr(9) || chr(10) || chr(13))")}, '\\s+', ' ', 'g'), ' ')) AS norm FROM documents""")
 def _(spark, d):
-    k = F.col("c_custkey") % 4
-    raw = F.when(k == 0, " av. São  João ").when(k == 1, F.concat(F.lit("R. Gen "), F.col("c_nationkey").cast("string"))).when(
-        k == 2, "PCA PRES. VARGAS").otherwise("trv alm.")
-    return B.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), X.norm_street_abbrev(raw).alias("norm"))
+    return B.table(spark, d, "documents").select("doc_id", F.md5(X.norm_street_abbrev(F.col("text")).cast("binary")).alias("norm"))
 
 
 @query("dedupe_prefix", "SELECT id, street FROM (SELECT id, CASE WHEN street = '' THEN '' ELSE 'avenida são ' || split_part(street,' ',3) END AS street FROM inc)", "inc")
@@ -89,11 +94,9 @@ def _(spark, d):
     return B.incidents(spark, d).filter("hour is not null").select("hour", D.window_label(h - 1, h + 2).alias("label")).distinct()
 
 
-@query("extract_modus", "SELECT doc_id, ['a_pe','motocicleta|veiculo','armado|em_grupo',''][CAST(doc_id % 4 AS INT)+1] AS tags FROM documents")
+@query("extract_modus", f"SELECT doc_id, array_to_string(list_filter({ctes.MODUS_TAGS}, lambda x: x IS NOT NULL), '|') AS tags FROM documents")
 def _(spark, d):
-    k = F.col("doc_id") % 4
-    text = F.when(k == 0, "vinha A PÉ pela rua").when(k == 1, "uma moto e dois carros").when(k == 2, "Bando armado").otherwise("motoqueiro armadura")
-    return B.table(spark, d, "documents").select("doc_id", joined_text(X.extract_modus(text)).alias("tags"))
+    return B.table(spark, d, "documents").select("doc_id", joined_text(X.extract_modus(F.col("text"))).alias("tags"))
 
 
 @query("offence_to_type", "SELECT id, CASE offence WHEN 'Roubo a transeunte' THEN 'roubo_transeunte' WHEN 'Roubo em coletivo' THEN 'roubo_transporte_coletivo' WHEN 'Furto' THEN 'furto' WHEN 'Roubo de veículo' THEN 'roubo_veiculo' ELSE 'outro' END AS type FROM inc", "inc")
@@ -106,15 +109,20 @@ def _(spark, d):
     return B.tips(spark, d).select("id", X.tip_to_type(F.lit(None).cast("string"), F.col("kind")).alias("type"))
 
 
-@query("descriptor_brackets", """SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'desconhecido' WHEN c_custkey % 90 < 12 THEN 'crianca' WHEN c_custkey % 90 < 18 THEN 'adolescente' WHEN c_custkey % 90 < 30 THEN 'jovem' WHEN c_custkey % 90 < 60 THEN 'adulto' ELSE 'idoso' END AS age,
- ['alta','media','baixa','desconhecida'][CAST(c_custkey % 4 AS INT)+1] AS height, ['magro','forte','obeso','desconhecido'][CAST(c_custkey % 4 AS INT)+1] AS build FROM customer""")
+@query("descriptor_brackets", """SELECT doc_id, CASE WHEN n_chars < 12 THEN 'crianca' WHEN n_chars < 18 THEN 'adolescente' WHEN n_chars < 30 THEN 'jovem' WHEN n_chars < 60 THEN 'adulto' ELSE 'idoso' END AS age,
+ CASE WHEN contains(t,'baix') THEN 'baixa' WHEN contains(t,'alt') THEN 'alta' WHEN contains(t,'med') OR contains(t,'média') THEN 'media' ELSE 'desconhecida' END AS height,
+ CASE WHEN contains(t,'magr') THEN 'magro' WHEN contains(t,'fort') OR contains(t,'atlet') THEN 'forte' WHEN contains(t,'obes') OR contains(t,'gord') THEN 'obeso' WHEN contains(t,'medi') OR contains(t,'média') THEN 'medio' ELSE 'desconhecido' END AS build
+ FROM (SELECT *, lower(text) AS t FROM documents)""")
+def _(spark, d):
+    text = F.col("text")
+    return B.table(spark, d, "documents").select(
+        "doc_id", X.age_bracket(F.col("n_chars").cast("string")).alias("age"), X.height_bracket(text).alias("height"), X.build_bracket(text).alias("build"))
+
+
+@query("skin_category", """SELECT doc_id, CASE WHEN contains(t,'branc') THEN 'branca' WHEN contains(t,'pard') OR contains(t,'morena') THEN 'parda' WHEN contains(t,'pret') OR contains(t,'negr') THEN 'preta'
+ WHEN contains(t,'amarel') THEN 'amarela' WHEN contains(t,'indig') THEN 'indigena' ELSE 'desconhecida' END AS category FROM (SELECT *, lower(text) AS t FROM documents)""")
 def _(spark, d):
-    k = F.col("c_custkey")
-    pick = lambda *names: F.element_at(F.array(*[F.lit(n) for n in names]), (k % 4 + 1).cast("int"))
-    age = F.when(k % 7 != 0, F.concat((k % 90).cast("string"), F.lit(".0")))
-    return B.table(spark, d, "customer").select(
-        k.alias("id"), X.age_bracket(age).alias("age"), X.height_bracket(pick("Alto", "Média", "baixo", "?")).alias("height"),
-        X.build_bracket(pick("Magro", "Atleta", "gordo", "?")).alias("build"))
+    return B.table(spark, d, "documents").select("doc_id", X.skin_category(F.col("text")).alias("category"))
 
 
 @query("parse_json_array", "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN event_type || '|b' WHEN 1 THEN event_type ELSE '' END AS items FROM events")
@@ -124,12 +132,11 @@ def _(spark, d):
     return B.table(spark, d, "events").select(F.col("event_id").alias("id"), joined_text(X.parse_json_array(raw)).alias("items"))
 
 
-@query("profile_text", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'Homem, ' ELSE '' END || (c_custkey % 60) || ' anos' AS profile FROM customer")
+@query("profile_text", "SELECT conv_id, turn, role || ', ' || turn || ' anos' AS profile FROM conversations")
 def _(spark, d):
-    k = F.col("c_custkey")
-    sex = F.when(k % 2 == 0, '["M", "F"]').otherwise("")
-    age = F.concat(F.lit('["'), (k % 60).cast("string"), F.lit('.0"]'))
-    return B.table(spark, d, "customer").select(k.alias("id"), X.profile_text(sex, age, F.lit("[]")).alias("profile"))
+    listed = lambda c: F.concat(F.lit('["'), c, F.lit('"]'))
+    profile = X.profile_text(listed(F.col("role")), listed(F.col("turn").cast("double").cast("string")), F.lit("[]"))
+    return B.table(spark, d, "conversations").select("conv_id", "turn", profile.alias("profile"))
 
 
 @query("event_id", "SELECT event_id AS id, left(sha1('ocorrencia_oficial:' || event_id),16) AS eid, left(sha1('event_type=' || event_type || '|user_id=' || user_id),16) AS row_id FROM events")
@@ -144,11 +151,11 @@ def _(spark, d):
     return B.table(spark, d, "pages").select("page_id", clean.alias("url"), X.article_id(clean).alias("article_id"))
 
 
-@query("parse_count_suffix", "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN (c_custkey % 50)*1000 + 500 WHEN 1 THEN 2000000 WHEN 2 THEN 1234 ELSE 0 END::BIGINT AS n FROM customer")
+@query("parse_count_suffix", "SELECT o_orderkey AS id, CASE WHEN o_totalprice >= 200000 THEN floor(o_totalprice / 1000) * 1000 ELSE floor(o_totalprice) END::BIGINT AS n FROM orders")
 def _(spark, d):
-    k = F.col("c_custkey")
-    text = F.when(k % 4 == 0, F.concat((k % 50).cast("string"), F.lit(".5K"))).when(k % 4 == 1, "2M").when(k % 4 == 2, "1,234").otherwise("many")
-    return B.table(spark, d, "customer").select(k.alias("id"), X.parse_count_suffix(text).alias("n"))
+    price = F.col("o_totalprice")
+    text = F.when(price >= 200_000, F.concat(F.floor(price / 1000).cast("string"), F.lit("K"))).otherwise(F.format_number(F.floor(price), 0))
+    return B.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), X.parse_count_suffix(text).alias("n"))
 
 
 @query("parse_dates_from_text", "SELECT id, strftime(day,'%Y-%m-%d') || ' 15:35' AS published, 'EXTRA' AS author FROM cal", "cal")
@@ -167,10 +174,10 @@ def _(spark, d):
     return B.table(spark, d, "pages").select("page_id", F.md5(X.strip_tags(F.col("html")).cast("binary")).alias("h"))
 
 
-@query("short_name", "SELECT n_nationkey, 'São X ' || n_nationkey AS short, upper(left(n_name,1)) || lower(substr(n_name,2)) AS cap FROM nation")
+@query("short_name", """SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(split_part(text, ' - ', 1), '^Estações? ', ''), '^Metrô ', ''), '^Av ', 'Av. '), ' ')) AS short,
+ upper(left(source,1)) || lower(substr(source,2)) AS cap FROM documents""")
 def _(spark, d):
-    name = F.concat(F.lit("Estações São X "), F.col("n_nationkey").cast("string"), F.lit(" - Rua Y"))
-    return B.table(spark, d, "nation").select("n_nationkey", X.short_name(name).alias("short"), X.capitalise(F.col("n_name")).alias("cap"))
+    return B.table(spark, d, "documents").select("doc_id", F.md5(X.short_name(F.col("text")).cast("binary")).alias("short"), X.capitalise(F.col("source")).alias("cap"))
 
 
 @query("base_label", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'Litorânea' ELSE 'Central' END AS base FROM nation")
@@ -189,8 +196,6 @@ def _(spark, d):
 @query("factor_agency", "SELECT kind, CASE kind WHEN 'ECONOMY' THEN 'SMAS' ELSE 'Outro' END AS agency FROM (SELECT DISTINCT p_type AS kind FROM part)")
 def _(spark, d):
     k = B.table(spark, d, "part").select(F.col("p_type").alias("kind")).distinct()
-    from geoevents.functions import fixed_values as V
-
     name = F.when(F.col("kind") == "ECONOMY", "Cena de uso de drogas").otherwise(F.col("kind"))
     return k.select("kind", X.lookup(name, V.FACTOR_AGENCY, F.lit("Outro")).alias("agency"))
 
@@ -222,7 +227,18 @@ def _(spark, d):
     return SC.article_source_text(p).select("page_id", "raw_text")
 
 
-@query("chunk_text", None)
+# Paragraph by paragraph: a chunk is open or not, and a paragraph opens the next one or joins it.
+_CHUNKS = """WITH RECURSIVE paras AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY pos) AS i, trim(p) AS p FROM
+  (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE trim(p) <> ''),
+ walk(doc, i, p, chunk, size, going) AS (SELECT DISTINCT doc, 0::BIGINT, '', -1, 0::BIGINT, FALSE FROM paras
+  UNION ALL SELECT doc, i, p, chunk, size, NOT (size >= 2000 AND NOT heading) FROM (SELECT n.doc, n.i, n.p, starts_with(n.p, '##') AS heading,
+    CASE WHEN w.going AND NOT (starts_with(n.p, '##') OR w.size + length(n.p) + 1 > 3500) THEN w.chunk ELSE w.chunk + 1 END AS chunk,
+    CASE WHEN w.going AND NOT (starts_with(n.p, '##') OR w.size + length(n.p) + 1 > 3500) THEN w.size ELSE 0 END + length(n.p) + 1 AS size
+   FROM walk w JOIN paras n ON n.doc = w.doc AND n.i = w.i + 1))
+SELECT doc, chunk AS chunk_index, doc || ':' || chunk AS chunk_id, string_agg(p, chr(10) ORDER BY i) AS chunk FROM walk WHERE i > 0 GROUP BY doc, walk.chunk"""
+
+
+@query("chunk_text", _CHUNKS)
 def _(spark, d):
     return A.chunk_text(B.table(spark, d, "documents"))
 
@@ -276,19 +292,22 @@ def _(spark, d):
 
 
 def _responses(spark, d):
-    k = F.col("event_id")
-    answer = F.when(k % 4 == 0, "not json").when(k % 4 == 1, '{"crime_type": "inventado"}').otherwise(
-        F.concat(F.lit('```json\n{"event_id": "x", "crime_type": "furto", "agent_count_total": '), (k % 5).cast("string"), F.lit("}\n```")))
-    rows = B.table(spark, d, "events").select(answer.alias("response"), F.lit("tweet").alias("source_kind"), k.cast("string").alias("source_id"))
+    """Answers as stored by event: the type that the event's own type stands for and the number in its properties, fenced; a view has
+    its bare properties, without a type, and the other types are none that an event may have."""
+    kind = F.coalesce(X.lookup(F.col("event_type"), {"error": "furto", "signup": "roubo_veiculo"}), F.col("event_type"))
+    answer = F.when(F.col("event_type") == "view", F.col("props")).otherwise(F.concat(
+        F.lit('```json\n{"event_id": "x", "crime_type": "'), kind, F.lit('", "agent_count_total": '), F.get_json_object("props", "$.k"), F.lit("}\n```")))
+    rows = B.table(spark, d, "events").select(answer.alias("response"), F.lit("tweet").alias("source_kind"), F.col("event_id").cast("string").alias("source_id"))
     return E.responses_to_events(rows)
 
 
-@query("responses_to_events", "SELECT left(sha1('tweet:' || event_id),16) AS event_id, CAST(event_id AS VARCHAR) AS source_id, 'furto' AS crime_type, CAST(event_id % 5 AS INT) AS agents FROM events WHERE event_id % 4 >= 2")
+@query("responses_to_events", """SELECT left(sha1('tweet:' || event_id),16) AS event_id, CAST(event_id AS VARCHAR) AS source_id, CASE event_type WHEN 'error' THEN 'furto' ELSE 'roubo_veiculo' END AS crime_type,
+ CAST(json_extract(props,'$.k') AS INT) AS agents FROM events WHERE event_type IN ('error', 'signup')""")
 def _(spark, d):
     return _responses(spark, d)[0].select("event_id", F.col("source.source_id").alias("source_id"), "crime_type", F.col("agent_count_total").alias("agents"))
 
 
-@query("responses_rejected", "SELECT CAST(event_id AS VARCHAR) AS source_id FROM events WHERE event_id % 4 < 2")
+@query("responses_rejected", "SELECT CAST(event_id AS VARCHAR) AS source_id FROM events WHERE event_type NOT IN ('error', 'signup')")
 def _(spark, d):
     return _responses(spark, d)[1].select("source_id")
 
@@ -318,5 +337,3 @@ def _(spark, d):
 def _(spark, d):
     return Q.query_events(E.event_summaries(B.nested_events(spark, d)), "Area 1", contains="RUA 1").select("event_id", "date_iso")
 
-
-_ = rounded

@@ -101,40 +101,27 @@ def parse_articles(pages: DataFrame, *, url: str = "url", html: str = "html", pa
 
 
 # ------------------------------------------------------------------ chunks
-def _pack(text: str, target: int, maximum: int) -> list[str]:
-    """Paragraphs joined up to the target size; a heading opens a chunk; only a single long
-    paragraph may exceed the maximum."""
-    chunks: list[list[str]] = [[]]
-    size = 0
-    for line in text.split("\n"):
-        para = line.strip()
-        if not para:
-            continue
-        heading = para.startswith("##")
-        if chunks[-1] and (heading or size + len(para) + 1 > maximum):
-            chunks.append([])
-            size = 0
-        chunks[-1].append(para)
-        size += len(para) + 1
-        if size >= target and not heading:
-            chunks.append([])
-            size = 0
-    return ["\n".join(c) for c in chunks if c]
-
-
 def chunk_text(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", target: int = 2000,
                maximum: int = 3500) -> DataFrame:
-    """``(doc, chunk_index, chunk_id, chunk)``: Arrow batches in, one row per chunk out. Each
-    text is read whole; the work is spread by Spark over the document table."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [
-                (doc, i, chunk)
-                for doc, body in zip(pdf[id_col], pdf[text])
-                for i, chunk in enumerate(_pack(body or "", target, maximum))
-            ]
-            yield pd.DataFrame(rows, columns=["doc", "chunk_index", "chunk"])
-
-    id_type = df.schema[id_col].dataType.simpleString()
-    out = df.select(id_col, text).mapInPandas(run, f"doc {id_type}, chunk_index int, chunk string")
+    """``(doc, chunk_index, chunk_id, chunk)``: paragraphs joined up to the target size.
+
+    A heading opens a chunk, and only a single long paragraph exceeds the maximum. One fold over a text's paragraphs, inside the JVM:
+    its state is the chunks that are closed, the open one and that one's size. NULL and empty texts have no chunk.
+    """
+    paragraphs = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), X.strip), lambda p: p != "")
+    none = F.lit(None).cast("string")
+    state = lambda closed, going, size: F.struct(closed.alias("closed"), going.alias("going"), size.cast("int").alias("size"))
+    with_open = lambda s: F.when(s["going"].isNull(), s["closed"]).otherwise(F.concat(s["closed"], F.array(s["going"])))
+
+    def step(s: Column, p: Column) -> Column:
+        heading, size = p.startswith("##"), F.length(p) + 1
+        joins = s["going"].isNotNull() & ~(heading | (s["size"] + size > maximum))
+        grown = F.when(joins, F.concat(s["going"], F.lit("\n"), p)).otherwise(p)
+        total = F.when(joins, s["size"]).otherwise(0) + size
+        before = F.when(joins, s["closed"]).otherwise(with_open(s))
+        full = (total >= target) & ~heading
+        return state(F.when(full, F.concat(before, F.array(grown))).otherwise(before), F.when(~full, grown), F.when(full, 0).otherwise(total))
+
+    chunks = F.aggregate(paragraphs, state(F.array().cast("array<string>"), none, F.lit(0)), step, with_open)
+    out = df.select(F.col(id_col).alias("doc"), F.posexplode(chunks).alias("chunk_index", "chunk"))
     return out.withColumn("chunk_id", F.concat_ws(":", F.col("doc").cast("string"), F.col("chunk_index").cast("string")))
