@@ -493,10 +493,14 @@ def _(spark, d):
 
 @query("region_aggregate", """SELECT min(region) AS region, COUNT(*) AS n_members, CAST(SUM(pop_2022) AS BIGINT) AS pop_2022, CAST(SUM(pop_2010) AS BIGINT) AS pop_2010,
  round(CASE WHEN SUM(pop_2010) > 0 THEN floor((SUM(pop_2022)-SUM(pop_2010))*1e0/SUM(pop_2010)*100*10e0+0.5e0)/10e0 ELSE 0e0 END,4) AS change_pct,
- floor(AVG(density) FILTER (density > 0)+0.5e0) AS mean_density, string_agg(name, '|' ORDER BY pop_2022 DESC, name) AS members FROM cm GROUP BY lower(region)""", "cm")
+ floor(AVG(density) FILTER (density > 0)+0.5e0) AS mean_density FROM cm GROUP BY lower(region)""", "cm")
 def _(spark, d):
-    out = Z.region_aggregate(_census(spark, d))
-    return rounded(out.withColumn("members", joined_text(F.transform("members", lambda m: m["name"]))), "change_pct", digits=4).drop("region_key")
+    return rounded(Z.region_aggregate(_census(spark, d)), "change_pct", digits=4).drop("region_key")
+
+
+@query("region_members", "SELECT lower(region) AS region_key, name, pop_2022, density, round(change_pct,4) AS change_pct, row_number() OVER (PARTITION BY lower(region) ORDER BY pop_2022 DESC, name) AS place FROM cm", "cm")
+def _(spark, d):
+    return rounded(Z.region_members(_census(spark, d)), "change_pct", digits=4)
 
 
 @query("city_baseline", """SELECT COUNT(*) AS n_members, CAST(SUM(pop_2022) AS BIGINT) AS pop_2022, CAST(SUM(pop_2010) AS BIGINT) AS pop_2010,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoevents.functions import geo as G
@@ -55,28 +55,56 @@ def census_by_name(metrics: DataFrame, names: list[str]) -> DataFrame:
     return keyed.join(F.broadcast(keys), "_k", "left_semi").drop("_k")
 
 
+def region_members(metrics: DataFrame) -> DataFrame:
+    """Members of every region, one row each, placed by population."""
+    order = Window.partitionBy("region_key").orderBy(F.desc("pop_2022"), "name")
+    keyed = metrics.select(X.norm_street(F.col("region")).alias("region_key"), "name", "pop_2022", "density", "change_pct")
+    return keyed.withColumn("place", F.row_number().over(order))
+
+
 def region_aggregate(metrics: DataFrame) -> DataFrame:
-    """Members, population, growth, mean positive density and members by population."""
-    members = F.sort_array(F.collect_list(F.struct((-F.col("pop_2022")).alias("o"), "name", "pop_2022", "density", "change_pct")))
+    """Number of members, population, growth and mean positive density; the members are ``region_members``."""
     per = metrics.groupBy(X.norm_street(F.col("region")).alias("region_key")).agg(
         F.min("region").alias("region"), F.count(F.lit(1)).alias("n_members"),
         F.sum("pop_2022").alias("pop_2022"), F.sum("pop_2010").alias("pop_2010"),
-        F.coalesce(G.round_half_up(F.avg(F.when(F.col("density") > 0, F.col("density")))), F.lit(0.0)).alias("mean_density"),
-        F.transform(members, lambda m: F.struct(m["name"].alias("name"), m["pop_2022"].alias("pop_2022"), m["density"].alias("density"), m["change_pct"].alias("change_pct"))).alias("members"))
+        F.coalesce(G.round_half_up(F.avg(F.when(F.col("density") > 0, F.col("density")))), F.lit(0.0)).alias("mean_density"))
     return per.withColumn("change_pct", _pct_change(F.col("pop_2022"), F.col("pop_2010")))
 
 
+#: Bins of one step of a selection, and how many values are sorted at its end.
+_BINS, _FEW = 1024, 10_000
+
+
+def value_at(values: DataFrame, column: str, place: int) -> float | None:
+    """The value at a place (from 1) of the sorted column, NULLs and NaN left out; None beyond the last.
+
+    Selection by histograms: counts per bin between the least and the largest value tell the bin that holds the place, and the next
+    step looks into that bin only, until it holds few values or one. Rows are counted where they lie and never sorted as a whole.
+    """
+    rows = values.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    while True:
+        ends = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+        if not 1 <= place <= ends.n:
+            return None
+        if ends.lo == ends.hi:
+            return ends.lo
+        if ends.n <= _FEW:
+            return rows.orderBy("v").limit(place).agg(F.max("v")).first()[0]
+        bin_of = F.least(F.lit(_BINS - 1), F.floor((F.col("v") / 2 - ends.lo / 2) / (ends.hi / 2 - ends.lo / 2) * _BINS))
+        for k, n in sorted((r.b, r.n) for r in rows.groupBy(bin_of.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()):
+            if place <= n:
+                break
+            place -= n
+        rows = rows.filter(bin_of == k)
+
+
 def city_baseline(metrics: DataFrame) -> DataFrame:
     """City totals, growth and the upper-middle density (one value per neighbourhood)."""
-    dens = F.sort_array(F.collect_list(F.when(F.col("density") > 0, F.col("density"))))
-    one = metrics.agg(
-        F.count(F.lit(1)).alias("n_members"), F.sum("pop_2022").alias("pop_2022"),
-        F.sum("pop_2010").alias("pop_2010"), dens.alias("_d"))
-    middle = F.try_element_at("_d", (F.floor(F.size("_d") / 2) + 1).cast("int"))
-    return one.withColumns({
-        "change_pct": _pct_change(F.col("pop_2022"), F.col("pop_2010")),
-        "median_density": F.coalesce(middle, F.lit(0.0)),
-    }).drop("_d")
+    dense = metrics.filter(F.col("density") > 0)
+    middle = value_at(dense, "density", dense.count() // 2 + 1)
+    return metrics.agg(
+        F.count(F.lit(1)).alias("n_members"), F.sum("pop_2022").alias("pop_2022"), F.sum("pop_2010").alias("pop_2010")
+    ).withColumns({"change_pct": _pct_change(F.col("pop_2022"), F.col("pop_2010")), "median_density": F.lit(0.0 if middle is None else middle)})
 
 
 def surroundings_summary(pairs: DataFrame, metrics: DataFrame, by: str = "a_zone_id", member: str = "b_zone_id") -> DataFrame:
@@ -87,7 +115,3 @@ def surroundings_summary(pairs: DataFrame, metrics: DataFrame, by: str = "a_zone
         G.round_half_up(F.avg("density")).alias("mean_density"))
     growth = F.when(F.col("pop_2010") > 0, (F.col("pop_2022") - F.col("pop_2010")) / F.col("pop_2010") * 100)
     return per.withColumn("change_pct", F.coalesce(growth, F.lit(0.0)))
-
-
-def neighbours_of(metrics: DataFrame, name: str, radius_km: float) -> DataFrame:
-    return S.within_radius_km(metrics, name, radius_km)

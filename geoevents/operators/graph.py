@@ -335,35 +335,58 @@ def build_street_edges(segments: DataFrame, digits: int = 1) -> DataFrame:
 
 
 def multi_source_distance(
-    edges: DataFrame, sources: DataFrame, cutoff: float | None, *, wanted: DataFrame | None = None,
+    edges: DataFrame, sources: DataFrame, cutoff: float | None, *, wanted: DataFrame | None = None, delta: float | None = None,
 ) -> DataFrame:
-    """``(node, dist)`` of the nodes within ``cutoff`` (None: any distance) of any source along the edges.
+    """``(node, dist)`` of the nodes within ``cutoff`` (None: any distance) of any source along the edges, lengths above zero.
 
-    Frontier expansion: each round only nodes whose distance improved pass it on. Stops when
-    nothing improves, or when no node of the frontier is nearer than the farthest of the
-    ``wanted`` nodes, all of which have been met; their distances are final then.
+    Buckets of distance, ``delta`` wide (eight mean lengths by default): the nodes of the nearest bucket pass their distance on until
+    none of them improves, then they are settled and written away for good. A round groups only nodes that are met and not settled. Of
+    the settled ones, an edge can lead back to those within one longest edge of the bucket alone, so only these are kept at hand. Ends when
+    nothing is open, or when all ``wanted`` nodes are settled.
     """
     both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "w").unionByName(
         edges.select(F.col("dst").alias("u"), F.col("src").alias("v"), "w"))
     bound = F.lit(float("inf")) if cutoff is None else F.lit(float(cutoff))
     both = cut(both.filter(F.col("w") <= bound))
-    asked = cut(wanted.select("node").distinct().withColumn("asked", F.lit(True))) if wanted is not None else None
-    n_asked = asked.count() if asked is not None else None
+    length = both.agg(F.max("w").alias("longest"), F.avg("w").alias("mean")).first()
+    longest = float(length.longest or 0.0)
+    delta = delta or 8.0 * float(length.mean or 1.0)
+    asked = cut(wanted.select("node").distinct()) if wanted is not None else None
+    missing = asked.count() if asked is not None else None
     state = cut(sources.select("node", F.lit(0.0).alias("dist"), F.lit(True).alias("fresh")).distinct())
+    settled, recent, high = [], None, delta
     while True:
-        frontier = state.filter("fresh").select(F.col("node").alias("u"), F.col("dist").alias("so_far"))
-        moved = hashed_join(both, frontier, ["u"], "inner")
-        offers = moved.select(F.col("v").alias("node"), (F.col("so_far") + F.col("w")).alias("dist"), F.lit(None).cast("double").alias("old"))
-        known = state.select("node", "dist", F.col("dist").alias("old"))
-        met = known.unionByName(offers.filter(F.col("dist") <= bound)).groupBy("node").agg(F.min("dist").alias("dist"), F.min("old").alias("old"))
-        state = cut(met.select("node", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh")))
-        seen = state if asked is None else hashed_join(state, asked, ["node"], "left")
-        mine = F.lit(False) if asked is None else F.col("asked")
-        facts = seen.agg(
-            F.count_if("fresh").alias("n"), F.min(F.when(F.col("fresh"), F.col("dist"))).alias("near"),
-            F.count_if(mine).alias("met"), F.max(F.when(mine, F.col("dist"))).alias("far")).first()
-        if not facts.n or facts.met == n_asked and (facts.far is None or facts.near >= facts.far):
-            return state.select("node", "dist")
+        facts = state.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("fresh") & (F.col("dist") < high)).alias("moving"), F.min("dist").alias("near")).first()
+        if facts.moving:
+            moving = F.col("fresh") & (F.col("dist") < high)
+            frontier = state.filter(moving).select(F.col("node").alias("u"), F.col("dist").alias("so_far"))
+            offers = hashed_join(both, frontier, ["u"], "inner").select(F.col("v").alias("node"), (F.col("so_far") + F.col("w")).alias("dist"))
+            offers = offers.filter(F.col("dist") <= bound).groupBy("node").agg(F.min("dist").alias("dist"))
+            if recent is not None:
+                offers = hashed_join(offers, recent.select("node"), ["node"], "left_anti")
+            known = state.select("node", "dist", F.col("dist").alias("old"), (F.col("fresh") & ~moving).alias("waits"))
+            met = known.unionByName(offers.select("node", "dist", F.lit(None).cast("double").alias("old"), F.lit(False).alias("waits")))
+            met = met.groupBy("node").agg(F.min("dist").alias("dist"), F.min("old").alias("old"), F.max("waits").alias("waits"))
+            state = cut(met.select("node", "dist", (F.col("waits") | F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh")))
+            continue
+        if not facts.n:
+            break
+        if facts.near < high:
+            done = cut(state.filter(F.col("dist") < high).select("node", "dist"))
+            settled.append(done)
+            state = cut(state.filter(F.col("dist") >= high))
+            kept = done if recent is None else recent.unionByName(done)
+            recent = cut(kept.filter(F.col("dist") >= high - longest))
+            if asked is not None:
+                missing -= done.join(asked, "node", "left_semi").count()
+                if not missing:
+                    break
+        else:
+            high = facts.near + delta
+    out = settled[0] if settled else state.select("node", "dist")
+    for done in settled[1:]:
+        out = out.unionByName(done)
+    return out
 
 
 def network_coverage(

@@ -276,36 +276,43 @@ def scan_articles_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return article_source_text(read_jsonl(spark, path, ARTICLE_SCHEMA)[0])
 
 
-def collapse_continuation_rows(df: DataFrame, id_col: str, line_col: str, nested: list[str],
-                               block_lines: int = 1_000_000) -> DataFrame:
-    """Lines without an id continue the last line with one: fill the id forward, then keep
-    one row per id with the nested fields as JSON arrays.
+def continued_rows(df: DataFrame, id_col: str, line_col: str, block_lines: int = 1_000_000) -> DataFrame:
+    """Lines without an id continue the last line with one: every line with the id it belongs to, its ``block`` of lines, and whether it
+    is a head (it had an id itself). Lines before the first id are left out.
 
     The fill runs inside blocks of lines; what a block cannot fill itself it takes from the
     last id of the blocks before it, so no task sees more than one block of lines.
     """
-    block = df.withColumn("_block", F.floor(F.col(line_col) / F.lit(block_lines)))
-    in_block = Window.partitionBy("_block").orderBy(line_col).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    block = df.withColumn("block", F.floor(F.col(line_col) / F.lit(block_lines)))
+    in_block = Window.partitionBy("block").orderBy(line_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = block.withColumn("_id", F.last(id_col, ignorenulls=True).over(in_block))
     # one row per block: safe to order in a single window
-    ends = block.groupBy("_block").agg(
+    ends = block.groupBy("block").agg(
         F.max_by(F.col(id_col), F.when(F.col(id_col).isNotNull(), F.col(line_col))).alias("_last")
     )
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("_block", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    keyed = filled.join(carried, "_block").withColumn("_id", F.coalesce("_id", "_carry"))
-    keyed = keyed.filter(F.col("_id").isNotNull())
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("block", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    keyed = filled.join(carried, "block").withColumn("_id", F.coalesce("_id", "_carry")).filter(F.col("_id").isNotNull())
+    keyed = keyed.withColumn("is_head", F.col(id_col).isNotNull())
+    return keyed.select(*[F.col("_id").alias(c) if c == id_col else F.col(c) for c in df.columns], "block", "is_head")
+
+
+def collapse_continuation_rows(df: DataFrame, id_col: str, line_col: str, nested: list[str],
+                               block_lines: int = 1_000_000, per_block: bool = False) -> DataFrame:
+    """One row per id with the nested fields of its lines as JSON arrays (see ``continued_rows``, which gathers nothing).
+
+    With ``per_block`` one row per id and block of lines, in the order of ``block``, for ids whose lines are too many for one
+    row; the other fields are those of the id's first head, and NULL in blocks without a head.
+    """
+    keyed = continued_rows(df, id_col, line_col, block_lines)
     plain = [c for c in df.columns if c not in (*nested, id_col, line_col)]
-    is_head = F.col(id_col).isNotNull()
-    aggs = [F.max_by(F.col(c), F.when(is_head, -F.col(line_col))).alias(c) for c in plain]
+    aggs = [F.max_by(F.col(c), F.when(F.col("is_head"), -F.col(line_col))).alias(c) for c in plain]
     for c in nested:
         items = F.sort_array(
             F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(line_col).alias("l"), F.col(c).alias("v"))))
         )
         aggs.append(F.to_json(F.transform(items, lambda s: s["v"])).alias(c))
-    return keyed.groupBy(F.col("_id").alias(id_col)).agg(*aggs)
+    return keyed.groupBy(id_col, *(["block"] if per_block else [])).agg(*aggs)
 
 
 def flag_quality(df: DataFrame, id_col: str, lat: str = "lat", lon: str = "lon",
