@@ -169,10 +169,13 @@ PROPERTY_TIP_TYPES = [
 ]
 PROPERTY_TIP_CLASSES = ["CRIMES CONTRA O PATRIMÔNIO"]
 
-# --- street coincidence points (lower bound, points) ---------------------------------------
-BINGO_CRIME_STEPS = [(0, 0), (1, 1), (6, 2), (16, 3), (30, 4)]
-BINGO_FACTOR_STEPS = [(0, 0), (1, 1), (3, 2), (5, 3)]
-BINGO_TIP_STEPS = [(0, 0), (1, 1), (4, 2)]
+# --- street coincidence points (lower bounds of the levels, points of the levels) ----------
+BINGO_CRIME_THRESHOLDS = [0, 1, 6, 16, 30]
+BINGO_CRIME_SCORES = [0, 1, 2, 3, 4]
+BINGO_FACTOR_THRESHOLDS = [0, 1, 3, 5]
+BINGO_FACTOR_SCORES = [0, 1, 2, 3]
+BINGO_TIP_THRESHOLDS = [0, 1, 4]
+BINGO_TIP_SCORES = [0, 1, 2]
 BINGO_BLIND_SPOT_CRIMES = 5
 BINGO_PRIORITY = [(8, "CRITICA"), (6, "ALTA"), (3, "MEDIA"), (0, "BAIXA")]
 BINGO_COMBOS = [
@@ -203,13 +206,17 @@ CRIME_TYPE_WEIGHT = {
     "desconhecido": 4.0,
 }
 CRIME_TYPE_DEFAULT = 4.0
-WEAPON_SHOWN = {
-    "arma_fogo": 14.0, "arma_branca": 8.0, "objeto_contundente": 4.0, "simulacro": 6.0,
-    "quimico": 5.0, "forca_fisica": 0.0, "outra": 3.0, "nenhuma": 0.0, "desconhecida": 0.0,
-}
-WEAPON_USED = {
-    "arma_fogo": 20.0, "arma_branca": 12.0, "objeto_contundente": 8.0, "simulacro": 6.0,
-    "quimico": 10.0, "forca_fisica": 4.0, "outra": 5.0, "nenhuma": 0.0, "desconhecida": 0.0,
+# (only shown, used)
+WEAPON_WEIGHT = {
+    "arma_fogo": (14.0, 20.0),
+    "arma_branca": (8.0, 12.0),
+    "objeto_contundente": (4.0, 8.0),
+    "simulacro": (6.0, 6.0),
+    "quimico": (5.0, 10.0),
+    "forca_fisica": (0.0, 4.0),
+    "outra": (3.0, 5.0),
+    "nenhuma": (0.0, 0.0),
+    "desconhecida": (0.0, 0.0),
 }
 WEAPON_CAP = 20.0
 TACTIC_WEIGHT = {

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from geoevents.functions import geo as G
 from geoevents.functions import text as X
-from geoevents.operators import spatial as S
 from geoevents.sources.polygons import zone_bounds
 
 

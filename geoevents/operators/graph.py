@@ -227,13 +227,6 @@ def dbscan(points: DataFrame, eps_m: float = 150.0, min_pts: int = 5, *, id_col:
     return in_core.unionByName(at_border)
 
 
-def dbscan_summary(points: DataFrame, clusters: DataFrame, id_col: str = "id") -> DataFrame:
-    """Clusters by size with their centroid."""
-    return points.join(clusters, id_col).groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y")
-    ).orderBy(F.desc("n"), "cluster_id")
-
-
 # ------------------------------------------------------------------ camera gaps
 def scored_gaps(
     incidents: DataFrame, cameras: DataFrame, *, radius_m: float = V.CAMERA_RADIUS_M,

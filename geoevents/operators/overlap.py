@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from geoevents.functions import geo as G
 from geoevents.operators import spatial as S
-from geoevents.operators.metrics import count_by
 from geoevents.sources.polygons import zone_bounds
 
 
@@ -199,7 +198,3 @@ def territory_summary(relation: DataFrame) -> DataFrame:
         "; ", F.when(F.col("ruling") != "", F.concat(F.lit("sob domínio direto de "), F.col("ruling"))),
         F.when(F.col("n_nearby") > 0, near))
     return per.withColumn("summary", text)
-
-
-def territories_per_area(hit: DataFrame) -> DataFrame:
-    return count_by(hit, ["a_zone_id"], "territories")

@@ -105,9 +105,9 @@ def bingo_points(streets: DataFrame) -> DataFrame:
     """0–10 points per street from ``total, n_factor_types, n_tips, has_camera``."""
     total = F.col("total")
     return streets.withColumns({
-        "p_crime": step_points(total, V.BINGO_CRIME_STEPS),
-        "p_factors": step_points(F.col("n_factor_types"), V.BINGO_FACTOR_STEPS),
-        "p_tips": step_points(F.col("n_tips"), V.BINGO_TIP_STEPS),
+        "p_crime": step_points(total, list(zip(V.BINGO_CRIME_THRESHOLDS, V.BINGO_CRIME_SCORES))),
+        "p_factors": step_points(F.col("n_factor_types"), list(zip(V.BINGO_FACTOR_THRESHOLDS, V.BINGO_FACTOR_SCORES))),
+        "p_tips": step_points(F.col("n_tips"), list(zip(V.BINGO_TIP_THRESHOLDS, V.BINGO_TIP_SCORES))),
         "p_camera": F.when((total >= V.BINGO_BLIND_SPOT_CRIMES) & ~F.col("has_camera"), 1).otherwise(0),
     }).withColumn(
         "points", F.least(F.lit(10), F.col("p_crime") + F.col("p_factors") + F.col("p_tips") + F.col("p_camera"))
@@ -157,15 +157,6 @@ def bingo_summary(scored: DataFrame, by: list[str]) -> DataFrame:
     return scored.groupBy(*by).agg(F.count(F.lit(1)).alias("n_streets"), *[level(p) for _, p in V.BINGO_PRIORITY])
 
 
-def bingo_explanation() -> Column:
-    """Short text per scoring layer that gave points."""
-    part = lambda c, label: F.when(F.col(c) > 0, F.concat(F.lit(f"[{label} +"), F.col(c).cast("string"), F.lit("]")))
-    return F.concat_ws(
-        " ", part("p_crime", "MANCHA"), part("p_factors", "FATORES"),
-        part("p_tips", "DISQUE DENÚNCIA"), part("p_camera", "CÂMERA"),
-    )
-
-
 # ------------------------------------------------------------------ areas compared
 AREA_METRICS = ["score", "crimes", "night_pct", "factors", "n_triple", "tips"]
 

@@ -6,7 +6,7 @@ per unit with partial aggregation; only a unit's summary, never its events, meet
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoevents.functions import fixed_values as V
@@ -46,8 +46,8 @@ def event_severity(events: DataFrame) -> DataFrame:
     base = X.lookup(crime, V.CRIME_TYPE_WEIGHT, F.lit(V.CRIME_TYPE_DEFAULT))
 
     def weapon_points(w: Column) -> Column:
-        return F.when(F.coalesce(w["used"], F.lit(False)), _weigh(V.WEAPON_USED, w["type"])).when(
-            F.coalesce(w["brandished"], F.lit(False)), _weigh(V.WEAPON_SHOWN, w["type"])
+        return F.when(F.coalesce(w["used"], F.lit(False)), _weigh({k: used for k, (_, used) in V.WEAPON_WEIGHT.items()}, w["type"])).when(
+            F.coalesce(w["brandished"], F.lit(False)), _weigh({k: shown for k, (shown, _) in V.WEAPON_WEIGHT.items()}, w["type"])
         ).otherwise(F.lit(0.0))
 
     def weapon_text(w: Column) -> Column:
@@ -343,7 +343,3 @@ def score_report(
     named = scored.filter(F.coalesce("street", F.lit("")) != "")
     streets = unit_score(named, ["area", "street"], actions, with_reasons=with_reasons).filter(enough)
     return areas, streets
-
-
-def rank_scores(units: DataFrame, by: list[str]) -> DataFrame:
-    return units.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final_score"), *by)))

@@ -9,8 +9,6 @@ no regrouping of points.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -280,9 +278,9 @@ def subtract_zones(points: DataFrame, zone_col: str = "zone_id") -> DataFrame:
 
 
 # ------------------------------------------------------------------ nearest
-_FAN = 8
+_FAN = 4
 #: Levels counted in one pass, and the deepest one: beyond it doubles no longer tell places apart.
-_LEVELS_AT_ONCE, _DEEPEST = 6, 17
+_LEVELS_AT_ONCE, _DEEPEST = 8, 25
 
 
 def _depth(places: DataFrame, grid, leaf_targets: int) -> int:
@@ -307,16 +305,16 @@ def _depth(places: DataFrame, grid, leaf_targets: int) -> int:
 
 
 def nearest(
-    points: DataFrame, targets: DataFrame, *, point_id: str, target_id: str, leaf_targets: int = 64, on: list[str] | None = None,
+    points: DataFrame, targets: DataFrame, *, point_id: str, target_id: str, leaf_targets: int = 16, on: list[str] | None = None,
 ) -> DataFrame:
     """``(point_id, target_id, dist_m)``: the closest target of every point, ties to the lowest id.
 
     ``on`` names columns that must be equal: a point then sees the targets of its own group only.
 
-    Branch and bound over a pyramid of target boxes. A point meets a box's children as one array and keeps, without leaving its
-    row, those no farther than the nearest of their farthest corners; the bound goes down with it, so far clusters are dropped
-    as whole boxes, however many targets they hold. The pyramid is as deep as it takes for a leaf to hold at most
-    ``leaf_targets`` places, which a point then meets as one array too. Points with a row are shuffled once, for the result.
+    A pyramid of target boxes is walked twice. The first walk goes straight down, always into the box whose farthest corner is
+    nearest, and ends at a place whose distance bounds the answer. The second goes into every box that is not farther than that, which is
+    hardly more than one a level, so far clusters are dropped as whole boxes, however many targets they hold. A point meets a box's children
+    as one array in its own row. The pyramid is as deep as it takes for a leaf to hold at most ``leaf_targets`` places.
     """
     keys = on or []
     located = targets.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -339,39 +337,43 @@ def nearest(
     depth = _depth(places, grid, leaf_targets)
     px, py = F.col("px"), F.col("py")
 
-    def near2(b: Column) -> Column:
-        gx = F.greatest(b["minx"] - px, F.lit(0.0), px - b["maxx"])
-        gy = F.greatest(b["miny"] - py, F.lit(0.0), py - b["maxy"])
-        return gx * gx + gy * gy
-
-    def far2(b: Column) -> Column:
-        fx = F.greatest(F.abs(px - b["minx"]), F.abs(px - b["maxx"]))
-        fy = F.greatest(F.abs(py - b["miny"]), F.abs(py - b["maxy"]))
-        return fx * fx + fy * fy
+    def judged(b: Column) -> Column:
+        """Far and near distance to a box, both a little to the safe side, and where the box is."""
+        dx, dy = F.abs(px - b["mx"]), F.abs(py - b["my"])
+        return F.struct(F.hypot(dx + b["hx"], dy + b["hy"]).alias("far"),
+                        F.hypot(F.greatest(dx - b["hx"], F.lit(0.0)), F.greatest(dy - b["hy"], F.lit(0.0))).alias("near"), b["bx"].alias("bx"), b["by"].alias("by"))
 
     def children(level: int) -> DataFrame:
         """Boxes of one level as an array per parent box; at the last level the places of each leaf."""
         cx, cy = grid(level)
         px_, py_ = (F.floor(F.col(c) / _FAN).cast("bigint") for c in ("bx", "by"))
         box = places.groupBy(*keys, cx.alias("bx"), cy.alias("by")).agg(
-            F.min("x").alias("minx"), F.max("x").alias("maxx"), F.min("y").alias("miny"), F.max("y").alias("maxy"))
-        return box.groupBy(*keys, px_.alias("cx"), py_.alias("cy")).agg(
-            F.collect_list(F.struct("bx", "by", "minx", "maxx", "miny", "maxy")).alias("kids"))
-
-    frontier = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
-        point_id, *keys, F.col("x").alias("px"), F.col("y").alias("py"), F.lit(0).cast("bigint").alias("cx"),
-        F.lit(0).cast("bigint").alias("cy"), F.lit(float("inf")).alias("bound"))
-    for level in range(1, depth + 1):
-        opened = hashed_join(frontier, children(level), [*keys, "cx", "cy"], "inner")
-        opened = opened.withColumn("bound", F.least("bound", F.array_min(F.transform("kids", far2)) * F.lit(1.0 + 1e-9)))
-        bound = F.col("bound")
-        frontier = opened.select(point_id, *keys, "px", "py", "bound", F.explode(F.filter("kids", lambda b: near2(b) <= bound)).alias("k")).select(
-            point_id, *keys, "px", "py", F.col("k.bx").alias("cx"), F.col("k.by").alias("cy"), "bound")
+            *[((F.min(c) + F.max(c)) / 2).alias(f"m{c}") for c in "xy"], *[((F.max(c) - F.min(c)) / 2).alias(f"h{c}") for c in "xy"])
+        return box.groupBy(*keys, px_.alias("cx"), py_.alias("cy")).agg(F.collect_list(F.struct("bx", "by", "mx", "my", "hx", "hy")).alias("kids"))
+
     cx, cy = grid(depth)
     leaves = places.groupBy(*keys, cx.alias("cx"), cy.alias("cy")).agg(F.collect_list(F.struct("x", "y", "_t")).alias("kids"))
-    met = hashed_join(frontier, leaves, [*keys, "cx", "cy"], "inner")
-    closest = F.array_min(F.transform("kids", lambda p: F.struct(G.distance(px, py, p["x"], p["y"]).alias("d"), p["_t"].alias("t"))))
-    best = met.groupBy(point_id).agg(F.min(closest).alias("b"))
+    levels = [children(k) for k in range(1, depth + 1)]
+    zero = F.lit(0).cast("bigint")
+    walk = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
+        point_id, *keys, F.col("x").alias("px"), F.col("y").alias("py"), zero.alias("cx"), zero.alias("cy"))
+    # by number and key: the walks cost more than their rows' bytes tell, and the last aggregation keeps to this partitioning
+    walk = walk.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), point_id)
+    for kids in levels:  # straight down, always into the box whose farthest corner is nearest
+        into = hashed_join(walk, kids, [*keys, "cx", "cy"], "inner").withColumn("k", F.array_min(F.transform("kids", judged)))
+        walk = into.select(point_id, *keys, "px", "py", F.col("k.bx").alias("cx"), F.col("k.by").alias("cy"))
+    reached = F.array_min(F.transform("kids", lambda p: G.distance(px, py, p["x"], p["y"])))
+    bounded = hashed_join(walk, leaves, [*keys, "cx", "cy"], "inner").select(
+        point_id, *keys, "px", "py", zero.alias("cx"), zero.alias("cy"), (reached * F.lit(1.0 + 1e-9)).alias("bound"))
+    frontier = bounded
+    for kids in levels:  # once more, into every box that is not beyond what was reached
+        bound = F.col("bound")
+        near = F.filter(F.transform("kids", judged), lambda k: k["near"] <= bound)
+        frontier = hashed_join(frontier, kids, [*keys, "cx", "cy"], "inner").select(point_id, *keys, "px", "py", "bound", F.explode(near).alias("k")).select(
+            point_id, *keys, "px", "py", F.col("k.bx").alias("cx"), F.col("k.by").alias("cy"), "bound")
+    met = hashed_join(frontier, leaves, [*keys, "cx", "cy"], "inner").select(point_id, "px", "py", F.explode("kids").alias("k"))
+    met = met.select(point_id, F.struct(G.distance(px, py, F.col("k.x"), F.col("k.y")).alias("d"), F.col("k._t").alias("t")).alias("b"))
+    best = met.groupBy(point_id).agg(F.min("b").alias("b"))
     return best.select(point_id, F.col("b.t").alias(target_id), F.col("b.d").alias("dist_m"))
 
 
@@ -381,20 +383,16 @@ def within_radius_km(
 ) -> DataFrame:
     """Zones whose centroid lies within ``radius_km`` of the origin's, nearest first.
 
-    The one origin row is matched as a broadcast; a latitude box prunes before the distance.
+    The origin's place is read first (one row), so the zones are filtered without a join; a latitude box prunes before the distance.
+    Without the origin no zone is near it.
     """
-    here = zones.filter(F.col(name) == origin).select(
-        F.col(lat).alias("_olat"), F.col(lon).alias("_olon"), F.lit(1).alias("_one")
-    ).limit(1)
-    dist = G.haversine(F.col("_olat"), F.col("_olon"), F.col(lat), F.col(lon), G.EARTH_KM)
-    out = zones.filter(F.col(name) != origin).withColumn("_one", F.lit(1)).join(
-        F.broadcast(here), "_one"
-    )
-    out = out.filter(F.abs(F.col(lat) - F.col("_olat")) <= F.lit(radius_km / 110.0))
-    out = out.withColumn("distance_km", G.round_half_up(dist, 2))
-    return out.filter(F.col("distance_km") <= radius_km).drop("_olat", "_olon", "_one").orderBy(
-        "distance_km", name
-    )
+    here = zones.filter(F.col(name) == origin).select(F.col(lat).alias("lat"), F.col(lon).alias("lon")).first()
+    if here is None or here.lat is None or here.lon is None:
+        return zones.limit(0).withColumn("distance_km", F.lit(None).cast("double"))
+    dist = G.haversine(F.lit(here.lat), F.lit(here.lon), F.col(lat), F.col(lon), G.EARTH_KM)
+    near = zones.filter((F.col(name) != origin) & (F.abs(F.col(lat) - F.lit(here.lat)) <= F.lit(radius_km / 110.0)))
+    out = near.withColumn("distance_km", G.round_half_up(dist, 2))
+    return out.filter(F.col("distance_km") <= radius_km).orderBy("distance_km", name)
 
 
 # ------------------------------------------------------------------ coincidence grid

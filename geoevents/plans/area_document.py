@@ -89,7 +89,7 @@ def _street_table(counts: DataFrame) -> DataFrame:
 def _street_layers(streets: DataFrame, rows: DataFrame) -> DataFrame:
     """The shown streets with what lies within reach of their incidents, in the same zone."""
     unit = streets.select("zone_id", "street")
-    own = rows.filter("layer = 'incident'").join(F.broadcast(unit), ["zone_id", "street"], "left_semi").select("zone_id", "street", "x", "y").distinct()
+    own = rows.filter("layer = 'incident'").join(unit, ["zone_id", "street"], "left_semi").select("zone_id", "street", "x", "y").distinct()
     flags = streets
     for layer, name in (("factor", "has_factor"), ("tip", "has_tip")):
         near = S.within_radius(own, rows.filter(F.col("layer") == layer), V.BINGO_RADIUS_M, on=["zone_id"]).select("zone_id", "street").distinct()
