@@ -163,7 +163,7 @@ ctes.TABLES["overlap"] = ("orig", f"SELECT * FROM ({_RECTS}) WHERE area > 0")
 
 
 def _overlap_pairs(spark, d):
-    return O.zone_overlap_area(B.scaled(B.zone_edges(spark, d)), B.scaled(B.neighbourhood_edges(spark, d)), strip=2000.0)
+    return O.zone_overlap_area(B.scaled(B.zone_edges(spark, d)), B.scaled(B.neighbourhood_edges(spark, d)))
 
 
 @query("zone_overlap_area", "SELECT a_zone_id, b_zone_id, round(area, 2) AS area FROM overlap", "overlap")
@@ -180,7 +180,7 @@ def _(spark, d):
  FROM overlap o JOIN census c ON c.zone_id = o.b_zone_id WHERE c.pop_2022 IS NOT NULL GROUP BY 1""", "overlap census")
 def _(spark, d):
     pop = B.census(spark, d).select("zone_id", F.col("pop_2022").alias("population"))
-    out = O.weighted_population(B.scaled(B.zone_edges(spark, d)), B.scaled(B.neighbourhood_edges(spark, d)), pop, strip=2000.0)
+    out = O.weighted_population(B.scaled(B.zone_edges(spark, d)), B.scaled(B.neighbourhood_edges(spark, d)), pop)
     return rounded(out, "population", digits=4)
 
 

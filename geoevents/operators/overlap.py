@@ -2,30 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoevents.functions import geo as G
 from geoevents.operators import spatial as S
-from geoevents.sources.polygons import zone_bounds
-
-
-def _orientation(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column) -> Column:
-    return F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
-
-
-def _segments_meet(a: str, b: str) -> Column:
-    """Two segments share a point (touching included)."""
-    p = lambda s, c: F.col(f"{s}{c}")
-    ends = lambda s: ((p(s, "x1"), p(s, "y1")), (p(s, "x2"), p(s, "y2")))
-    (a1, a2), (b1, b2) = ends(a), ends(b)
-    o1, o2 = _orientation(*a1, *a2, *b1), _orientation(*a1, *a2, *b2)
-    o3, o4 = _orientation(*b1, *b2, *a1), _orientation(*b1, *b2, *a2)
-    box = (
-        (F.greatest(a1[0], a2[0]) >= F.least(b1[0], b2[0])) & (F.greatest(b1[0], b2[0]) >= F.least(a1[0], a2[0]))
-        & (F.greatest(a1[1], a2[1]) >= F.least(b1[1], b2[1])) & (F.greatest(b1[1], b2[1]) >= F.least(a1[1], a2[1]))
-    )
-    return box & (o1 * o2 <= 0) & (o3 * o4 <= 0)
+from geoevents.operators.edge_tree import borders_within, overlap_areas
 
 
 def zones_intersect_zones(
@@ -36,7 +17,7 @@ def zones_intersect_zones(
 
     Either two edges meet, or one zone lies inside the other (then any one vertex of it does).
     """
-    crossing = borders_meet(left, right, cell_size)
+    crossing = borders_within(left, right)
 
     def vertex_of(edges: DataFrame, name: str) -> DataFrame:
         one = edges.groupBy("zone_id", "part").agg(F.min(F.struct("ring", "seq", "x1", "y1")).alias("v"))
@@ -52,32 +33,6 @@ def zones_intersect_zones(
         inside(right, "b_zone_id", left_index, "a_zone_id")).distinct()
 
 
-def borders_meet(left: DataFrame, right: DataFrame, cell_size: float = S.CELL_DEG) -> DataFrame:
-    """``(a_zone_id, b_zone_id)`` of zones whose edges share a point; edges are compared only inside a common grid cell."""
-    a = S.edge_cells(_as_xy(left), 0.0, cell_size)
-    b = S.edge_cells(_as_xy(right), 0.0, cell_size)
-    met = _cells(a, "a_").join(_cells(b, "b_"), ["ix", "iy"]).filter(_segments_meet("a_", "b_"))
-    return met.select("a_zone_id", "b_zone_id").distinct()
-
-
-def _as_xy(edges: DataFrame) -> DataFrame:
-    return edges.select("zone_id", "x1", "y1", "x2", "y2")
-
-
-def _cells(edges: DataFrame, prefix: str) -> DataFrame:
-    return edges.select("ix", "iy", *[F.col(c).alias(f"{prefix}{c}") for c in ("zone_id", "x1", "y1", "x2", "y2")])
-
-
-def oriented(edges: DataFrame) -> DataFrame:
-    """Edges with ``sign``: the weight of the region under the edge in the signed sum that
-    makes the polygon (+ for outer rings, - for holes, whatever their drawing order)."""
-    ring = edges.groupBy("zone_id", "part", "ring").agg(
-        F.signum(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))).alias("turn"))
-    role = F.when(F.col("ring") == 0, 1.0).otherwise(-1.0)
-    return edges.join(ring, ["zone_id", "part", "ring"]).filter(F.col("x1") != F.col("x2")).withColumn(
-        "sign", -F.signum(F.col("x2") - F.col("x1")) * F.col("turn") * role)
-
-
 def zone_areas(edges: DataFrame) -> DataFrame:
     """Planar area per zone, holes subtracted."""
     ring = edges.groupBy("zone_id", "part", "ring").agg(
@@ -86,54 +41,15 @@ def zone_areas(edges: DataFrame) -> DataFrame:
     return ring.groupBy("zone_id").agg(F.sum(role).alias("area"))
 
 
-def zone_overlap_area(left: DataFrame, right: DataFrame, strip: float = 250.0) -> DataFrame:
-    """``(a_zone_id, b_zone_id, area)`` for zones that overlap, in the square of the edge unit.
+def zone_overlap_area(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(a_zone_id, b_zone_id, area)`` for zones that overlap, in the square of the edge unit."""
+    return overlap_areas(left, right)
 
-    A polygon is the signed sum of the regions under its edges, so the overlap is the signed
-    sum over edge pairs of the region under both: the integral of the lower of two lines,
-    which has a closed form. Edges are cut into vertical strips and meet only within a strip
-    and only for zones whose boxes overlap; holes and several parts need no special case.
-    """
-    boxes = lambda e, p: zone_bounds(e).select(*[F.col(c).alias(f"{p}{c}") for c in ("zone_id", "minx", "miny", "maxx", "maxy")])
-    a_box, b_box = boxes(left, "a_"), boxes(right, "b_")
-    spread = lambda df, p: df.withColumn("sx", F.explode(F.sequence(G.cell(F.col(f"{p}minx"), strip), G.cell(F.col(f"{p}maxx"), strip))))
-    pairs = spread(a_box, "a_").join(spread(b_box, "b_"), "sx").filter(
-        (F.col("a_minx") < F.col("b_maxx")) & (F.col("b_minx") < F.col("a_maxx"))
-        & (F.col("a_miny") < F.col("b_maxy")) & (F.col("b_miny") < F.col("a_maxy")))
-    pairs = pairs.select(
-        "a_zone_id", "b_zone_id", "sx", F.least("a_miny", "b_miny").alias("base"))
-
-    def strips(edges: DataFrame, p: str) -> DataFrame:
-        e = oriented(edges).select(
-            F.col("zone_id").alias(f"{p}zone_id"), F.col("sign").alias(f"{p}sign"),
-            *[F.when(F.col("x1") < F.col("x2"), F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(f"{p}{c}l") for c in "xy"],
-            *[F.when(F.col("x1") < F.col("x2"), F.col(f"{c}2")).otherwise(F.col(f"{c}1")).alias(f"{p}{c}r") for c in "xy"])
-        return e.withColumn("sx", F.explode(F.sequence(G.cell(F.col(f"{p}xl"), strip), G.cell(F.col(f"{p}xr"), strip))))
-
-    met = pairs.join(strips(left, "a_"), ["a_zone_id", "sx"]).join(strips(right, "b_"), ["b_zone_id", "sx"])
-    lo = F.greatest("a_xl", "b_xl", F.col("sx") * F.lit(float(strip)))
-    hi = F.least("a_xr", "b_xr", (F.col("sx") + 1) * F.lit(float(strip)))
-    met = met.withColumns({"lo": lo, "hi": hi}).filter("lo < hi")
-    at = lambda p, x: F.col(f"{p}yl") + (x - F.col(f"{p}xl")) * (F.col(f"{p}yr") - F.col(f"{p}yl")) / (F.col(f"{p}xr") - F.col(f"{p}xl")) - F.col("base")
-    met = met.withColumns({
-        "al": at("a_", F.col("lo")), "ar": at("a_", F.col("hi")),
-        "bl": at("b_", F.col("lo")), "br": at("b_", F.col("hi"))})
-    dl, dr, width = F.col("al") - F.col("bl"), F.col("ar") - F.col("br"), F.col("hi") - F.col("lo")
-    t = dl / (dl - dr)                       # where the lines cross, as a share of the width
-    cross = F.col("al") + t * (F.col("ar") - F.col("al"))
-    ml, mr = F.least("al", "bl"), F.least("ar", "br")
-    area = F.when(dl * dr < 0, (ml + cross) / 2 * t * width + (cross + mr) / 2 * (F.lit(1.0) - t) * width).otherwise(
-        (ml + mr) / 2 * width)
-    out = met.groupBy("a_zone_id", "b_zone_id").agg(F.sum(F.col("a_sign") * F.col("b_sign") * area).alias("area"))
-    return out.filter(F.col("area") > 1e-9)
-
-
-def weighted_population(
-    areas: DataFrame, neighbourhoods: DataFrame, population: DataFrame, strip: float = 250.0,
-) -> DataFrame:
+
+def weighted_population(areas: DataFrame, neighbourhoods: DataFrame, population: DataFrame) -> DataFrame:
     """Residents inside each area: population times the share of the neighbourhood inside.
     ``population(zone_id, population)``; unknown (NULL) population and zero area are skipped."""
-    return population_of(zone_overlap_area(areas, neighbourhoods, strip), neighbourhoods, population)
+    return population_of(zone_overlap_area(areas, neighbourhoods), neighbourhoods, population)
 
 
 def population_of(shares: DataFrame, neighbourhoods: DataFrame, population: DataFrame) -> DataFrame:
@@ -168,19 +84,10 @@ def surroundings_enriched(
 def territory_relation(
     areas: DataFrame, territories: DataFrame, factions: DataFrame, *, near_m: float = 500.0, cell_size: float = 500.0,
 ) -> DataFrame:
-    """``(zone_id, territory_id, faction, relation)``: intersecting, or only within ``near_m``
-    (vertex to edge, either way). Edges are in metres."""
+    """``(zone_id, territory_id, faction, relation)``: intersecting, or only with borders within ``near_m``.
+    Edges are in metres."""
     hit = zones_intersect_zones(areas, territories, cell_size)
-    corners = lambda e, n: e.select(F.col("zone_id").alias(n), F.col("x1").alias("x"), F.col("y1").alias("y"))
-
-    def close(edges: DataFrame, edge_name: str, points: DataFrame) -> DataFrame:
-        e = S.edge_cells(_as_xy(edges).withColumnRenamed("zone_id", edge_name), near_m, cell_size)
-        p = points.withColumns({"ix": G.cell(F.col("x"), cell_size), "iy": G.cell(F.col("y"), cell_size)})
-        d = G.segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-        return e.join(p, ["ix", "iy"]).filter(d <= near_m).select("a_zone_id", "b_zone_id")
-
-    near = close(areas, "a_zone_id", corners(territories, "b_zone_id")).union(
-        close(territories, "b_zone_id", corners(areas, "a_zone_id"))).distinct()
+    near = borders_within(areas, territories, near_m)
     near = near.join(hit, ["a_zone_id", "b_zone_id"], "left_anti")
     both = hit.withColumn("relation", F.lit("intersecting")).unionByName(near.withColumn("relation", F.lit("nearby")))
     return both.select(F.col("a_zone_id").alias("zone_id"), F.col("b_zone_id").alias("territory_id"), "relation").join(

@@ -16,6 +16,7 @@ from geoevents.operators import metrics as M
 from geoevents.operators import overlap as O
 from geoevents.operators import scoring as C
 from geoevents.operators import spatial as S
+from geoevents.operators.edge_tree import borders_within
 from geoevents.session import cut
 
 
@@ -122,8 +123,8 @@ def area_population(layers: Layers) -> DataFrame:
     scaled = lambda e: e.withColumns({c: F.col(c) * 100000.0 for c in ("x1", "y1", "x2", "y2")})
     areas, around = scaled(layers.edges), scaled(layers.neighbourhoods)
     # zones that meet share border points or, one inside the other, some area
-    shares = cut(O.zone_overlap_area(areas, around, strip=2000.0))
-    pairs = O.borders_meet(areas, around, cell_size=2500.0).union(shares.select("a_zone_id", "b_zone_id")).distinct()
+    shares = cut(O.zone_overlap_area(areas, around))
+    pairs = borders_within(areas, around).union(shares.select("a_zone_id", "b_zone_id")).distinct()
     named = layers.census.select("zone_id", "name", "region", F.col("pop_2022").alias("population"))
     context = O.zone_context(pairs, named).select(
         F.col("a_zone_id").alias("zone_id"), F.col("members").alias("neighbourhoods"),

@@ -33,16 +33,16 @@ def edges(spark, *rings):
 def test_weighted_population(spark, hoods, pops, want):
     area = edges(spark, square("a", 0, 0, 100))
     pop = spark.createDataFrame(list(pops.items()), "zone_id string, population bigint")
-    got = overlap.weighted_population(area, edges(spark, *hoods), pop, strip=30.0).collect()
+    got = overlap.weighted_population(area, edges(spark, *hoods), pop).collect()
     assert (round(got[0].population, 6) if got else None) == want
 
 
 def test_overlap_with_hole_and_parts(spark):
     holed = edges(spark, square("a", 0, 0, 100), square("a", 25, 25, 50, ring=1), square("a", 200, 0, 10, part=1))
     whole = edges(spark, square("b", -5, -5, 300))
-    got = overlap.zone_overlap_area(holed, whole, strip=17.0).first().area
+    got = overlap.zone_overlap_area(holed, whole).first().area
     assert math.isclose(got, 100 * 100 - 50 * 50 + 100)
-    back = overlap.zone_overlap_area(whole, holed, strip=17.0).first().area
+    back = overlap.zone_overlap_area(whole, holed).first().area
     assert math.isclose(got, back)
 
 
