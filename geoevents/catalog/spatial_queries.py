@@ -366,7 +366,7 @@ ctes.TABLES["cal_m"] = ("cal", f"SELECT * FROM {ctes.utm('(SELECT * FROM cal WHE
 ctes.TABLES["cring"] = ("cal_m cal_z edges_m", _RING.replace("inc_m", "cal_m").replace("inc_z", "cal_z"))
 
 
-@query("displacement", """WITH ay AS (SELECT zone_id, year(day) AS y, COUNT(*) n FROM czone GROUP BY 1,2), ry AS (SELECT zone_id, year(day) AS y, COUNT(*) n FROM cring JOIN cal USING (id) GROUP BY 1,2),
+_DISPLACEMENT = """WITH ay AS (SELECT zone_id, year(day) AS y, COUNT(*) n FROM czone GROUP BY 1,2), ry AS (SELECT zone_id, year(day) AS y, COUNT(*) n FROM cring JOIN cal USING (id) GROUP BY 1,2),
  two AS (SELECT ay.*, row_number() OVER (PARTITION BY zone_id ORDER BY y DESC) k FROM ay),
  w AS (SELECT zone_id, max(CASE WHEN k=2 THEN y END) y0, max(CASE WHEN k=1 THEN y END) y1, max(CASE WHEN k=2 THEN two.n END) a0, max(CASE WHEN k=1 THEN two.n END) a1,
    coalesce(max(CASE WHEN k=2 THEN ry.n END),0) r0, coalesce(max(CASE WHEN k=1 THEN ry.n END),0) r1 FROM two LEFT JOIN ry USING (zone_id, y) WHERE k <= 2 GROUP BY 1),
@@ -375,12 +375,33 @@ ctes.TABLES["cring"] = ("cal_m cal_z edges_m", _RING.replace("inc_m", "cal_m").r
  CASE WHEN ap IS NULL OR rp IS NULL THEN 'inconclusivo' WHEN ap <= -10 AND rp >= 10 THEN 'deslocamento_provavel' WHEN ap <= -10 AND rp <= -10 THEN 'reducao_genuina'
   WHEN ap >= 10 AND rp >= 10 THEN 'intensificacao' ELSE 'inconclusivo' END AS label,
  CASE WHEN ap IS NULL OR rp IS NULL OR least(a0,r0) < 10 THEN 'baixa' WHEN abs(ap-rp) >= 50 AND least(a0,r0) >= 30 THEN 'alta' ELSE 'media' END AS confidence,
- coalesce((SELECT COUNT(*) FROM cring c WHERE c.zone_id = p.zone_id),0) AS crimes_in_ring FROM p""", "czone cring cal")
+ coalesce((SELECT COUNT(*) FROM cring c WHERE c.zone_id = p.zone_id),0) AS crimes_in_ring FROM p"""
+ctes.TABLES["disp"] = ("czone cring cal", _DISPLACEMENT)
+ctes.TABLES["tring"] = ("tip_m tip_z edges_m", _RING.replace("inc_m", "tip_m").replace("inc_z", "tip_z"))
+
+
+@query("displacement", _DISPLACEMENT, "czone cring cal")
 def _(spark, d):
     calls = B.calls(spark, d).filter(F.col("lat").isNotNull())
     return CC.displacement(calls, B.zone_edges(spark, d), index_of(spark, d))
 
 
+@query("city_context", """WITH yrs AS (SELECT *, max(y) OVER (PARTITION BY zone_id) AS m FROM
+ (SELECT zone_id, 'a' AS side, year(day) AS y, COUNT(*) AS n FROM czone GROUP BY ALL UNION ALL SELECT zone_id, 'r', year(day), COUNT(*) FROM cring JOIN cal USING (id) GROUP BY ALL) WHERE y IS NOT NULL),
+ txt AS (SELECT zone_id, string_agg(y || ':' || n, '|' ORDER BY y) FILTER (side = 'a') AS area_years, string_agg(y || ':' || n, '|' ORDER BY y) FILTER (side = 'r') AS ring_years
+  FROM yrs WHERE y >= m - 4 GROUP BY 1)
+ SELECT z.zone_id, coalesce(r.n, 0) AS crimes_in_ring, coalesce(t.n, 0) AS tips_in_ring, coalesce(area_years, '') AS area_years, coalesce(ring_years, '') AS ring_years,
+ year_prev, year_curr, area_yoy_pct, ring_yoy_pct, coalesce(label, 'inconclusivo') AS label, coalesce(confidence, 'baixa') AS confidence
+ FROM (SELECT DISTINCT zone_id FROM edges) z LEFT JOIN disp USING (zone_id) LEFT JOIN txt USING (zone_id)
+ LEFT JOIN (SELECT zone_id, COUNT(*) AS n FROM cring GROUP BY 1) r USING (zone_id) LEFT JOIN (SELECT zone_id, COUNT(*) AS n FROM tring GROUP BY 1) t USING (zone_id)""", "edges disp czone cring cal tring")
+def _(spark, d):
+    calls = B.calls(spark, d).filter(F.col("lat").isNotNull())
+    out = CC.zone_contexts(calls, B.tips(spark, d), B.zone_edges(spark, d), index_of(spark, d))
+    text = lambda c: F.array_join(F.transform(c, lambda r: F.concat_ws(":", r["year"].cast("string"), r["n"].cast("string"))), "|").alias(c)
+    return out.select("zone_id", "crimes_in_ring", "tips_in_ring", text("area_years"), text("ring_years"), "year_prev", "year_curr",
+                      "area_yoy_pct", "ring_yoy_pct", "label", "confidence")
+
+
 @query("city_points", "SELECT id, round(lat,5) AS lat, round(lon,5) AS lon, offence, hour FROM inc", "inc")
 def _(spark, d):
     return CC.city_points(B.incidents(spark, d))

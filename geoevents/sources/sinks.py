@@ -23,6 +23,12 @@ def sink_city_context(rings: DataFrame, path: str) -> None:
     sink_json(rings, path)
 
 
+def sink_context_parts(parts: dict[str, DataFrame], path: str) -> None:
+    """Every part of the city context in a folder of its own name."""
+    for name, part in parts.items():
+        sink_json(part, f"{path}/{name}")
+
+
 def displacement_summary(rings: DataFrame) -> DataFrame:
     """The compact projection without geometry or points."""
     keep = ["zone_id", "label", "confidence", "area_yoy_pct", "ring_yoy_pct", "year_prev", "year_curr"]

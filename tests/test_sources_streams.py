@@ -189,3 +189,32 @@ def test_document_writers(spark, tmp_path):
     rings = spark.createDataFrame([("Z1", "inconclusivo", "baixa", 1.0, None, "geometry")], "zone_id string, label string, confidence string, area_yoy_pct double, ring_yoy_pct double, geometry string")
     sinks.sink_displacement_summary(rings, str(tmp_path / "d"))
     assert lines(tmp_path / "d") == [{"zone_id": "Z1", "label": "inconclusivo", "confidence": "baixa", "area_yoy_pct": 1.0, "ring_yoy_pct": None}]
+
+
+def test_city_context_parts(spark, tmp_path):
+    """A zone with one year, one without anything; an incident without a day counts in the ring and in no year."""
+    from geoevents.operators.spatial import zone_index
+    from geoevents.plans.city_context import city_context
+    from geoevents.sources.sinks import sink_context_parts
+
+    box = lambda z, x: [(z, 0, 0, i, *a, *b) for i, (a, b) in enumerate(zip(
+        [(x, -22.90), (x + 0.01, -22.90), (x + 0.01, -22.89), (x, -22.89)], [(x + 0.01, -22.90), (x + 0.01, -22.89), (x, -22.89), (x, -22.90)]))]
+    edges = spark.createDataFrame(box("a", -43.20) + box("b", -43.50),
+                                  "zone_id string, part int, ring int, seq int, x1 double, y1 double, x2 double, y2 double")
+    rows = [(1, -22.895, -43.195, "2024-01-02"), (2, -22.895, -43.195, None), (3, -22.895, -43.2002, "2023-05-01"), (4, -22.895, -43.2002, None),
+            (5, -22.895, -43.30, "2024-01-01")]
+    points = spark.createDataFrame(rows, "id long, lat double, lon double, day string").selectExpr(
+        "id", "lat", "lon", "cast(day as date) day", "'x' offence", "1 hour")
+    tips = spark.createDataFrame([(7, -22.895, -43.1899, "k")], "id long, lat double, lon double, kind string")
+    series = spark.createDataFrame([(3, 2024, 1), (3, 2020, 9), (None, 2024, 5), (4, 2023, 2)], "aisp int, ano int, hom_doloso int")
+    land = spark.createDataFrame([("a", None, "hill")], "zone_id string, faction string, name string")
+    parts = city_context(points, tips, edges, zone_index(edges), series, (land, edges))
+    sink_context_parts(parts, str(tmp_path / "city"))
+    read = {k: spark.read.json(str(tmp_path / "city" / k)).collect() for k in parts}
+    by = {r.zone_id: r for r in read["rings"]}
+    assert [(y.year, y.n) for y in by["a"].area_years] == [(2024, 1)] and [(y.year, y.n) for y in by["a"].ring_years] == [(2023, 1)]
+    assert (by["a"].crimes_in_ring, by["a"].tips_in_ring, by["a"].label, by["a"].confidence) == (2, 1, "inconclusivo", "baixa")
+    assert (by["b"].crimes_in_ring, by["b"].tips_in_ring, by["b"].area_years, by["b"].label) == (0, 0, [], "inconclusivo")
+    meta = read["meta"][0]
+    assert (meta.n_incidents, meta.n_incident_points, meta.n_tip_points, meta.n_territories, meta.n_districts) == (5, 5, 1, 1, len(read["districts"]))
+    assert '"faction":"—"' in read["territories"][0].feature
