@@ -296,6 +296,16 @@ def _(spark, d):
     return S.grid_streets(_grid(spark, d))
 
 
+@query("grid_street_causes", """SELECT g.*, coalesce(agencies, '') AS agencies, coalesce(factors, '') AS factors FROM
+ (SELECT *, row_number() OVER (ORDER BY max_layers DESC, crime_total DESC, street) AS rank FROM (SELECT street, COUNT(*) AS n_cells,
+  CAST(SUM(n_incidents) AS BIGINT) AS crime_total, max(n_layers) AS max_layers FROM grid WHERE street IS NOT NULL GROUP BY 1)) g
+ LEFT JOIN (SELECT g.street, string_agg(DISTINCT agency, '|' ORDER BY agency) AS agencies, string_agg(DISTINCT kind, '|' ORDER BY kind) AS factors FROM grid g
+  JOIN fac_m f ON g.ix = CAST(floor(f.x/1000e0) AS BIGINT) AND g.iy = CAST(floor(f.y/1000e0) AS BIGINT) WHERE g.street IS NOT NULL GROUP BY 1) c USING (street)""", "grid fac_m")
+def _(spark, d):
+    out = S.grid_street_causes(_grid(spark, d), metric(B.factors(spark, d)), 1000.0)
+    return out.withColumns({c: F.array_join(c, "|") for c in ("agencies", "factors")})
+
+
 # ------------------------------------------------------------------ name joins
 @query("registry_join", """SELECT c.c_custkey, 'A' || n_nationkey AS area_id FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey AND c.c_custkey % 3 < 2""")
 def _(spark, d):

@@ -421,3 +421,15 @@ def grid_streets(grid: DataFrame) -> DataFrame:
         F.max("n_layers").alias("max_layers"),
     )
     return global_row_number(merged, [F.desc("max_layers"), F.desc("crime_total"), F.col("street")], "rank")
+
+
+def grid_street_causes(grid: DataFrame, factors: DataFrame, cell_m: float = 130.0) -> DataFrame:
+    """``grid_streets`` with the agencies in charge and the factor types found in the street's cells, sorted; empty where none are.
+
+    ``factors`` carries ``x, y, agency, kind`` and ``cell_m`` is the grid's. Both lists hold names of a catalogue, not rows."""
+    found = factors.select(G.cell(F.col("x"), cell_m).alias("ix"), G.cell(F.col("y"), cell_m).alias("iy"), "agency", "kind").filter(
+        F.col("ix") != G.NO_CELL).distinct()
+    causes = grid.filter(F.col("street").isNotNull()).select("ix", "iy", "street").join(found, ["ix", "iy"]).groupBy("street").agg(
+        F.sort_array(F.collect_set("agency")).alias("agencies"), F.sort_array(F.collect_set("kind")).alias("factors"))
+    none = F.array().cast("array<string>")
+    return grid_streets(grid).join(causes, "street", "left").withColumns({c: F.coalesce(c, none) for c in ("agencies", "factors")})
