@@ -197,10 +197,12 @@ def _(spark, d):
 ctes.TABLES["tip_n"] = ("tip nedges", ctes.pip("tip", "nedges"))
 
 
-@query("surroundings_enriched", """SELECT a_zone_id AS zone_id, name, coalesce(pop_2022,0) AS population, coalesce(t.n,0) AS tips, coalesce(k.n,0) AS calls
+_AROUND = """SELECT a_zone_id AS zone_id, name, coalesce(pop_2022,0) AS population, coalesce(t.n,0) AS tips, coalesce(k.n,0) AS calls
  FROM overlap o JOIN census c ON c.zone_id = o.b_zone_id LEFT JOIN (SELECT zone_id, COUNT(*) n FROM tip_n GROUP BY 1) t ON t.zone_id = o.b_zone_id
- LEFT JOIN (SELECT neighbourhood, COUNT(*) n FROM cal GROUP BY 1) k USING (neighbourhood)""", "overlap census tip_n cal")
-def _(spark, d):
+ LEFT JOIN (SELECT neighbourhood, COUNT(*) n FROM cal GROUP BY 1) k USING (neighbourhood)"""
+
+
+def _surroundings(spark, d):
     edges = B.neighbourhood_edges(spark, d)
     tips = M.count_by(S.join_points_to_zones(B.tips(spark, d), S.zone_index(edges), how="inner"), ["zone_id"], "tips")
     census = B.census(spark, d)
@@ -210,6 +212,16 @@ def _(spark, d):
     return out.select(F.col("a_zone_id").alias("zone_id"), "name", "population", "tips", "calls")
 
 
+@query("surroundings_enriched", _AROUND, "overlap census tip_n cal")
+def _(spark, d):
+    return _surroundings(spark, d)
+
+
+@query("query_surroundings", f"SELECT * FROM ({_AROUND}) WHERE zone_id = 'Z7'", "overlap census tip_n cal")
+def _(spark, d):
+    return Q.query_surroundings(_surroundings(spark, d), "Z7")
+
+
 @query("tips_by_neighbourhood", """SELECT zone_id, COUNT(*) AS total, (SELECT string_agg(kind || ':' || n, '|' ORDER BY n DESC, kind) FROM
  (SELECT kind, COUNT(*) n FROM tn b WHERE b.zone_id = a.zone_id GROUP BY 1 ORDER BY n DESC, kind LIMIT 5)) AS tipos FROM tn a GROUP BY 1""", "tn")
 def _(spark, d):

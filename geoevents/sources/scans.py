@@ -64,13 +64,17 @@ def in_bbox(lat: Column, lon: Column, bbox=V.CITY_BBOX) -> Column:
 
 
 def _read(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
-    """Parquet when the path says so, else CSV (gzip is read as is) with the given schema."""
+    """The schema's columns, found by name: Parquet when the path says so, else CSV with a header line (gzip is read as is).
+    Other columns and another order do no harm; a missing column, or a value that is not of its type, is NULL."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.schema(schema).parquet(path)
-    reader = spark.read.schema(schema).option("header", "true").option("mode", "PERMISSIVE")
+    reader = spark.read.option("header", "true").option("mode", "PERMISSIVE")
     for key, value in options.items():
         reader = reader.option(key, value)
-    return reader.csv(path)
+    raw = reader.csv(path)
+    held = set(raw.columns)
+    wanted = T.StructType.fromDDL(schema)
+    return raw.select(*[(F.col(f"`{f.name}`") if f.name in held else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def scan_incidents(spark: SparkSession, path: str, *, bbox=V.CITY_BBOX) -> DataFrame:

@@ -218,3 +218,18 @@ def test_city_context_parts(spark, tmp_path):
     meta = read["meta"][0]
     assert (meta.n_incidents, meta.n_incident_points, meta.n_tip_points, meta.n_territories, meta.n_districts) == (5, 5, 1, 1, len(read["districts"]))
     assert '"faction":"—"' in read["territories"][0].feature
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    """Other order, columns in between, a missing column, a value of the wrong type."""
+    series = write(tmp_path / "isp.csv", "munic,ano,mes,aisp,regiao,hom_doloso,cisp,total_roubos\nRio,2024,1,17,Sul,3,x,40\nRio,2023,2,18,Sul,,5,7\n")
+    rows = scans.scan_district_series(spark, series).collect()
+    assert [(r.ano, r.aisp, r.cisp, r.hom_doloso, r.total_roubos, r.trafico_drogas) for r in rows] == [
+        (2024, 17, None, "3", "40", None), (2023, 18, 5, None, "7", None)]
+    people = write(tmp_path / "p.csv", "sexo,longitude,x,latitude,id,classificacao_idade\nF,-43.2,1,-22.9,a,adulto\nM,0,1,0,b,idoso\n")
+    assert [(r.id, r.sexo, r.lat, r.lon, r.idade_classe) for r in scans.scan_street_census(spark, people).collect()] == [("a", "F", -22.9, -43.2, "adulto")]
+
+
+def test_territories_in_range(spark, tmp_path):
+    zones, edges = polygons.scan_territories(spark, geojson(tmp_path), "nome", "fid int, nome string", x_range=(-43.35, -43.0))
+    assert [r.zone_id for r in zones.collect()] == ["Área A"] and edges.count() == 4
